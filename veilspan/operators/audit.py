@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.spans import regex_spans
+from veilspan.operators.detect import with_regex_spans
 
 STAGES = ("route", "pii", "cloud")
 SHOWN_CHARS = 600
@@ -65,9 +65,9 @@ def leak_check(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[st
     texts = outbound.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("outbound"), F.col(c).alias("text")) for c in outbound_cols]))
         .alias("o")).select("o.outbound", "o.text")
-    values = F.array_distinct(F.transform(regex_spans(F.col("text")), lambda s: F.concat_ws(
+    values = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(
         ":", s["pii_type"], s["value"])))
-    found = (texts.select("outbound", F.explode(values).alias("v"))
+    found = (with_regex_spans(texts).select("outbound", F.explode(values).alias("v"))
              .groupBy("outbound", "v").agg(F.count(F.lit(1)).alias("n_texts"))
              .select("outbound", F.substring_index("v", ":", 1).alias("pii_type"),
                      F.expr("substring(v, instr(v, ':') + 1)").alias("value"), "n_texts"))

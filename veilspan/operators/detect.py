@@ -5,19 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import DEFAULT_PATTERNS, PatternSpec
 from veilspan.functions.spans import SPAN_FIELDS, regex_spans, resolve_overlaps
+from veilspan.session import built_once
 
 SPANS = "spans"
 
 
+@built_once
+def _found(text_col: str, patterns: tuple[PatternSpec, ...]) -> Column:
+    return regex_spans(F.col(text_col), patterns)
+
+
+@built_once
+def _resolved(spans_col: str) -> Column:
+    return resolve_overlaps(F.col(spans_col))
+
+
 def with_regex_spans(docs: DataFrame, patterns: Sequence[PatternSpec] = DEFAULT_PATTERNS,
                      text_col: str = "text", out_col: str = SPANS) -> DataFrame:
     """Add the pattern hits of each text as an array of spans (no shuffle)."""
-    return docs.withColumn(out_col, regex_spans(F.col(text_col), patterns))
+    return docs.withColumn(out_col, _found(text_col, tuple(patterns)))
 
 
 def explode_spans(df: DataFrame, id_cols: Sequence[str] = ("doc_id",),
@@ -37,7 +48,7 @@ def detect_regex_spans(docs: DataFrame, patterns: Sequence[PatternSpec] = DEFAUL
 def with_resolved_spans(df: DataFrame, spans_col: str = SPANS,
                         out_col: str = SPANS) -> DataFrame:
     """Replace spans by their located, non-overlapping subset."""
-    return df.withColumn(out_col, resolve_overlaps(F.col(spans_col)))
+    return df.withColumn(out_col, _resolved(spans_col))
 
 
 def external_spans(docs: DataFrame, detector: Callable[[pd.DataFrame], pd.DataFrame],

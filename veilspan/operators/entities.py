@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import ner
 from veilspan.operators.detect import explode_spans
 from veilspan.operators.skew import hot_keys, spread_join
+from veilspan.session import built_once
 from veilspan.sources.tables import with_text_sha
 
 
+@built_once
+def _entities(text_col: str, min_confidence: float) -> Column:
+    return ner.ner_spans(F.col(text_col), F.col("response"), min_confidence)
+
+
 def ner_requests(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One request per distinct text: text_sha, prompt, n_docs.
 
@@ -44,8 +50,7 @@ def join_responses(docs: DataFrame, responses: DataFrame, kind: str = "ner",
 def with_ner_spans(answered: DataFrame, text_col: str = "text", out_col: str = "ner_spans",
                    min_confidence: float = fv.MIN_CONFIDENCE) -> DataFrame:
     """Parse the response column next to the text (no shuffle)."""
-    return answered.withColumn(
-        out_col, ner.ner_spans(F.col(text_col), F.col("response"), min_confidence))
+    return answered.withColumn(out_col, _entities(text_col, min_confidence))
 
 
 def parse_ner(docs: DataFrame, responses: DataFrame, min_conf: float = fv.MIN_CONFIDENCE,

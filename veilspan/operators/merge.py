@@ -9,10 +9,16 @@ from veilspan.functions import fixed_values as fv
 from veilspan.functions.spans import SPAN_FIELDS, greedy_distinct, overlaps, same_value
 from veilspan.functions.spans import merge_spans as merged_arrays
 from veilspan.operators.detect import explode_spans
+from veilspan.session import built_once
 
 SCORES = ("n_regex", "n_ner", "n_unique")
 
 
+@built_once
+def _merged(text_col: str, regex_col: str, ner_col: str, mode: str) -> Column:
+    return merged_arrays(F.col(text_col), F.col(regex_col), F.col(ner_col), mode)
+
+
 def _span_of(alias: str) -> Column:
     return F.struct(*[F.col(f"{alias}.{f}") for f in SPAN_FIELDS])
 
@@ -52,8 +58,7 @@ def with_merged_spans(df: DataFrame, mode: str = "safe", text_col: str = "text",
                       regex_col: str = "spans", ner_col: str = "ner_spans",
                       out_col: str = "merged") -> DataFrame:
     """Merge two span arrays of the same row (no shuffle)."""
-    return df.withColumn(out_col, merged_arrays(
-        F.col(text_col), F.col(regex_col), F.col(ner_col), mode))
+    return df.withColumn(out_col, _merged(text_col, regex_col, ner_col, mode))
 
 
 def gate_responses(df: DataFrame, risk_col: str = "pii_risk") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from veilspan.functions.spans import SPAN_FIELDS, splice
 from veilspan.functions.synth import DEFAULT_SALT, keyed_value, ordinal_value
 from veilspan.functions.text import strip
+from veilspan.session import built_once
 
 _SEP = "\u0000"
 
@@ -36,6 +37,16 @@ def with_ordinals(distinct_values: DataFrame, id_col: str = "doc_id") -> DataFra
                 W.partitionBy(id_col, "pii_type").orderBy(*right_first)) - 1))
 
 
+@built_once
+def _keyed(salt: str, scope_col: str, type_col: str, value_col: str) -> Column:
+    return keyed_value(salt, F.col(scope_col), F.col(type_col), F.col(value_col))
+
+
+@built_once
+def _ordinal(salt: str, scope_col: str, type_col: str, value_col: str, n_col: str) -> Column:
+    return ordinal_value(salt, *map(F.col, (scope_col, type_col, value_col, n_col)))
+
+
 def assign_synthetic(spans: DataFrame, mode: str = "keyed", salt: str = DEFAULT_SALT,
                      scope_col: str = "session_id", id_col: str = "doc_id") -> DataFrame:
     """Mappings from real to synthetic values.
@@ -47,15 +58,13 @@ def assign_synthetic(spans: DataFrame, mode: str = "keyed", salt: str = DEFAULT_
     if mode == "keyed":
         distinct = (spans.filter(F.col("start").isNotNull())
                     .select(F.col(scope_col), "pii_type", F.col("value").alias("real")).distinct())
-        return distinct.withColumn("synthetic", keyed_value(
-            salt, F.col(scope_col), F.col("pii_type"), F.col("real")))
+        return distinct.withColumn("synthetic", _keyed(salt, scope_col, "pii_type", "real"))
     if mode != "ordinal":
         raise ValueError(f"unknown assignment mode: {mode}")
     numbered = with_ordinals(first_from_right(spans, id_col), id_col)
     return numbered.select(
         id_col, F.col("seq").alias("ord"), "pii_type", F.col("value").alias("real"),
-        ordinal_value(salt, F.col(id_col), F.col("pii_type"), F.col("value"), F.col("n"))
-        .alias("synthetic"), "n")
+        _ordinal(salt, id_col, "pii_type", "value", "n").alias("synthetic"), "n")
 
 
 def redact(docs: DataFrame, spans: DataFrame, mappings: DataFrame, id_col: str = "doc_id",
@@ -71,19 +80,27 @@ def redact(docs: DataFrame, spans: DataFrame, mappings: DataFrame, id_col: str =
     # Spans of one text, so the list is bounded by the text.
     packed = named.groupBy(id_col).agg(F.array_sort(F.collect_list(
         F.struct("start", "end", "synthetic"))).alias("_s"))
-    joined = docs.join(packed, id_col, "left")
     nothing = F.array().cast("array<struct<start:int,end:int,synthetic:string>>")
-    return joined.withColumn("sanitized", splice(
-        F.col(text_col), F.coalesce("_s", nothing), lambda s: s["synthetic"])).drop("_s")
+    joined = docs.join(packed, id_col, "left").withColumn("_s", F.coalesce("_s", nothing))
+    return joined.withColumn("sanitized", _spliced(text_col, "_s", "synthetic")).drop("_s")
+
+
+@built_once
+def _named(salt: str, scope_col: str, spans_col: str) -> Column:
+    return F.transform(spans_col, lambda s: F.struct(
+        *[s[f].alias(f) for f in SPAN_FIELDS],
+        keyed_value(salt, F.col(scope_col), s["pii_type"], s["value"]).alias("synthetic")))
+
+
+@built_once
+def _spliced(text_col: str, spans_col: str, field: str) -> Column:
+    return splice(F.col(text_col), F.col(spans_col), lambda s: s[field])
 
 
 def with_keyed_spans(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "session_id",
                      spans_col: str = "spans", out_col: str = "named") -> DataFrame:
     """Give each span its keyed synthetic value (no shuffle, works on streams)."""
-    def named(s: Column) -> Column:
-        return F.struct(*[s[f].alias(f) for f in SPAN_FIELDS], keyed_value(
-            salt, F.col(scope_col), s["pii_type"], s["value"]).alias("synthetic"))
-    return df.withColumn(out_col, F.transform(spans_col, named))
+    return df.withColumn(out_col, _named(salt, scope_col, spans_col))
 
 
 def redact_keyed(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "session_id",
@@ -93,8 +110,7 @@ def redact_keyed(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "sess
     This is the path for very large tables and for streams: nothing is shuffled.
     """
     named = with_keyed_spans(df, salt, scope_col, spans_col)
-    return named.withColumn("sanitized", splice(
-        F.col(text_col), F.col("named"), lambda s: s["synthetic"]))
+    return named.withColumn("sanitized", _spliced(text_col, "named", "synthetic"))
 
 
 def with_mappings(redacted: DataFrame, named_col: str = "named",

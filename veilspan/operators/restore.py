@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.restoring import MAPPING_TYPE, MIN_FIRST_TOKEN, restore_chain
-from veilspan.functions.spans import regex_spans, resolve_overlaps, splice
+from veilspan.functions.spans import splice
 from veilspan.functions.synth import KEYED_PATTERNS, POSSESSIVE_PATTERN
 from veilspan.functions.text import first_token
+from veilspan.operators.detect import with_regex_spans, with_resolved_spans
 from veilspan.operators.skew import hot_keys, spread_join
 from veilspan.session import shared_dir
 
@@ -58,8 +59,8 @@ def restore_keyed(texts: DataFrame, vault: DataFrame, id_col: str = "doc_id",
     """
     shared_dir(texts.sparkSession)
     patterns = (*KEYED_PATTERNS, POSSESSIVE_PATTERN)
-    hits = (texts.select(id_col, "session_id", F.explode(resolve_overlaps(
-        regex_spans(F.col(text_col), patterns))).alias("s"))
+    found = with_resolved_spans(with_regex_spans(texts, patterns, text_col, "_h"), "_h", "_h")
+    hits = (found.select(id_col, "session_id", F.explode("_h").alias("s"))
         .select(id_col, "session_id", "s.start", "s.end", F.col("s.value").alias("surface"))
         .checkpoint())
     keys = ["session_id", "surface"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import ner
 from veilspan.functions.routing import (FIELDS, fallback, parse_routing, preview, router_prompt,
                                         rule_features)
-from veilspan.functions.spans import regex_spans
+from veilspan.operators.detect import with_regex_spans
 
 
 def router_requests(queries: DataFrame, text_col: str = "text") -> DataFrame:
@@ -23,20 +23,18 @@ def route(queries: DataFrame, text_col: str = "text", response_col: str | None =
     ``rules``: keywords, size and the personal data found in the query.
     ``model_then_rules``: rules decide where there is no response at all.
     """
-    rules = rule_features(F.col(text_col), F.col(spans_col) if spans_col
-                          else regex_spans(F.col(text_col)))
-    if mode == "rules":
-        record = rules
-    elif mode == "model":
-        record = F.when(ner.answered(F.col(response_col)),
-                        parse_routing(F.col(response_col))).otherwise(fallback())
-    elif mode == "model_then_rules":
-        record = F.when(ner.answered(F.col(response_col)),
-                        parse_routing(F.col(response_col))).otherwise(rules)
-    else:
+    if mode not in ("model", "rules", "model_then_rules"):
         raise ValueError(f"unknown routing mode: {mode}")
-    return (queries.withColumn("routing", record)
-            .withColumns({f: F.col("routing")[f] for f in FIELDS}).drop("routing"))
+    source, spans = queries, spans_col or "_spans"
+    if mode != "model" and spans_col is None:
+        source = with_regex_spans(queries, text_col=text_col, out_col=spans)
+    otherwise = fallback() if mode == "model" else rule_features(F.col(text_col), F.col(spans))
+    record = otherwise
+    if mode != "rules":
+        response = F.col(response_col)
+        record = F.when(ner.answered(response), parse_routing(response)).otherwise(otherwise)
+    return (source.withColumn("routing", record)
+            .withColumns({f: F.col("routing")[f] for f in FIELDS}).drop("routing", "_spans"))
 
 
 def with_agent_prompt(routed: DataFrame, agents: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from veilspan.operators import redact, restore, vault
 from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
-from veilspan.plans.oracle_parts import restored_ctes, with_
+from veilspan.plans.oracle_parts import first_token, q, restored_ctes, spliced_cte, with_
 from veilspan.plans.redaction import KEYED_TEXT, ORDINAL, ORDINAL_TEXT, ordinal, ordinal_redacted
 from veilspan.plans.sources import VAULT_CTES
+from veilspan.sources import vault_table
 
 # Reply texts derived from the redacted forms: the text, then a possessive use
 # of the first word of its second line's name.
@@ -45,12 +46,19 @@ def unknown_mappings(spark: SparkSession, d: str) -> DataFrame:
     return vault.new_mappings(part, known).select("session_id", "pii_type", "real", "synthetic")
 
 
-def renamed(spark: SparkSession, d: str) -> DataFrame:
-    """A vault in which all forms share one session, so that keyed values collide."""
-    one = redact.assign_synthetic(
-        redact_spans(spark, d).withColumn("session_id", F.lit("one")))
-    empty = common.keyed_vault(spark, d).filter("false")
-    return vault.vault_upsert(empty, as_vault(one))
+def injective_vault(spark: SparkSession, d: str, session=None) -> DataFrame:
+    """All keyed mappings, collisions renamed, written to the table and read back.
+
+    With ``session`` all forms share that one session, so that values do collide.
+    """
+    found = redact_spans(spark, d)
+    if session:
+        found = found.withColumn("session_id", F.lit(session))
+    empty = spark.createDataFrame([], vault.VAULT_SCHEMA)
+    path = common.fresh_dir(spark, "vault")
+    vault_table.write_vault(
+        vault.vault_upsert(empty, as_vault(redact.assign_synthetic(found))), path)
+    return vault_table.read_vault(spark, path)
 
 
 def redact_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +67,7 @@ def redact_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def renamed_values(spark: SparkSession, d: str) -> DataFrame:
-    return renamed(spark, d).select("pii_type", "real", "synthetic")
+    return injective_vault(spark, d, "one").select("pii_type", "real", "synthetic")
 
 
 def reply_to(redacted: DataFrame) -> DataFrame:
@@ -87,8 +95,12 @@ def keyed_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
-    texts = keyed_replies(spark, d).select("doc_id", "session_id", "response")
-    return restore.restore_keyed(texts, common.keyed_vault(spark, d)).select("doc_id", "restored")
+    """Forms redacted from the vault, and replies to them restored from it, per session."""
+    table = injective_vault(spark, d)
+    redacted = redact.redact(common.forms(spark, d), redact_spans(spark, d), table,
+                             on=("session_id", "pii_type"))
+    texts = reply_to(redacted).select("doc_id", "session_id", "response")
+    return restore.restore_keyed(texts, table).select("doc_id", "restored")
 
 
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -122,6 +134,11 @@ STUB_CTES = [
     "stubs as (select doc_id, 'The SSN we have is ' || coalesce(ssn, 'XXX-XX-XXXX') || "
     "'. Letters go to ' || coalesce(email, 'synthetic@placeholder.com') || '. All is settled.' "
     "as response from firsts)"]
+INJECTIVE = [
+    "ranked as (select *, row_number() over (partition by session_id, synthetic "
+    "order by sha256(pii_type || '|' || real)) - 1 as n from vault)",
+    "injective as (select session_id, pii_type, real, case when n > 0 then synthetic || '~' || "
+    "cast(n as varchar) else synthetic end as synthetic from ranked)"]
 KEYED_MAPS = ("maps as (select distinct doc_id, 0 as ord, value as real, synthetic from named)")
 
 
@@ -144,14 +161,11 @@ def register(c: Catalog) -> None:
         "where rn = 1"))
     c.add("vault_unknown_mappings", unknown_mappings, with_(
         VAULT_CTES, "select * from vault where pii_type not in ('SSN', 'PERSON_NAME')"))
-    single = [sql.replace("s.session_id", "'one'") if "KEYED" in sql else sql for sql in VAULT_CTES]
-    one_session = [cte if not cte.startswith("src as") else cte.replace(
-        "select form_id as doc_id, session_id,", "select form_id as doc_id, 'one' as session_id,")
-        for cte in single]
+    one_session = [cte.replace("select form_id as doc_id, session_id,",
+                               "select form_id as doc_id, 'one' as session_id,")
+                   if cte.startswith("src as") else cte for cte in VAULT_CTES]
     c.add("vault_without_collisions", renamed_values, with_(
-        one_session, "select pii_type, real, case when n > 0 then synthetic || '~' || cast(n as varchar) "
-        "else synthetic end as synthetic from (select *, row_number() over (partition by synthetic "
-        "order by sha256(pii_type || '|' || real)) - 1 as n from vault) x"))
+        [*one_session, *INJECTIVE], "select pii_type, real, synthetic from injective"))
     c.add("vault_collisions", lambda s, d: vault.collisions(as_vault(session_ordinals(s, d))), with_(
         [*ORDINAL, "seen as (select o.*, s.session_id from ordinal o join src s using (doc_id))"],
         "select session_id, synthetic, count(distinct real) as n_reals from seen group by 1, 2 "
@@ -167,7 +181,19 @@ def register(c: Catalog) -> None:
     keyed = with_([*KEYED_TEXT, REPLY_SQL, KEYED_MAPS, *restored_ctes("replies", "maps")],
                   "select doc_id, restored from restored")
     c.add("keyed_restored_replies", keyed_chain, keyed)
-    c.add("keyed_restored_by_lookup", keyed_lookup, keyed)
+    # Every form comes back as it was; the possessive belongs to the session's
+    # longest value with that first word.
+    c.add("keyed_restored_by_lookup", keyed_lookup, with_(
+        [*VAULT_CTES, *INJECTIVE, "named2 as (select r.*, v.synthetic from resolved r join src s "
+         "using (doc_id) join injective v on v.session_id = s.session_id and v.pii_type = r.pii_type "
+         "and v.real = r.value)", spliced_cte("named2"),
+         f"heads as (select session_id, {first_token('synthetic')} as head, arg_min("
+         f"{first_token('real')}, (-length(synthetic), synthetic, real)) as owner from injective "
+         "group by all)"],
+        "select s.doc_id, s.text || chr(10) || h.owner || "
+        + q(REPLY_TAIL) + " as restored "
+        "from src s join sanitized z using (doc_id) join heads h on h.session_id = s.session_id "
+        "and h.head = regexp_extract(z.sanitized, ': ([A-Z][a-z]+) ', 1)"))
     c.add("keyed_round_trip", round_trip, with_(
         [*KEYED_TEXT, KEYED_MAPS, *restored_ctes("sanitized", "maps", "sanitized")],
         "select s.doc_id, (select count(*) from maps m where m.doc_id = s.doc_id) as n_mappings, "

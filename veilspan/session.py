@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -15,6 +18,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
+            # Call sites of every column operation cost more than small queries do.
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .getOrCreate())
 
 
@@ -32,3 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="veilspan-")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep a column expression that is built from names and other hashable arguments.
+
+    A large expression takes thousands of calls into the JVM to build, but it is
+    immutable and holds names only, so every later query can use the same one.
+    """
+    kept: dict[tuple, Column] = {}
+
+    @functools.wraps(build)
+    def get(*args) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
