@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
@@ -22,6 +22,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def unnest(df: DataFrame, array: str | Column, alias: str, *keep: str | Column) -> DataFrame:
+    """One row per array element, as ``alias`` beside the kept columns.
+
+    An inner explode makes Spark infer a filter on the array's size and push it
+    below the projection that computes the array, which is then computed twice
+    (and once per element where it is used in a lambda). An outer explode with
+    a filter on the elements gives the same rows and leaves the plan alone.
+    """
+    return (df.select(*keep, F.explode_outer(array).alias(alias))
+            .filter(F.col(alias).isNotNull()))
+
+
 def empty(element_type: str) -> Column:
     return F.array().cast(f"array<{element_type}>")
 

@@ -136,7 +136,7 @@ def occurrences(text: Column, value: Column) -> Column:
             lambda p: p.isNotNull()))
 
     return F.when((value != "") & F.contains(text, value),
-                  let(F.split(text, literal, -1), starts)).otherwise(empty("int"))
+                  let(F.split(text, literal, F.lit(-1)), starts)).otherwise(empty("int"))
 
 
 def propagate_values(text: Column, spans: Column) -> Column:
@@ -153,7 +153,7 @@ def propagate_values(text: Column, spans: Column) -> Column:
 
     return let(keys, lambda k: F.flatten(F.transform(
         F.array_distinct(k),
-        lambda key: spread(F.element_at(spans, F.array_position(k, key).cast("int"))))))
+        lambda key: let(F.element_at(spans, F.array_position(k, key).cast("int")), spread))))
 
 
 def greedy_distinct(spans: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import unnest
 from veilspan.operators.detect import with_regex_spans
 
 STAGES = ("route", "pii", "cloud")
@@ -62,12 +63,12 @@ def leak_check(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[st
     row per value before they meet the vault, so a value in a third of all texts
     is no hot key. Columns: outbound, pii_type, value, n_texts.
     """
-    texts = outbound.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("outbound"), F.col(c).alias("text")) for c in outbound_cols]))
-        .alias("o")).select("o.outbound", "o.text")
+    texts = unnest(outbound, F.array(*[
+        F.struct(F.lit(c).alias("outbound"), F.col(c).alias("text")) for c in outbound_cols]),
+        "o").select("o.outbound", "o.text")
     values = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(
         ":", s["pii_type"], s["value"])))
-    found = (with_regex_spans(texts).select("outbound", F.explode(values).alias("v"))
+    found = (unnest(with_regex_spans(texts), values, "v", "outbound")
              .groupBy("outbound", "v").agg(F.count(F.lit(1)).alias("n_texts"))
              .select("outbound", F.substring_index("v", ":", 1).alias("pii_type"),
                      F.expr("substring(v, instr(v, ':') + 1)").alias("value"), "n_texts"))

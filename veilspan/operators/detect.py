@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import unnest
 from veilspan.functions.patterns import DEFAULT_PATTERNS, PatternSpec
 from veilspan.functions.spans import SPAN_FIELDS, regex_spans, resolve_overlaps
 from veilspan.session import built_once
@@ -34,7 +35,7 @@ def with_regex_spans(docs: DataFrame, patterns: Sequence[PatternSpec] = DEFAULT_
 def explode_spans(df: DataFrame, id_cols: Sequence[str] = ("doc_id",),
                   spans_col: str = SPANS) -> DataFrame:
     """One row per span. Texts without spans vanish."""
-    return df.select(*id_cols, F.explode(spans_col).alias("_s")).select(
+    return unnest(df, spans_col, "_s", *id_cols).select(
         *id_cols, *[F.col("_s")[f].alias(f) for f in SPAN_FIELDS])
 
 

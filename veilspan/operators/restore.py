@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import unnest
 from veilspan.functions.restoring import MAPPING_TYPE, MIN_FIRST_TOKEN, restore_chain
 from veilspan.functions.spans import splice
 from veilspan.functions.synth import KEYED_PATTERNS, POSSESSIVE_PATTERN
@@ -60,7 +61,7 @@ def restore_keyed(texts: DataFrame, vault: DataFrame, id_col: str = "doc_id",
     shared_dir(texts.sparkSession)
     patterns = (*KEYED_PATTERNS, POSSESSIVE_PATTERN)
     found = with_resolved_spans(with_regex_spans(texts, patterns, text_col, "_h"), "_h", "_h")
-    hits = (found.select(id_col, "session_id", F.explode("_h").alias("s"))
+    hits = (unnest(found, "_h", "s", id_col, "session_id")
         .select(id_col, "session_id", "s.start", "s.end", F.col("s.value").alias("surface"))
         .checkpoint())
     keys = ["session_id", "surface"]

@@ -8,10 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions.arrays import unnest
 from veilspan.operators.detect import with_regex_spans, with_resolved_spans
 from veilspan.operators.entities import with_ner_spans
 from veilspan.operators.merge import with_merged_spans
-from veilspan.operators.redact import redact_keyed, with_mappings
+from veilspan.operators.redact import redact_keyed, with_keyed_spans, with_mappings
 from veilspan.session import shared_dir
 from veilspan.sources import forms as derived
 from veilspan.sources import tables
@@ -51,8 +52,8 @@ def redacted(docs: DataFrame) -> DataFrame:
 
 def keyed_vault(spark: SparkSession, d: str) -> DataFrame:
     """One vault row per keyed mapping of the forms."""
-    rows = with_mappings(redacted(forms(spark, d))).select(
-        "session_id", F.explode("mappings").alias("m")).select(
+    named = with_keyed_spans(resolved(forms(spark, d)))
+    rows = unnest(with_mappings(named), "mappings", "m", "session_id").select(
         "session_id", "m.pii_type", "m.real", "m.synthetic").distinct()
     return rows.withColumn("first_seen_ts", F.lit("2024-01-01").cast("timestamp"))
 

@@ -46,7 +46,8 @@ def labelled_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def ordered(spark: SparkSession, d: str) -> DataFrame:
     found = with_regex_spans(common.forms(spark, d))
-    return found.select("doc_id", F.posexplode("spans").alias("rank", "s")).select(
+    return found.select("doc_id", F.posexplode_outer("spans").alias("rank", "s")).filter(
+        "rank is not null").select(
         "doc_id", F.col("rank").cast("bigint").alias("rank"), "s.start", "s.pii_type", "s.value")
 
 

@@ -59,8 +59,8 @@ def real_items(spark: SparkSession, d: str) -> DataFrame:
 
 def unlabelled_items(spark: SparkSession, d: str) -> DataFrame:
     """Items with their text, to cut label prefixes; the texts are unique by id."""
-    found = (common.answered(spark, d)
-             .select("doc_id", "text", F.posexplode(ner.items(F.col("response"))).alias("pos", "i")))
+    found = common.answered(spark, d).select(
+        "doc_id", "text", F.posexplode_outer(ner.items(F.col("response"))).alias("pos", "i"))
     known = F.try_element_at(ner.alias_map(), F.lower("i.type")).isNotNull()
     real = ~strip(F.col("i.entity")).isin("", "...", "<entity>")
     return found.filter(known & real).select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
+from veilspan.functions.arrays import unnest
 from veilspan.operators.detect import detect_regex_spans
 from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
@@ -29,7 +30,7 @@ def type_dimension(spark: SparkSession, d: str) -> DataFrame:
 
 def alias_dimension(spark: SparkSession, d: str) -> DataFrame:
     """The alias dimension with how often the model used each alias."""
-    used = (common.answered(spark, d).select(F.explode(ner.items(F.col("response"))).alias("i"))
+    used = (unnest(common.answered(spark, d), ner.items(F.col("response")), "i")
             .groupBy(F.lower("i.type").alias("alias")).agg(F.count(F.lit(1)).alias("n")))
     return tables.dims(spark)["ner_alias"].join(used, "alias", "left").select(
         "alias", "pii_type", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_items"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veilspan.functions.arrays import unnest
 from veilspan.functions.synth import DEFAULT_SALT
 from veilspan.operators.detect import SPANS, with_regex_spans, with_resolved_spans
 from veilspan.operators.redact import redact_keyed, with_keyed_spans
@@ -38,9 +39,8 @@ def stream_redact(stream: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "
 def stream_dashboard(stream: DataFrame, window: str = "1 day", slide: str | None = None,
                      ts_col: str = "ts", text_col: str = "text") -> DataFrame:
     """Found items per time window and type; late rows are dropped past the watermark."""
-    found = (with_regex_spans(stream, text_col=text_col)
-             .withWatermark(ts_col, LATENESS)
-             .select(ts_col, F.explode(SPANS).alias("s")))
+    found = unnest(with_regex_spans(stream, text_col=text_col).withWatermark(ts_col, LATENESS),
+                   SPANS, "s", ts_col)
     return (found.groupBy(F.window(ts_col, window, slide), F.col("s.pii_type").alias("pii_type"))
             .agg(F.count(F.lit(1)).alias("n_items"),
                  F.approx_count_distinct("s.value").alias("n_distinct_about"))
@@ -64,8 +64,8 @@ def mappings_of(df: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
                 ts_col: str = "ts") -> DataFrame:
     """Keyed mappings of messages, as vault rows (one per occurrence)."""
     found = with_resolved_spans(with_regex_spans(df, text_col=text_col))
-    return (with_keyed_spans(found, salt).select("session_id", F.col(ts_col).alias(
-        "first_seen_ts"), F.explode("named").alias("s"))
+    return (unnest(with_keyed_spans(found, salt), "named", "s", "session_id",
+                   F.col(ts_col).alias("first_seen_ts"))
         .select("session_id", F.col("s.pii_type").alias("pii_type"),
                 F.col("s.value").alias("real"), F.col("s.synthetic").alias("synthetic"),
                 "first_seen_ts"))
