@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+FEW = 9
 CHUNK_BITS = 12
 CHUNK = 1 << CHUNK_BITS
 
@@ -60,15 +61,28 @@ def fold_emit(items: Column, zero: Column, out_type: str,
         return let(inner, lambda r: F.struct(
             r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out")))
 
-    start = F.struct(zero.alias("state"), empty(f"array<{out_type}>").alias("out"))
-    return let(items, lambda xs: F.aggregate(
-        in_blocks(xs), start, block, lambda acc: F.flatten(acc["out"])))
+    def blocked(xs: Column) -> Column:
+        start = F.struct(zero.alias("state"), empty(f"array<{out_type}>").alias("out"))
+        return F.aggregate(in_blocks(xs), start, block, lambda acc: F.flatten(acc["out"]))
+
+    def plain(xs: Column) -> Column:
+        start = F.struct(zero.alias("state"), empty(out_type).alias("out"))
+        return F.aggregate(xs, start, one, lambda acc: acc["out"])
+
+    return let(items, lambda xs: F.when(F.size(xs) <= BLOCK, plain(xs)).otherwise(blocked(xs)))
 
 
 def offsets(lengths: Column) -> Column:
     """Sum of the elements before each element."""
-    return fold_emit(lengths, F.lit(0), "int",
-                     step=lambda s, x: s + x, emit=lambda s, x: F.array(s))
+    def few(xs: Column) -> Column:
+        return F.transform(xs, lambda _, i: F.aggregate(
+            F.slice(xs, F.lit(1), i), F.lit(0), lambda a, x: a + x))
+
+    def many(xs: Column) -> Column:
+        return fold_emit(xs, F.lit(0), "int",
+                         step=lambda s, x: s + x, emit=lambda s, x: F.array(s))
+
+    return let(lengths, lambda xs: F.when(F.size(xs) <= FEW, few(xs)).otherwise(many(xs)))
 
 
 def text_chunks(text: Column) -> Column:
@@ -86,6 +100,7 @@ def chunk_slice(chunks: Column, start: Column, end: Column) -> Column:
         tail = F.substring(F.get(chunks, last), F.lit(1), end - last * CHUNK)
         return F.when(first == last, head).otherwise(F.concat(head, whole, tail))
 
-    return F.when(end <= start, F.lit("")).otherwise(
+    one_chunk = F.substring(F.get(chunks, F.lit(0)), start + 1, end - start)
+    return F.when(end <= start, F.lit("")).when(F.size(chunks) == 1, one_chunk).otherwise(
         let(F.shiftright(start, CHUNK_BITS),
             lambda a: let(F.shiftright(end - 1, CHUNK_BITS), lambda b: within(a, b))))

@@ -32,14 +32,15 @@ def make_span(start, end, ord_, pii_type, value, confidence, source) -> Column:
 
 
 def _guard(text: Column, spec: PatternSpec) -> Column:
+    """Cheap tests that every match implies; they spare most texts the regex."""
     cond = F.lit(True)
     for literal in spec.needs:
         cond = cond & F.contains(text, F.lit(literal))
-    return cond & F.rlike(text, F.lit(spec.java))
+    return cond
 
 
 def _marked(text: Column, spec: PatternSpec) -> Column:
-    """The text with a mark on both sides of every value."""
+    """The text with a mark on both sides of every value; the text itself without a hit."""
     around = f"$1{MARK}$2{MARK}$3" if spec.labelled else f"{MARK}$0{MARK}"
     return F.when(_guard(text, spec), F.regexp_replace(text, spec.java, around))
 
@@ -58,15 +59,17 @@ def regex_spans(text: Column, patterns: Sequence[PatternSpec] = DEFAULT_PATTERNS
     def hits(src: Column) -> Column:
         return F.filter(F.array(*[
             F.struct(_marked(src["clean"], p).alias("marked"), F.lit(i).alias("ord"),
-                     F.lit(p.pii_type).alias("pii_type"))
-            for i, p in enumerate(patterns)]), lambda h: h["marked"].isNotNull())
+                     F.lit(p.pii_type).alias("pii_type"), F.lit(p.labelled).alias("labelled"))
+            for i, p in enumerate(patterns)]), lambda h: F.contains(h["marked"], F.lit(MARK)))
 
     def cut(src: Column, hit: Column, pieces: Column, starts: Column) -> Column:
         def span(i: Column) -> Column:
             def value(begin: Column) -> Column:
                 piece = F.get(pieces, i)
-                return strip(F.when(src["original"].isNull(), piece).otherwise(
-                    chunk_slice(src["original"], begin, begin + F.length(piece))))
+                raw = F.when(src["original"].isNull(), piece).otherwise(
+                    chunk_slice(src["original"], begin, begin + F.length(piece)))
+                # Only a labelled value can end in whitespace.
+                return F.when(hit["labelled"], strip(raw)).otherwise(raw)
             return let(F.get(starts, i), lambda begin: let(value(begin), lambda v: make_span(
                 begin, begin + F.length(v), hit["ord"], hit["pii_type"], v,
                 F.lit(1.0), F.lit(fv.REGEX_SOURCE))))

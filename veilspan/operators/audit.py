@@ -40,10 +40,10 @@ def item_counts(spans: DataFrame, scope_cols: Sequence[str], exact: bool = True)
                                            F.count(F.lit(1)).alias("n_distinct"))
 
 
-def density(spans: DataFrame, *dims: str) -> DataFrame:
-    """Found items by type and further dimensions, with subtotals."""
-    names = ("pii_type", *dims)
-    return spans.rollup(*names).agg(
+def density(found: DataFrame, *dims: str, spans_col: str = "spans") -> DataFrame:
+    """Found items by type and further columns of the texts, with subtotals."""
+    items = unnest(found, spans_col, "s", *dims).select(F.col("s.pii_type").alias("pii_type"), *dims)
+    return items.rollup("pii_type", *dims).agg(
         F.count(F.lit(1)).alias("n_items"), F.grouping_id().cast("bigint").alias("level"))
 
 

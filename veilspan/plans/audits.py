@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import ner, routing
 from veilspan.operators import audit, redact, restore
-from veilspan.operators.detect import detect_regex_spans, explode_spans
+from veilspan.operators.detect import explode_spans, with_regex_spans
 from veilspan.operators.routing import route
 from veilspan.plans import common, routes
 from veilspan.plans.catalog import Catalog
@@ -119,9 +119,8 @@ def register(c: Catalog) -> None:
         [*BOTH, *SAFE_CTES, TYPES_CTE], "select doc_id, start, icon || ' ' || rpad(label, 10, ' ') || "
         "' ''' || substr(value, 1, 45) || ''' (conf=' || format('{:.2f}', confidence) || ') [' || source "
         "|| ']' as line from safe join types using (pii_type)"))
-    c.add("density_with_totals", lambda s, d: audit.density(detect_regex_spans(
-        common.documents(s, d), id_cols=("doc_id", "lang", "source")).drop("source")
-        .join(common.documents(s, d).select("doc_id", "source"), "doc_id"), "lang", "source"),
+    c.add("density_with_totals", lambda s, d: audit.density(
+        with_regex_spans(common.documents(s, d)), "lang", "source"),
         with_([SRC_DOCUMENTS, *span_ctes()], "select s.pii_type, d.lang, d.source, count(*) as n_items, "
               "grouping(s.pii_type, d.lang, d.source) as level from spans s join documents d "
               "using (doc_id) group by rollup (s.pii_type, d.lang, d.source)"))
