@@ -41,7 +41,7 @@ def join_responses(docs: DataFrame, responses: DataFrame, kind: str = "ner",
     """
     keyed = with_text_sha(docs, text_col)
     answers = (responses.filter(F.col("kind") == kind)
-               .groupBy("text_sha").agg(F.first("response").alias("response")))
+               .groupBy("text_sha").agg(F.min("response").alias("response")))
     hot = (hot_keys(keyed, ["text_sha"]) if requests is None
            else hot_keys(requests, ["text_sha"], "n_docs"))
     return spread_join(keyed, answers, ["text_sha"], hot, id_col)

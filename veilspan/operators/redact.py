@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from veilspan.functions.spans import SPAN_FIELDS, splice
 from veilspan.functions.synth import DEFAULT_SALT, keyed_value, ordinal_value
 from veilspan.functions.text import strip
-from veilspan.session import built_once
+from veilspan.operators.skew import hot_keys, spread_join
+from veilspan.session import built_once, shared_dir
 
 _SEP = "\u0000"
 
@@ -72,11 +73,22 @@ def redact(docs: DataFrame, spans: DataFrame, mappings: DataFrame, id_col: str =
     """Rewrite texts from long-form spans and a mapping table; adds ``sanitized``.
 
     ``on`` names the mapping scope: the text id for ordinal mappings, or for
-    example ("session_id", "pii_type") for keyed ones. Spans must be free of
-    overlaps. Texts without spans pass through unchanged.
+    example ("session_id", "pii_type") for keyed ones, with one mapping per
+    scope and real value. Spans must be free of overlaps. Texts without spans
+    pass through unchanged.
+
+    In a wider scope one value may stand in a large share of all texts. The spans
+    are then written to the checkpoint folder, counted, and hot values spread.
     """
-    named = spans.filter(F.col("start").isNotNull()).join(
-        mappings.select(*on, F.col("real").alias("value"), "synthetic"), [*on, "value"])
+    placed = spans.filter(F.col("start").isNotNull())
+    known = mappings.select(*on, F.col("real").alias("value"), "synthetic")
+    keys = [*on, "value"]
+    if id_col in on:
+        named = placed.join(known, keys)
+    else:
+        shared_dir(docs.sparkSession)
+        placed = placed.select(id_col, *keys, "start", "end").checkpoint()
+        named = spread_join(placed, known, keys, hot_keys(placed, keys), id_col, "inner")
     # Spans of one text, so the list is bounded by the text.
     packed = named.groupBy(id_col).agg(F.array_sort(F.collect_list(
         F.struct("start", "end", "synthetic"))).alias("_s"))

@@ -24,10 +24,17 @@ PROMPT_SQL = f"{q(ner.PROMPT_HEAD)} || text || {q(ner.PROMPT_TAIL)}"
 BOTH = [SRC_ANSWERED, *span_ctes(), *ENTITY_CTES]
 
 
+def written_requests(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The request table, as it is written for the model to work through."""
+    path = common.fresh_dir(spark, "requests")
+    entities.ner_requests(docs).write.parquet(path)
+    return spark.read.schema("text_sha string, prompt string, n_docs bigint").parquet(path)
+
+
 def fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Requests of the documents answered once per text, then given to every copy."""
     docs = common.documents(spark, d)
-    requests = entities.ner_requests(docs)
+    requests = written_requests(spark, docs)
     answers = requests.select("text_sha", F.lit("ner").alias("kind"), F.concat(
         F.lit("copies: "), F.col("n_docs").cast("string")).alias("response"))
     return entities.join_responses(docs, answers, requests=requests).select("doc_id", "response")
@@ -75,9 +82,9 @@ def clamped(spark: SparkSession, d: str) -> DataFrame:
 
 def entity_spans(spark: SparkSession, d: str) -> DataFrame:
     """The whole way: request key, response table, parsing, filters, location."""
-    docs, requests = common.forms(spark, d), entities.ner_requests(common.forms(spark, d))
+    docs = common.forms(spark, d)
     return entities.parse_ner(docs, derived.form_responses(spark, d),
-                              requests=requests).select(*COLUMNS)
+                              requests=written_requests(spark, docs)).select(*COLUMNS)
 
 
 def long_ner(spark: SparkSession, d: str) -> DataFrame:

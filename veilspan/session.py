@@ -34,9 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    path = tempfile.mkdtemp(prefix="veilspan-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veilspan-"))
+    return context.getCheckpointDir().removeprefix("file:")
 
 
 def built_once(build: Callable[..., Column]) -> Callable[..., Column]:

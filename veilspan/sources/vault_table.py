@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspan.operators.vault import BUCKETS, VAULT_COLUMNS, VAULT_SCHEMA
 
-SPREAD = 16
+SPREAD = 64
 
 
 def bucket_of(session_id: Column) -> Column:
