@@ -78,13 +78,13 @@ def span_rows(spark, rows):
 def test_parity_merge_is_greedy_in_response_order(spark):
     regex = span_rows(spark, [(1, 0, 5, 0, "SSN", "abcde", 1.0, "regex")])
     entities = span_rows(spark, [
-        (1, 3, 8, 1000, "PHONE", "defgh", .9, "gemma_ner"),      # overlaps the hit
-        (1, None, None, 1001, "SSN", " ABCDE ", .9, "gemma_ner"),  # same value and type
-        (1, 10, 20, 1002, "PHONE", "first", .9, "gemma_ner"),
-        (1, 15, 30, 1003, "PHONE", "second", .9, "gemma_ner"),   # overlaps a kept entity
-        (1, 20, 30, 1004, "PHONE", "third", .9, "gemma_ner"),
-        (1, None, None, 1005, "EMAIL", "lost", .9, "gemma_ner"),
-        (2, 3, 8, 1000, "PHONE", "other", .9, "gemma_ner")])
+        (1, 3, 8, 1000, "PHONE", "defgh", .9, "ner"),      # overlaps the hit
+        (1, None, None, 1001, "SSN", " ABCDE ", .9, "ner"),  # same value and type
+        (1, 10, 20, 1002, "PHONE", "first", .9, "ner"),
+        (1, 15, 30, 1003, "PHONE", "second", .9, "ner"),   # overlaps a kept entity
+        (1, 20, 30, 1004, "PHONE", "third", .9, "ner"),
+        (1, None, None, 1005, "EMAIL", "lost", .9, "ner"),
+        (2, 3, 8, 1000, "PHONE", "other", .9, "ner")])
     merged = merge_spans(regex, entities, "parity")
     assert sorted((r.doc_id, r.value) for r in merged.collect()) == [
         (1, "abcde"), (1, "first"), (1, "lost"), (1, "third"), (2, "other")]

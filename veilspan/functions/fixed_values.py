@@ -78,7 +78,7 @@ DEFAULT_CONFIDENCE = 0.9
 NO_RESPONSE_PREFIX = "[API"
 PLACEHOLDER_VALUES = ["...", "<entity>"]
 REGEX_SOURCE = "regex"
-NER_SOURCE = "gemma_ner"
+NER_SOURCE = "ner"
 
 # Routing vocabulary and the conservative fallback record.
 ROUTING_VALUES = {
