@@ -10,6 +10,7 @@ from veilspan.llm.common import Stored, n_words
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
 PER_BAND = 2000  # rows of a source that one task sums
+PASSES = 3
 # Marks that stand in prose seldom; their share lowers the quality weight.
 MARKS = "!#$%&*|<>{}=_~^"
 
@@ -54,61 +55,79 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS,
         F.col("weight") * F.coalesce(level, F.lit(float("inf"))), F.col("stop")).alias("target"))
 
 
+def running_sums(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Add ``before``, the words of a source's documents that come before one by key.
+
+    ``bands`` has for each source ("src") the number of bands that its rows are dealt to.
+    Sums run within a band, and over the sums of the bands: no task sees a whole source.
+    """
+    # 1 - exp(-key) grows with the key and is nearly uniform.
+    banded = rows.join(bands, "src").withColumn("band", F.least(
+        F.floor((1 - F.exp(-F.col("key"))) * F.col("bands")), F.col("bands") - 1)).drop("bands")
+    upto = Window.partitionBy("src").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    bases = banded.groupBy("src", "band").agg(F.sum("size").alias("_words")).select(
+        "src", "band", F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("src", "band").orderBy("key", "doc_id", "size").rowsBetween(
+        Window.unboundedPreceding, -1)
+    return (banded.withColumn("_sum", F.coalesce(F.sum("size").over(within), F.lit(0)))
+            .join(bases, ["src", "band"])
+            .withColumn("before", F.col("_base") + F.col("_sum")).drop("_base", "_sum", "band"))
+
+
 def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
         source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
         most: float = MOST_EPOCHS) -> DataFrame:
     """Times that each document is taken so that every source meets its target.
 
-    A source first gives complete epochs (every document as often); for the rest
-    of its budget its documents are sorted by an exponential variate, keyed by seed,
-    id and text, over their quality weight, and taken as long as the sum of their words stays
-    nearest to the budget. Sums run over bands of the key, so no task sees a whole source.
+    A source first gives complete epochs (every document as often); for the rest of its
+    budget its documents are sorted by an exponential variate, keyed by seed, id and text, over
+    their quality weight, and taken as long as the sum of their words stays within the
+    budget. The gap before the first that doesn't fit goes, in PASSES passes of the same
+    kind, to later ones that fit it.
 
-    Null texts and texts without words have size 0 and are taken with the
-    epochs only; documents with null source form a source of their own. Repeated
-    rows are documents of their own with the same key. An empty table gives no
-    rows. Returns id, size, source_size, target, times, taken.
+    Null texts and texts without words have size 0 and are taken with the epochs only;
+    documents with null source form a source of their own. Repeated rows are documents of
+    their own with the same key. An empty table gives no rows, extra columns are not
+    passed on. Returns id, size, source_size, target, times, taken.
     """
     spark = df.sparkSession
     store = Stored(spark, "mixing")
-    text = F.col(text_col)
+    text, source = F.col(text_col), F.col(source_col)
     # Uniform in (0, 1] from 52 bits of a hash: reruns agree whatever the partitions.
     hashed = F.xxhash64(F.lit(seed), F.col(id_col), text)
     uniform = (F.shiftrightunsigned(hashed, 12).cast("double") + 1) / F.lit(float(1 << 52))
     rows = store.put(df.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+        F.col(id_col).alias("doc_id"), source.alias("source"),
+        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src"),
         n_words(text).alias("size"), F.coalesce(-F.log(uniform) / quality_weight(text),
-                                                F.lit(0.0)).alias("key")))
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"),
-                                       F.count("*").alias("n"))
-    aims = store.put(targets(sizes.select("source", "source_size"), weights, most).withColumn(
-        "epochs", F.when(F.col("source_size") > 0,
-                         F.floor(F.col("target") / F.col("source_size") + 1e-12))
-        .otherwise(0).cast("long")).withColumn(
-        "budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-        .join(sizes.withColumnRenamed("source", "_s").select("_s", "n"),
-              F.col("source").eqNullSafe(F.col("_s"))).drop("_s"))
-    aims = aims.withColumn("bands", F.ceil(F.col("n") / PER_BAND).cast("long")).drop("n")
-    # A hot source's rows stay where they are: the few rows of the sources come to them
-    # if Spark finds them small, else skewed partitions are split.
-    joined = rows.join(aims.withColumnRenamed("source", "_s"),
-                       F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # 1 - exp(-key) grows with the key and is nearly uniform: the band of a row.
-    joined = joined.withColumn("band", F.least(
-        F.floor((1 - F.exp(-F.col("key"))) * F.col("bands")), F.col("bands") - 1)).drop("bands")
-    before = Window.partitionBy("source").orderBy("band").rowsBetween(
-        Window.unboundedPreceding, -1)
-    bases = joined.groupBy("source", "band").agg(F.sum("size").alias("_words")).select(
-        F.col("source").alias("_s"), F.col("band").alias("_b"),
-        F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("source", "band").orderBy("key", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, -1)
-    summed = (joined.withColumn("_sum", F.coalesce(F.sum("size").over(within), F.lit(0)))
-              .join(bases, F.col("source").eqNullSafe(F.col("_s"))
-                    & (F.col("band") == F.col("_b"))))
-    start = F.col("_base") + F.col("_sum")
-    # The document across the budget is taken if more than half of it lies within.
-    once_more = (F.col("size") > 0) & (start + F.col("size") / 2 < F.col("budget"))
-    times = F.col("epochs") + once_more.cast("long")
-    return summed.select(F.col("doc_id").alias(id_col), "size", "source_size", "target",
-                         times.alias("times"), (times * F.col("size")).alias("taken"))
+                                                F.lit(0.0)).alias("key"),
+        F.lit(False).alias("again")))
+    sizes = rows.groupBy("src").agg(F.first("source").alias("source"),
+                                    F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    sizes = store.put(sizes)
+    epochs = F.when(F.col("source_size") > 0,
+                    F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0)
+    aims = store.put(targets(sizes.select("source", "source_size"), weights, most)
+                     .withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+                     .withColumn("epochs", epochs.cast("long")).drop("source")
+                     .join(sizes.select("src", F.ceil(F.col("n") / PER_BAND).alias("bands")),
+                           "src"))
+    bands = aims.select("src", "bands")
+    left = aims.select("src", (F.col("target") - F.col("epochs") * F.col("source_size"))
+                       .alias("left"))
+    for _ in range(PASSES):
+        open_rows = rows.join(left, "src").withColumn("_fits", ~F.col("again") & (
+            F.col("size") > 0) & (F.col("size") <= F.col("left")))
+        summed = running_sums(open_rows.filter("_fits"), bands)
+        passed = summed.withColumn("again", F.col("before") + F.col("size") <= F.col("left"))
+        rows = store.put(passed.select(rows.columns).unionByName(
+            open_rows.filter("not _fits").select(rows.columns)))
+        used = rows.groupBy("src").agg(F.sum(F.when(F.col("again"), F.col("size"))
+                                             .otherwise(0)).alias("used"))
+        left = aims.join(used, "src").select("src", (
+            F.col("target") - F.col("epochs") * F.col("source_size") - F.col("used"))
+            .alias("left"))
+    times = F.col("epochs") + F.col("again").cast("long")
+    return rows.join(aims, "src").select(
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", times.alias("times"),
+        (times * F.col("size")).alias("taken"))
