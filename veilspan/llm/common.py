@@ -90,14 +90,15 @@ def ranked(df: DataFrame, counts: DataFrame, key: str, order: list[str], salt: l
            out: str = "rank") -> DataFrame:
     """Number the rows of each key from 0, without bringing a key's rows together.
 
-    ``counts`` has one row for each key with its rows ``n``; a key is dealt to one
-    part per RANKED_TOGETHER rows by a hash of ``salt``. Parts are numbered after
-    each other, rows within a part by ``order``.
+    ``counts`` has one row for each key with its rows ``n``, and a number of keys that does
+    not depend on the data, as it is broadcast; a key is dealt to one part per
+    RANKED_TOGETHER rows by a hash of ``salt``. Parts are numbered after each other, rows
+    within a part by ``order``.
     """
     from pyspark.sql import Window
     parts = counts.select(key, F.ceil(F.col("n") / RANKED_TOGETHER).cast("long").alias("_parts"))
-    # Ties are broken by all columns in order, so that equal rows alone are exchangeable.
-    dealt = df.join(parts, key).withColumn(
+    # Broadcast, lest the rows of a key be brought together for this join.
+    dealt = df.join(F.broadcast(parts), key).withColumn(
         "_part", F.pmod(F.xxhash64(*salt), F.col("_parts"))).drop("_parts")
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)

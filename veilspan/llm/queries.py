@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import mixing, packing, quality, sharding, simhash
+from veilspan.llm import (embeddings, html_text, mixing, packing, pii, quality, sharding, simhash)
 from veilspan.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+# A deployment passes its own secret; the registered query has a fixed one so that reruns agree.
+QUERY_KEY = b"key of the registered query"
+
+
+def op2_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.with_pseudonyms(read_table(spark, d, "documents"), QUERY_KEY,
+                               counts_col="n_found").select(
+        "doc_id", "text", *[F.col("n_found")[k].alias(f"n_{k}") for k in pii.KINDS])
+
+
 def op3_sharding(spark: SparkSession, d: str) -> DataFrame:
     dealt = sharding.shard(read_table(spark, d, "documents"), 16)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
@@ -22,11 +32,20 @@ def op4_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, d, "documents"))
 
 
+def op5_html(spark: SparkSession, d: str) -> DataFrame:
+    return html_text.extract(read_table(spark, d, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(read_table(spark, d, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    return embeddings.near_duplicates(read_table(spark, d, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(read_table(spark, d, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -40,9 +59,12 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
     "op6_mixing": op6_mixing,
+    "op8_embeddings": op8_embeddings,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
