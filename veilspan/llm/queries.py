@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import (embeddings, html_text, mixing, packing, pii, quality, sharding, simhash)
+from veilspan.llm import (embeddings, html_text, mixing, packing, pii, quality, sharding, simhash,
+                          suffix_dedup)
 from veilspan.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(read_table(spark, d, "documents"))
+
+
 # A deployment passes its own secret; the registered query has a fixed one so that reruns agree.
 QUERY_KEY = b"key of the registered query"
 
@@ -59,6 +64,7 @@ def op10_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_pii": op2_pii,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
