@@ -90,6 +90,14 @@ def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "t
     their own with the same key. An empty table gives no rows, extra columns are not
     passed on. Returns id, size, source_size, target, times, taken.
     """
+    return _taken(df, seed, id_col, text_col, source_col, weights, most).select(
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", "times",
+        (F.col("times") * F.col("size")).alias("taken"))
+
+
+def _taken(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str,
+           weights: tuple[float, ...], most: float) -> DataFrame:
+    """The mix with the hash of each text: doc_id, _text, size, source_size, target, times."""
     spark = df.sparkSession
     store = Stored(spark, "mixing")
     text, source = F.col(text_col), F.col(source_col)
@@ -99,7 +107,7 @@ def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "t
     rows = store.put(df.select(
         F.col(id_col).alias("doc_id"), source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src"),
-        n_words(text).alias("size"), F.coalesce(-F.log(uniform) / quality_weight(text),
+        F.xxhash64(text).alias("_text"), n_words(text).alias("size"), F.coalesce(-F.log(uniform) / quality_weight(text),
                                                 F.lit(0.0)).alias("key"),
         F.lit(False).alias("again")))
     sizes = rows.groupBy("src").agg(F.first("source").alias("source"),
@@ -128,6 +136,32 @@ def mix(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "t
             F.col("target") - F.col("epochs") * F.col("source_size") - F.col("used"))
             .alias("left"))
     times = F.col("epochs") + F.col("again").cast("long")
-    return rows.join(aims, "src").select(
-        F.col("doc_id").alias(id_col), "size", "source_size", "target", times.alias("times"),
-        (times * F.col("size")).alias("taken"))
+    return rows.join(aims, "src").select("doc_id", "_text", "size", "source_size", "target",
+                                         times.alias("times"))
+
+
+def mixed(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
+          most: float = MOST_EPOCHS) -> DataFrame:
+    """The rows of the mix, with all their columns: each as often as it is taken.
+
+    Rows of equal id and text share what is taken of them as evenly as whole
+    rows allow.
+    """
+    named = df.withColumn("_text", F.xxhash64(F.col(text_col)))
+    times = (_taken(df, seed, id_col, text_col, source_col, weights, most)
+             .groupBy("doc_id", "_text").agg(F.sum("times").alias("_all"),
+                                             F.count("*").alias("_rows"))
+             .filter("_all > 0").withColumnRenamed("doc_id", "_id")
+             .withColumnRenamed("_text", "_of"))
+    together = named.join(times, F.col(id_col).eqNullSafe(F.col("_id"))
+                          & (F.col("_text") == F.col("_of")))
+    # Only rows that repeat need a number; the others stay where the join has put them.
+    order = Window.partitionBy("_id", "_of").orderBy(F.col(source_col))
+    many = together.filter("_rows > 1").withColumn("_row", F.row_number().over(order) - 1)
+    single = together.filter("_rows = 1").withColumn("_row", F.lit(0))
+    each = F.floor(F.col("_all") / F.col("_rows")) + (
+        F.col("_row") < F.col("_all") % F.col("_rows")).cast("int")
+    return (single.unionByName(many)
+            .withColumn("_copies", F.array_repeat(F.lit(0), each.cast("int")))
+            .withColumn("_copy", F.explode("_copies")).select(*df.columns))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import (embeddings, html_text, mixing, packing, pii, quality, sharding, simhash,
+from veilspan.llm import (embeddings, fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash,
                           suffix_dedup)
 from veilspan.llm.common import read_table
 
@@ -47,6 +47,10 @@ def op6_mixing(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.with_fingerprints(read_table(spark, d, "documents"))
+
+
 def op8_embeddings(spark: SparkSession, d: str) -> DataFrame:
     return embeddings.near_duplicates(read_table(spark, d, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op4_simhash": op4_simhash,
     "op5_html": op5_html,
     "op6_mixing": op6_mixing,
+    "op7_fingerprints": op7_fingerprints,
     "op8_embeddings": op8_embeddings,
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
