@@ -20,6 +20,9 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 RANKED_TOGETHER = 500
 
 
+# Rows that a Python worker holds at a time where the session has Spark's own default.
+BATCH_ROWS = "1000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: weakref.WeakSet[SparkContext] = weakref.WeakSet()
 
 
@@ -27,9 +30,12 @@ def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context.
 
     Functions that run in tasks name others by their module, so workers must be able to
-    import it wherever the driver was started.
+    import it wherever the driver was started. Texts are long rows: batches of Spark's
+    default number of them would take much of a worker's memory.
     """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, BATCH_ROWS)
     if context in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

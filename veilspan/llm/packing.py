@@ -30,18 +30,20 @@ class Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as file:
             vocab = json.load(file)["model"]["vocab"]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()
                  if token != SPECIAL}
+        self.path, self.whole = path, None
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN,
                                       mergeable_ranks=ranks, special_tokens={})
-        self.whole = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> list[int]:
         if SPECIAL in text:
+            if self.whole is None:  # seldom needed, and as large as all the rest
+                from tokenizers import Tokenizer
+                self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
