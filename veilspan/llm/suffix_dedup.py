@@ -150,14 +150,15 @@ def neighbours(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return i[same], j[same]
 
 
-def compare(found: DataFrame, parts: int, least: int, gram: int) -> DataFrame:
-    """Sort all suffixes over ``parts`` tasks and compare neighbours.
+def compare(found: DataFrame, sides: tuple[str, str], parts: int, least: int, gram: int
+            ) -> DataFrame:
+    """Sort all suffixes over ``parts`` tasks, by the first side first, and compare neighbours.
 
     A task also leaves its outermost suffixes (edge not null), for those
     that meet across tasks. Columns edge, part, key, right, left, doc_id, pos, start, end.
     """
-    order = ["key", "right", "left", "doc_id", "pos"]
-    columns = ["edge", "part", *order, "start", "end"]
+    order = ["key", *sides, "doc_id", "pos"]
+    columns = ["edge", "part", "key", "right", "left", "doc_id", "pos", "start", "end"]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, rest, first = TaskContext.get().partitionId(), None, True
@@ -220,8 +221,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     have the smallest hash around; so two passages that agree retain the same places. Suffixes
     whose gram only one document has are dropped by a count. The others are sorted over all tasks,
     and each is compared with the nearest suffixes of other documents before and after it:
-    the words they share to the right and to the left make the match. Matches of a document that
-    overlap or touch are one passage.
+    the words they share to the right and to the left make the match. A second order, by the words
+    to the left, finds partners that share less to the right but more to the left. Matches of a
+    document that overlap or touch are one passage.
 
     Words are what ASCII white space separates. Texts that are null, empty or shorter than ``least``
     words, and rows without an id have no passages; rows that repeat an id are one document, to
@@ -241,11 +243,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.collect_list(F.struct("key", "pos")).alias("places")))
     found = store.put(suffixes(docs, places, least, gram))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = store.put(compare(found, parts, least, gram))
-    edges = compared.filter("edge is not null").collect()  # four for each task at most
-    more = spark.createDataFrame(_across(edges, least, gram), "doc_id long, start int, end int")
-    spans = compared.filter("edge is null").select("doc_id", "start", "end").unionByName(
-        more).distinct()
+    spans = None
+    for sides in (("right", "left"), ("left", "right")):
+        compared = store.put(compare(found, sides, parts, least, gram))
+        edges = compared.filter("edge is not null").collect()  # four for each task at most
+        more = spark.createDataFrame(_across(edges, least, gram), "doc_id long, start int, end int")
+        some = compared.filter("edge is null").select("doc_id", "start", "end").unionByName(more)
+        spans = some if spans is None else spans.unionByName(some)
+    spans = spans.distinct()
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
