@@ -64,15 +64,15 @@ def with_codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
         emit, "class_id long, n long, vector array<double>, codes array<long>")
 
 
-def block_links(x: np.ndarray, codes: np.ndarray, table: int, halves: np.ndarray,
+def block_links(x: np.ndarray, codes: np.ndarray, table: int, halves: np.ndarray | None,
                 cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linked pairs (i, j, first seen here) of one block.
+    """Linked pairs (i, j, first seen here) of one block, or of two blocks.
 
-    Rows of two different halves are compared with each other, or all if there is one half. A pair that
-    an earlier table brings together is counted there.
+    ``halves`` tells two blocks apart, whose rows are compared with those of the other alone. A
+    pair that an earlier table brings together is counted there.
     """
     near = x @ x.T >= cosine
-    if halves.any() and not halves.all():
+    if halves is not None:
         near &= halves[:, None] < halves[None, :]
     else:
         near = np.triu(near, 1)
@@ -127,7 +127,8 @@ def near_links(coded: DataFrame, tables: int, cosine: float) -> DataFrame:
             ids, n = rows["class_id"].to_numpy(), rows["n"].to_numpy()
             x = unit(np.stack(rows["vector"].to_numpy()))
             i, j, new = block_links(x, np.stack(rows["codes"].to_numpy()), table,
-                                    rows["half"].to_numpy(), cosine)
+                                    rows["half"].to_numpy() if rows["a"].iloc[0] != rows["b"].iloc[0]
+                                    else None, cosine)
             if not len(i):
                 continue
             count = np.zeros(len(ids), dtype=np.int64)
