@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions.patterns import DEFAULT_PATTERNS
 from veilspan.operators import audit, merge, redact
+from veilspan.sources import tables
 from veilspan.operators.detect import detect_regex_spans, with_regex_spans, with_resolved_spans
 from veilspan.operators.skew import HOT_SHARE, hot_keys, spread_join
 
@@ -17,7 +18,7 @@ def plan(df):
 
 
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet").withColumn(
+    return tables.documents(spark, SF).withColumn(
         "session_id", F.col("doc_id").cast("string"))
 
 

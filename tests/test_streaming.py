@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veilspan.operators.detect import with_regex_spans, with_resolved_spans
 from veilspan.operators.redact import redact_keyed
+from veilspan.sources import vault_table
 from veilspan.streaming import redaction as streams
 
 SCHEMA = "event_id bigint, ts timestamp, session_id string, text string"
@@ -73,7 +74,7 @@ def test_vault_upkeep_survives_a_replay(spark, folder):
 
     def rows():
         return sorted((r.session_id, r.real, r.synthetic, r.first_seen_ts)
-                      for r in spark.read.parquet(vault).collect())
+                      for r in vault_table.read_vault(spark, vault).collect())
     before = rows()
     assert [(s, r) for s, r, *_ in before] == [
         ("s", "612-45-9083"), ("s", "777-45-9083"), ("s", "ann@mail.example.org"), ("t", "612-45-9083")]
@@ -82,3 +83,32 @@ def test_vault_upkeep_survives_a_replay(spark, folder):
     streams.upsert_batch(second, 1, vault)
     assert rows() == before
     assert streams.vault_collisions(spark, vault).count() == 0
+
+
+def test_deleted_session_of_a_stream_vault(spark, folder):
+    path, add = folder
+    vault, state = str(path / "vault"), str(path / "cp")
+    streams.stream_vault(stream(spark, path), vault, state).awaitTermination()
+    assert vault_table.read_session(spark, vault, "s").count() == 2
+    vault_table.delete_session(spark, vault, "s")
+    assert vault_table.read_vault(spark, vault).count() == 0
+    add([(7, at(95), "s", "SSN 777-45-9083"), (8, at(96), "t", "SSN 612-45-9083")])
+    streams.stream_vault(stream(spark, path), vault, state).awaitTermination()
+    rows = sorted((r.session_id, r.real) for r in vault_table.read_vault(spark, vault).collect())
+    assert rows == [("s", "777-45-9083"), ("t", "612-45-9083")]
+    vault_table.delete_session(spark, vault, "t")
+    assert [r.real for r in vault_table.read_vault(spark, vault).collect()] == ["777-45-9083"]
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_stream_reads_files_and_folders(spark, tmp_path, parts):
+    df = spark.range(1000).select(F.col("id").alias("event_id"))
+    target = str(tmp_path / "events.parquet")
+    if parts:
+        df.repartition(parts).write.parquet(target)
+    else:
+        df.toPandas().to_parquet(target)
+    spark.range(5).select(F.col("id").alias("event_id")).write.parquet(str(tmp_path / "events_old.parquet"))
+    out = streams.run_to_table(streams.table_stream(spark, str(tmp_path), "events"), str(tmp_path / "out"),
+                               str(tmp_path / "cp"))
+    assert out.count() == 1000

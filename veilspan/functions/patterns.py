@@ -4,10 +4,12 @@ One spec renders for two regex dialects: Java (Spark) and RE2 (the DuckDB
 oracle). Templates use these tokens:
 
   \\<  \\>   word edge before / after a digit or letter run (Unicode)
-  WS       one whitespace character, as Python's ``str`` sees it
-  SEP      a whitespace character, "#" or ":"
-  IWS      the same as WS without CR and LF (inside a line)
-  ND       one decimal digit of any script
+  {{WS}}   one whitespace character, as Python's ``str`` sees it
+  {{SEP}}  a whitespace character, "#" or ":"
+  {{IWS}}  the same as WS without CR and LF (inside a line)
+  {{ND}}   one decimal digit of any script
+
+Double braces are no regex, so a pattern holds a token only on purpose.
 
 A labelled spec is written as (prefix)(value)(suffix): the value's offset is
 the match start plus the prefix length, so nothing has to be searched for.
@@ -15,7 +17,8 @@ the match start plus the prefix length, so nothing has to be searched for.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 
 WS_RANGES = (r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
              r"\x{202f}\x{205f}\x{3000}")
@@ -27,6 +30,17 @@ ND = r"\p{Nd}"
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def _groups(template: str) -> int:
+    """Capturing groups of a template."""
+    bare = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "", template)
+    return len(re.findall(r"\((?!\?)|\(\?P?<(?![=!])", bare))
+
+
+def _own(template: str) -> str:
+    """A template of this module, in which the tokens stand without braces."""
+    return re.sub("SEP|IWS|WS|ND", r"{{\g<0>}}", template)
+
+
 @dataclass(frozen=True)
 class PatternSpec:
     """A detector: a regex template, its type and how the value is captured.
@@ -42,9 +56,15 @@ class PatternSpec:
     needs: tuple[str, ...] = ()
     java_template: str | None = None
 
+    def __post_init__(self) -> None:
+        for template in (self.template, self.java_template):
+            if self.labelled and template is not None and _groups(template) != 3:
+                raise ValueError(f"pattern {self.name}: a labelled template has three groups")
+
     def _fill(self, template: str) -> str:
-        # IWS before WS: the shorter token is part of the longer one.
-        return template.replace("SEP", SEP).replace("IWS", IWS).replace("WS", WS).replace("ND", ND)
+        for token, chars in (("SEP", SEP), ("IWS", IWS), ("WS", WS), ("ND", ND)):
+            template = template.replace("{{" + token + "}}", chars)
+        return template
 
     @property
     def java(self) -> str:
@@ -67,7 +87,7 @@ _ACCOUNT = (r"((?:account|acct|routing)WS*(?:number|no|num|#)?SEP*)"
             r"(ND{8,17})(\>)")
 
 # The detectors' grammars, in priority order.
-DEFAULT_PATTERNS: tuple[PatternSpec, ...] = (
+_GRAMMARS: tuple[PatternSpec, ...] = (
     PatternSpec("ssn", "SSN", r"\<ND{3}-ND{2}-ND{4}\>", needs=("-",)),
     # In Java the local part is possessive and only tried where a run of its
     # characters begins (or the previous match ended): same matches, linear time.
@@ -98,4 +118,7 @@ DEFAULT_PATTERNS: tuple[PatternSpec, ...] = (
                 labelled=True, needs=(":",)),
 )
 
+DEFAULT_PATTERNS = tuple(replace(
+    p, template=_own(p.template), java_template=p.java_template and _own(p.java_template))
+    for p in _GRAMMARS)
 PATTERN_BY_NAME = {p.name: p for p in DEFAULT_PATTERNS}

@@ -13,7 +13,6 @@ VAULT_SCHEMA = ("session_id string, pii_type string, real string, synthetic stri
                 "first_seen_ts timestamp")
 BY_REAL = ("session_id", "real")
 BY_TYPE = ("session_id", "pii_type", "real")
-BUCKETS = 256
 
 
 def first_per_key(mappings: DataFrame, keys: Sequence[str] = BY_TYPE,

@@ -16,7 +16,7 @@ COLUMNS = ("doc_id", "start", "end", "ord", "pii_type", "value", "confidence", "
 ALL = 'select doc_id, start, "end", ord, pii_type, value, confidence, source from '
 PLACES = 'select doc_id, start, "end", pii_type, value from '
 SRC_PAGES = "src as (select page_id as doc_id, html as text from pages)"
-SRC_TURNS = ("src as (select conv_id * 1000 + turn as doc_id, text from conversations)")
+SRC_TURNS = ("src as (select conv_id || '/' || turn as doc_id, text from conversations)")
 
 
 def one_pattern(name: str, docs):
@@ -35,7 +35,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+        F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
 
 
 def labelled_fields(spark: SparkSession, d: str) -> DataFrame:

@@ -9,9 +9,11 @@ from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
 from veilspan.plans.oracle_parts import (SRC_MESSAGES, keyed_cte, resolved_ctes, span_ctes,
                                          spliced_cte, with_)
+from veilspan.sources import vault_table
 from veilspan.sources.forms import as_messages
 from veilspan.streaming import redaction as streams
 
+DELETED = "7"
 CTES = [SRC_MESSAGES, *span_ctes()]
 KEYED = [*CTES, *resolved_ctes(), keyed_cte()]
 
@@ -32,11 +34,22 @@ def live(build, mode: str, *columns: str):
 def live_vault(spark: SparkSession, d: str) -> DataFrame:
     base = common.fresh_dir(spark, "stream")
     streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state").awaitTermination()
-    rows = spark.read.parquet(base + "/vault")
-    return rows.select("session_id", "pii_type", "real", "synthetic", F.date_format(
+    return shown(vault_table.read_vault(spark, base + "/vault"))
+
+
+def shown(vault: DataFrame) -> DataFrame:
+    return vault.select("session_id", "pii_type", "real", "synthetic", F.date_format(
         "first_seen_ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
+def live_vault_after_delete(spark: SparkSession, d: str) -> DataFrame:
+    """A vault kept by a stream, without one of its sessions."""
+    base = common.fresh_dir(spark, "stream")
+    streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state").awaitTermination()
+    vault_table.delete_session(spark, base + "/vault", DELETED)
+    return shown(vault_table.read_vault(spark, base + "/vault"))
+
+
 def register(c: Catalog) -> None:
     c.add("live_redacted_messages", live(streams.stream_redact, "append", "event_id", "sanitized"),
           with_([*KEYED, spliced_cte()], "select doc_id as event_id, sanitized from sanitized"))
@@ -56,7 +69,9 @@ def register(c: Catalog) -> None:
         "select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as started, count(*) as n_messages, "
         "cast(sum(n) as bigint) as n_items, count(*) filter (n > 0) as n_protected from numbered "
         "group by session_id, k"))
-    c.add("live_vault", live_vault, with_(
-        KEYED, "select n.session_id, pii_type, value as real, any_value(synthetic) as synthetic, "
-        "strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen from named n join src using (doc_id) "
-        "group by all"))
+    rows = ("select n.session_id, pii_type, value as real, any_value(synthetic) as synthetic, "
+            "strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen from named n join src using (doc_id) "
+            "group by all")
+    c.add("live_vault", live_vault, with_(KEYED, rows))
+    c.add("live_vault_after_delete", live_vault_after_delete, with_(
+        KEYED, f"select * from ({rows}) v where session_id <> '{DELETED}'"))

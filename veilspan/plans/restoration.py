@@ -25,17 +25,17 @@ def as_vault(mappings: DataFrame, session: str = "session_id") -> DataFrame:
 
 
 def session_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    """Ordinal mappings of all forms, with the form's number as the time they were seen."""
+    """Ordinal mappings of all forms; they are seen in the order of form and mapping."""
     sessions = common.forms(spark, d).select("doc_id", "session_id")
-    seen = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(
-        secs=(F.col("doc_id") * 100 + F.col("ord")).cast("decimal(18,6)")))
-    return ordinal(spark, d).join(sessions, "doc_id").withColumn("first_seen_ts", seen)
+    return ordinal(spark, d).join(sessions, "doc_id").withColumn(
+        "first_seen_ts", F.lit("2024-01-01").cast("timestamp"))
 
 
 def first_wins(spark: SparkSession, d: str) -> DataFrame:
     """Insert if absent by real value: the first synthetic value of a session stays."""
     empty = common.keyed_vault(spark, d).filter("false")
-    out = vault.vault_upsert(empty, session_ordinals(spark, d), vault.BY_REAL, injective=False)
+    out = vault.vault_upsert(empty, session_ordinals(spark, d), vault.BY_REAL, injective=False,
+                             order=("doc_id", "ord"))
     return out.select("session_id", "pii_type", "real", "synthetic")
 
 
@@ -157,7 +157,7 @@ def register(c: Catalog) -> None:
     c.add("vault_first_wins", first_wins, with_(
         [*ORDINAL, "seen as (select o.*, s.session_id from ordinal o join src s using (doc_id))"],
         "select session_id, pii_type, real, synthetic from (select *, row_number() over (partition by "
-        "session_id, real order by doc_id * 100 + ord, pii_type, synthetic) as rn from seen) x "
+        "session_id, real order by doc_id, ord, pii_type, synthetic) as rn from seen) x "
         "where rn = 1"))
     c.add("vault_unknown_mappings", unknown_mappings, with_(
         VAULT_CTES, "select * from vault where pii_type not in ('SSN', 'PERSON_NAME')"))

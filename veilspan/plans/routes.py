@@ -48,7 +48,7 @@ RULES = [
     "<= 25 then 'simple' else 'moderate' end as complexity from src)",
     "ruled as (select *, case when complexity = 'simple' and pii_risk = 'low' then 'local' "
     "else 'cloud' end as route from features)"]
-SRC_LOG = (f"src as (select cast(session_id as bigint) * 1000 + query_id as doc_id, session_id, "
+SRC_LOG = (f"src as (select session_id || '/' || query_id as doc_id, session_id, "
            f"query_id, text from ({derived.ROUTED_QUERIES_SQL}) l)")
 SRC_FORM_QUERIES = ("src as (select doc_id, session_id, " + q(INSTRUCTION)
                     + " || chr(10) || chr(10) || text as text from form_rows)")

@@ -16,22 +16,12 @@ RESPONSE_SCHEMA = "text_sha string, kind string, response string"
 HEAD_CHARS = 200
 
 
-# The row id of each source table.
-ROW_IDS = {"documents": "doc_id", "customer": "c_custkey", "events": "event_id",
-           "pages": "page_id"}
-
-
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A table of the data folder.
+    """A table of the data folder: one file, or a folder of part files.
 
-    A table with fewer scan tasks than cores is spread over all of them by its
-    row id, since the work per row is large. Large tables are left as they are.
+    Its scan tasks are those of Spark's file settings, whatever its size.
     """
-    df = spark.read.parquet(os.path.join(directory, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if name in ROW_IDS and df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, ROW_IDS[name])
-    return df
+    return spark.read.parquet(os.path.join(directory, f"{name}.parquet"))
 
 
 def documents(spark: SparkSession, directory: str) -> DataFrame:

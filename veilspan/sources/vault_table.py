@@ -1,60 +1,115 @@
-"""The vault as a Parquet table, partitioned by a bucket of the session id.
+"""The vault as a Parquet table, partitioned by a bucket of the session id and a batch.
 
-Deleting a session leaves one marker row without a session in its bucket: a
-dynamic overwrite replaces only partitions that get rows, and without the
-marker an emptied bucket would keep its old files.
+Batch writes and streams share the layout: a stream's batch has its own id in
+every bucket, so that a replay replaces what the first attempt wrote. The number of
+buckets is kept with the table. Deleting a session leaves one marker row without
+a session in each of its partitions: a dynamic overwrite replaces only
+partitions that get rows, and without the marker an emptied one would keep its old files.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.operators.vault import BUCKETS, VAULT_COLUMNS, VAULT_SCHEMA
+from veilspan.operators.vault import VAULT_COLUMNS, VAULT_SCHEMA
 
+BUCKETS = 256  # of a new table, unless its first write says otherwise
+BATCH = -1  # of rows that no stream has written
 SPREAD = 64
+TABLE_SCHEMA = VAULT_SCHEMA + ", bucket int, batch_id bigint"
+LAYOUT = "/_layout"
 
 
-def bucket_of(session_id: Column) -> Column:
-    return F.pmod(F.xxhash64(session_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(session_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(session_id), F.lit(buckets)).cast("int")
 
 
-def _bucketed(vault: DataFrame) -> DataFrame:
+def buckets_of(spark: SparkSession, path: str) -> int | None:
+    """Buckets of an existing table; None if there is none."""
+    try:
+        return spark.read.parquet(path + LAYOUT).first()["buckets"]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _bucketed(vault: DataFrame, buckets: int, *more: str) -> DataFrame:
     """Rows with their bucket, several files per bucket so a large session is no one task's."""
-    return vault.select(*VAULT_COLUMNS).withColumn("bucket", bucket_of(F.col("session_id"))) \
-        .repartition("bucket", F.pmod(F.xxhash64("real"), F.lit(SPREAD)))
+    return (vault.select(*VAULT_COLUMNS, *more)
+            .withColumn("bucket", bucket_of(F.col("session_id"), buckets))
+            .repartition("bucket", F.pmod(F.xxhash64("real"), F.lit(SPREAD))))
 
 
-def _marker(spark: SparkSession, bucket: int) -> DataFrame:
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in
-               (f.split() for f in VAULT_SCHEMA.split(", "))]
-    return spark.range(1).select(*nothing, F.lit(bucket).cast("int").alias("bucket"))
+def write_vault(vault: DataFrame, path: str, mode: str = "append", buckets: int = BUCKETS,
+                batch_id: int = BATCH) -> None:
+    """Append mappings to the table (or replace it with ``mode='overwrite'``).
+
+    A batch of a stream replaces its own earlier attempt. ``buckets`` counts for a new
+    table only.
+    """
+    spark = vault.sparkSession
+    known = None if mode == "overwrite" else buckets_of(spark, path)
+    rows = _bucketed(vault, known or buckets).withColumn(
+        "batch_id", F.lit(batch_id).cast("bigint"))
+    writer = rows.write.partitionBy("bucket", "batch_id")
+    if batch_id == BATCH:
+        writer.mode(mode).parquet(path)
+    else:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    if known is None:
+        spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode(
+            "overwrite").parquet(path + LAYOUT)
 
 
-def write_vault(vault: DataFrame, path: str, mode: str = "append") -> None:
-    """Append mappings to the table (or replace it with ``mode='overwrite'``)."""
-    _bucketed(vault).write.mode(mode).partitionBy("bucket").parquet(path)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
 def read_vault(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.schema(VAULT_SCHEMA + ", bucket int").parquet(path)
-    return table.filter(F.col("session_id").isNotNull()).select(*VAULT_COLUMNS)
+    return _table(spark, path).filter(F.col("session_id").isNotNull()).select(*VAULT_COLUMNS)
 
 
 def read_session(spark: SparkSession, path: str, session_id: str) -> DataFrame:
     """One session's mappings; reads its bucket only."""
-    table = spark.read.schema(VAULT_SCHEMA + ", bucket int").parquet(path)
-    return (table.filter((F.col("bucket") == bucket_of(F.lit(session_id)))
-                         & (F.col("session_id") == session_id)).select(*VAULT_COLUMNS))
+    bucket = bucket_of(F.lit(session_id), buckets_of(spark, path))
+    return (_table(spark, path).filter((F.col("bucket") == bucket)
+                                       & (F.col("session_id") == session_id))
+            .select(*VAULT_COLUMNS))
+
+
+def read_before(sessions: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """What batches before one know of the buckets of some sessions (column session_id).
+
+    A replayed batch sees what it saw at first. The distinct buckets, at most as many as the
+    table has, come to the driver, so that the scan reads no other.
+    """
+    spark = sessions.sparkSession
+    buckets = buckets_of(spark, path)
+    if buckets is None:
+        return spark.createDataFrame([], VAULT_SCHEMA)
+    touched = [r[0] for r in sessions.select(
+        bucket_of(F.col("session_id"), buckets).alias("bucket")).distinct().collect()]
+    return _table(spark, path).filter(
+        F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id)
+        & F.col("session_id").isNotNull()).select(*VAULT_COLUMNS)
 
 
 def delete_session(spark: SparkSession, path: str, session_id: str) -> None:
-    """Delete a session's rows from the table; rewrites its bucket only."""
-    bucket = spark.range(1).select(bucket_of(F.lit(session_id))).first()[0]
-    table = spark.read.schema(VAULT_SCHEMA + ", bucket int").parquet(path)
-    rest = (table.filter((F.col("bucket") == bucket) & F.col("session_id").isNotNull()
-                         & (F.col("session_id") != session_id))
-            .select(*VAULT_COLUMNS))
-    rows = _bucketed(rest).unionByName(_marker(spark, bucket))
+    """Delete a session's rows from the table, whatever wrote them; rewrites its bucket only."""
+    buckets = buckets_of(spark, path)
+    if buckets is None:
+        return
+    bucket = bucket_of(F.lit(session_id), buckets)
+    own = _table(spark, path).filter(F.col("bucket") == bucket)
+    rest = own.filter(F.col("session_id").isNotNull() & (F.col("session_id") != session_id))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in
+               (f.split() for f in VAULT_SCHEMA.split(", "))]
+    markers = own.filter((F.col("session_id") == session_id) | F.col("session_id").isNull()).select(
+        "bucket", "batch_id").distinct().select(*nothing, "bucket", "batch_id")
+    rows = (_bucketed(rest, buckets, "batch_id").select(*VAULT_COLUMNS, "bucket", "batch_id")
+            .unionByName(markers))
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(path))
+     .partitionBy("bucket", "batch_id").parquet(path))

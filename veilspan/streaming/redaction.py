@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import os
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,16 +16,19 @@ from veilspan.functions.arrays import unnest
 from veilspan.functions.synth import DEFAULT_SALT
 from veilspan.operators.detect import SPANS, with_regex_spans, with_resolved_spans
 from veilspan.operators.redact import redact_keyed, with_keyed_spans
-from veilspan.operators.vault import VAULT_COLUMNS, VAULT_SCHEMA, collisions, new_mappings
+from veilspan.operators.vault import collisions, new_mappings
+from veilspan.sources import vault_table
 
 LATENESS = "10 minutes"
 
 
 def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A table of the data folder as a stream of its files."""
-    schema = spark.read.parquet(os.path.join(directory, f"{name}.parquet")).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .parquet(directory))
+    """A table of the data folder as a stream: of its one file, or of its part files."""
+    path = os.path.join(directory, f"{name}.parquet")
+    schema = spark.read.parquet(path).schema
+    # A stream's path is a folder or a pattern; this pattern matches the table alone.
+    return spark.readStream.schema(schema).parquet(
+        os.path.join(directory, f"[{name[0]}]{name[1:]}.parquet"))
 
 
 def stream_redact(stream: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
@@ -71,23 +73,11 @@ def mappings_of(df: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
                 "first_seen_ts"))
 
 
-def _vault_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """The vault as it was before a batch: what a replayed batch must see again."""
-    try:
-        rows = spark.read.schema(VAULT_SCHEMA + ", batch_id bigint").parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], VAULT_SCHEMA)
-    return rows.filter(F.col("batch_id") < batch_id).select(*VAULT_COLUMNS)
-
-
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, salt: str = DEFAULT_SALT) -> None:
-    """Add a batch's unknown mappings. Replaying a batch rewrites its own partition."""
-    before = _vault_before(batch.sparkSession, path, batch_id)
-    new = new_mappings(before, mappings_of(batch, salt))
-    (new.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    """Add a batch's unknown mappings. Replaying a batch rewrites its own partitions."""
+    before = vault_table.read_before(batch, path, batch_id)
+    vault_table.write_vault(new_mappings(before, mappings_of(batch, salt)), path,
+                            batch_id=batch_id)
 
 
 def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str = DEFAULT_SALT,
@@ -100,7 +90,7 @@ def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str = DEFA
 
 def vault_collisions(spark: SparkSession, path: str) -> DataFrame:
     """Report of mappings a stream could not tell apart."""
-    return collisions(spark.read.schema(VAULT_SCHEMA).parquet(path))
+    return collisions(vault_table.read_vault(spark, path))
 
 
 def run_to_table(result: DataFrame, path: str, checkpoint: str,
