@@ -79,7 +79,33 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_quality": op10_quality,
 }
-ORACLES: dict[str, str] = {}
+# Every window of 50 words that another document has as well, merged where windows touch.
+PASSAGES_SQL = r"""
+with texts as (select doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')
+                 as words from documents where doc_id is not null and text is not null),
+windows as (select doc_id, k, hash(list_slice(words, k + 1, k + 50)) as h
+            from (select doc_id, words, unnest(range(0, len(words) - 49)) as k from texts) w),
+shared as (select h from windows group by h having count(distinct doc_id) > 1),
+hits as (select doc_id, k, case when k - lag(k) over (partition by doc_id order by k) <= 50 then 0
+           else 1 end as fresh from windows semi join shared using (h)),
+runs as (select *, sum(fresh) over (partition by doc_id order by k) as run from hits)
+select doc_id, min(k) as start_word, max(k) + 50 - min(k) as n_words from runs group by doc_id, run"""
+
+# All pairs, and what they lead to.
+VECTORS_SQL = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+good as (select * from v where len(list_filter(e, lambda x: x <> 0)) > 0
+         and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+link as (select a.vec_id as a, b.vec_id as b from good a join good b on a.vec_id <> b.vec_id
+         and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+reached(vec_id, root) as (select vec_id, vec_id from v
+                          union select link.b, root from reached join link on link.a = reached.vec_id),
+lowest as (select vec_id, min(root) as component_id from reached group by 1),
+counted as (select a as vec_id, count(*) as n from link group by 1)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from lowest left join counted using (vec_id)"""
+
+ORACLES = {"op1_suffix_dedup": PASSAGES_SQL, "op8_embeddings": VECTORS_SQL}
 
 
 def register(catalog) -> None:
