@@ -120,9 +120,10 @@ def common(a: list[bytes], b: list[bytes]) -> np.ndarray:
 def matches(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, least: int, gram: int
             ) -> pd.DataFrame:
     """Passages of rows i that the match with rows j, extended both ways, makes long enough."""
-    right, left = rows["right"].to_numpy(), rows["left"].to_numpy()
-    after = common(list(right[i]), list(right[j])) + gram
-    before = common(list(left[i]), list(left[j]))
+    near, far = rows["near"].to_numpy(), rows["far"].to_numpy()
+    first, second = common(list(near[i]), list(near[j])), common(list(far[i]), list(far[j]))
+    turned = rows["turned"].to_numpy()[i] > 0
+    after, before = np.where(turned, second, first) + gram, np.where(turned, first, second)
     long = before + after >= least
     pos = rows["pos"].to_numpy()[i[long]]
     return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[i[long]],
@@ -130,14 +131,14 @@ def matches(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, least: int, gram:
 
 
 def neighbours(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted suffixes, pairs (i, j) of one key with the nearest of another document.
+    """For sorted suffixes, pairs (i, j) of one order and key with the nearest of another document.
 
     Both sides are taken. Of suffixes of one document next to each other all look past
     their own document.
     """
-    key, doc = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
+    key, doc, turned = (rows[c].to_numpy() for c in ("key", "doc_id", "turned"))
     n = len(rows)
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (turned[1:] != turned[:-1])]
     starts = np.flatnonzero(new)
     run = np.cumsum(new) - 1
     before = starts[run] - 1
@@ -146,19 +147,23 @@ def neighbours(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pairs = [(i[ok], other[ok]) for other, ok in (
         (before, before >= 0), (after, after < n))]
     i, j = (np.concatenate(x) for x in zip(*pairs))
-    same = key[i] == key[j]
+    same = (key[i] == key[j]) & (turned[i] == turned[j])
     return i[same], j[same]
 
 
-def compare(found: DataFrame, sides: tuple[str, str], parts: int, least: int, gram: int
-            ) -> DataFrame:
-    """Sort all suffixes over ``parts`` tasks, by the first side first, and compare neighbours.
+def compare(found: DataFrame, parts: int, least: int, gram: int) -> DataFrame:
+    """Sort all suffixes over ``parts`` tasks, and compare neighbours.
 
+    Each suffix stands in two orders: by the words to its right, and turned, by those to its left.
     A task also leaves its outermost suffixes (edge not null), for those
-    that meet across tasks. Columns edge, part, key, right, left, doc_id, pos, start, end.
+    that meet across tasks. Columns edge, part, turned, key, near, far, doc_id, pos, start, end.
     """
-    order = ["key", *sides, "doc_id", "pos"]
-    columns = ["edge", "part", "key", "right", "left", "doc_id", "pos", "start", "end"]
+    order = ["turned", "key", "near", "far", "doc_id", "pos"]
+    columns = ["edge", "part", *order, "start", "end"]
+    both = found.select(F.lit(0).alias("turned"), "key", F.col("right").alias("near"),
+                        F.col("left").alias("far"), "doc_id", "pos").unionByName(
+        found.select(F.lit(1).alias("turned"), "key", F.col("left").alias("near"),
+                     F.col("right").alias("far"), "doc_id", "pos"))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, rest, first = TaskContext.get().partitionId(), None, True
@@ -180,9 +185,9 @@ def compare(found: DataFrame, sides: tuple[str, str], parts: int, least: int, gr
         if rest is not None:
             yield _edge(rest, 1, part, columns)
 
-    return (found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
-        emit, "edge int, part int, key long, right binary, left binary, doc_id long, pos int, "
-              "start int, end int"))
+    return (both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
+        emit, "edge int, part int, turned int, key long, near binary, far binary, doc_id long, "
+              "pos int, start int, end int"))
 
 
 def _reach(rows: pd.DataFrame, step: int) -> int:
@@ -205,8 +210,8 @@ def _across(edges: list, least: int, gram: int) -> list[tuple]:
         rows = pd.DataFrame([e.asDict() for e in edges
                              if (e["part"], e["edge"]) in ((one, 1), (two, 0))])
         i, j = (x.ravel() for x in np.meshgrid(range(len(rows)), range(len(rows))))
-        key, doc = rows["key"].to_numpy(), rows["doc_id"].to_numpy()
-        ok = (key[i] == key[j]) & (doc[i] != doc[j])
+        key, doc, turned = (rows[c].to_numpy() for c in ("key", "doc_id", "turned"))
+        ok = (key[i] == key[j]) & (turned[i] == turned[j]) & (doc[i] != doc[j])
         if ok.any():
             spans = matches(rows, i[ok], j[ok], least, gram)
             out += [tuple(int(x) for x in r) for r in spans.itertuples(index=False)]
@@ -243,14 +248,11 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .agg(F.collect_list(F.struct("key", "pos")).alias("places")))
     found = store.put(suffixes(docs, places, least, gram))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = None
-    for sides in (("right", "left"), ("left", "right")):
-        compared = store.put(compare(found, sides, parts, least, gram))
-        edges = compared.filter("edge is not null").collect()  # four for each task at most
-        more = spark.createDataFrame(_across(edges, least, gram), "doc_id long, start int, end int")
-        some = compared.filter("edge is null").select("doc_id", "start", "end").unionByName(more)
-        spans = some if spans is None else spans.unionByName(some)
-    spans = spans.distinct()
+    compared = store.put(compare(found, parts, least, gram))
+    edges = compared.filter("edge is not null").collect()  # four for each task at most
+    more = spark.createDataFrame(_across(edges, least, gram), "doc_id long, start int, end int")
+    spans = compared.filter("edge is null").select("doc_id", "start", "end").unionByName(
+        more).distinct()
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
