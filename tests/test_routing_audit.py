@@ -75,6 +75,18 @@ def test_a_planted_leak_is_caught(docs):
     assert (own.clean_leaks, own.leaky_leaks, own.text_leaks) == (0, 1, 12)
 
 
+def test_leaks_of_values_that_only_the_model_knew(spark):
+    vault = spark.createDataFrame([("PERSON_NAME", "Ann  O'Neil"), ("EMPLOYER", "Acme"), ("X", "--"),
+                                   ("SSN", "612-45-9083")], "pii_type string, real string")
+    out = spark.createDataFrame([("met ann o'neil, twice: Ann O'Neil", "fine"), ("acmes", None), ("Joann O'Neil", "acme")],
+                                "a string, b string")
+    found = {(r.outbound, r.value, r.n_texts) for r in audit.value_leaks(out, vault, ["a", "b"]).collect()}
+    assert found == {("a", "Ann  O'Neil", 1), ("b", "Acme", 1)}
+    assert audit.value_leaks(out, vault.limit(0), ["a"]).count() == 0
+    plan = audit.value_leaks(out, vault, ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_counts_and_density(docs):
     found = with_regex_spans(docs(WAGES, WAGES))
     exact = audit.item_counts(explode_spans(found, ("session_id",)), ["session_id"]).first()

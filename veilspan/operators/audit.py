@@ -76,6 +76,40 @@ def leak_check(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[st
     return found.join(reals, "value", "left_semi")
 
 
+def _words(text: Column) -> Column:
+    """Lower-case words: what characters other than letters and digits separate."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def value_leaks(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[str]) -> DataFrame:
+    """Values of the vault that stand as whole words in outbound texts, whatever found them.
+
+    Unlike the detectors this sees values that only the model knew. Texts are cut into runs of
+    as many words as some value has; a run collapses to one row per task before it meets
+    the values, by equality. Case, punctuation and spacing don't count; null texts and values
+    without a word have no leaks. Only the distinct word counts of values come to the driver.
+    Columns: outbound, pii_type, value, n_texts.
+    """
+    values = (vault.select("pii_type", F.col("real").alias("value")).distinct()
+              .withColumn("_words", _words(F.col("value"))))
+    values = values.select("pii_type", "value", F.size("_words").alias("_n"),
+                           F.array_join("_words", " ").alias("run")).filter("_n > 0")
+    lengths = sorted(r[0] for r in values.select("_n").distinct().collect())
+    texts = unnest(outbound, F.array(*[
+        F.struct(F.lit(c).alias("outbound"), F.col(c).alias("text")) for c in outbound_cols]),
+        "o").select("o.outbound", _words(F.col("o.text")).alias("words"))
+
+    def runs(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.array_join(F.slice("words", i, n), " "))
+
+    found = texts.select("outbound", F.array_distinct(F.flatten(F.array(
+        *[runs(n) for n in lengths]).cast("array<array<string>>"))).alias("runs"))
+    counted = (found.select("outbound", F.explode("runs").alias("run"))
+               .groupBy("outbound", "run").agg(F.count(F.lit(1)).alias("n_texts")))
+    return counted.join(values, "run").select("outbound", "pii_type", "value", "n_texts")
+
+
 def reconcile(df: DataFrame, id_col: str = "doc_id", detected_col: str = "merged",
               replaced_col: str = "named") -> DataFrame:
     """Items detected, located and replaced, which need not be equal."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
+from veilspan.functions.arrays import unnest
 from veilspan.functions import ner, routing
 from veilspan.operators import audit, redact, restore
 from veilspan.operators.detect import explode_spans, with_regex_spans
@@ -49,6 +50,15 @@ def safe_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact.redact_keyed(merged, spans_col="placed")
 
 
+def seeded_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Redacted forms of which every tenth leaves as it is, against all values of both detectors."""
+    redacted = safe_redacted(spark, d)
+    values = unnest(redacted, "named", "s").select("s.pii_type", F.col("s.value").alias("real"))
+    sent = redacted.select(F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(
+        F.col("sanitized")).alias("cloud_prompt"))
+    return audit.value_leaks(sent, values, ["cloud_prompt"])
+
+
 def stage_rows(spark: SparkSession, d: str) -> DataFrame:
     """Stage timings as a table; each event stands for one timed stage."""
     return tables.table(spark, d, "events").selectExpr(
@@ -97,6 +107,14 @@ def register(c: Catalog) -> None:
     c.add("safe_redacted_forms", lambda s, d: safe_redacted(s, d).select("doc_id", "sanitized"),
           with_([*BOTH, *SAFE_CTES, keyed_cte("safe_placed"), spliced_cte()],
                 "select doc_id, sanitized from sanitized"))
+    bare = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    c.add("value_leaks", seeded_leaks, with_(
+        [*BOTH, *SAFE_CTES, keyed_cte("safe_placed"), spliced_cte(),
+         f"vals as (select distinct pii_type, value, {bare.format('value')} as v from named)",
+         f"sent as (select doc_id, {bare.format('case when doc_id % 10 = 0 then text else sanitized end')} "
+         "as t from sanitized)"],
+        "select 'cloud_prompt' as outbound, pii_type, value, count(*) as n_texts from vals join sent "
+        "on contains(t, v) where v <> '  ' group by all"))
     c.add("mapping_report", lambda s, d: audit.mapping_report(
         common.keyed_vault(s, d), tables.dims(s)["pii_type"]), with_(
         [*VAULT_CTES, TYPES_CTE], "select session_id, icon, label, rpad(substr(real, 1, 30), 30, ' ') "
