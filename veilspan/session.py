@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
+import weakref
 from collections.abc import Callable
 
 from pyspark import SparkContext
@@ -32,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # "local-cluster" has executors of its own, which may not share this machine's folders.
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -46,13 +49,18 @@ def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
     A large expression takes thousands of calls into the JVM to build, but it is
     immutable and holds names only, so every later query can use the same one.
     """
-    kept: dict[tuple, Column] = {}
+    # By context, and no longer than it lives: columns are objects of its JVM.
+    kept: weakref.WeakKeyDictionary[SparkContext, dict[tuple, Column]] = (
+        weakref.WeakKeyDictionary())
 
     @functools.wraps(build)
     def get(*args) -> Column:
-        key = (id(SparkContext._gateway), *args)
-        if key not in kept:
-            kept[key] = build(*args)
-        return kept[key]
+        context = SparkContext._active_spark_context
+        if context is None:
+            return build(*args)
+        own = kept.setdefault(context, {})
+        if args not in own:
+            own[args] = build(*args)
+        return own[args]
 
     return get
