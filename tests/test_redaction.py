@@ -161,3 +161,16 @@ def test_restore_by_lookup_in_a_large_session(spark):
     back = restore.restore_keyed(out, table).join(texts.select("doc_id", "text"), "doc_id")
     assert back.filter("restored <> text").count() == 0 and back.count() == 400
     assert out.filter("response like '%123-45-%'").count() == 0
+
+
+def test_texts_get_the_names_of_the_vault(spark, docs):
+    from veilspan.operators.detect import with_regex_spans, with_resolved_spans
+    from veilspan.operators.redact import redact_keyed, redact_with_vault
+    from veilspan.operators.vault import VAULT_SCHEMA
+    found = with_resolved_spans(with_regex_spans(docs("SSN 612-45-9083, 612-45-9083", "SSN 777-45-9083", "none")))
+    plain = {r.doc_id: r.sanitized for r in redact_keyed(found).collect()}
+    vault = spark.createDataFrame([("s", "SSN", "612-45-9083", "900-00-0000~1", None),
+                                   ("t", "SSN", "777-45-9083", "900-00-0000~2", None)], VAULT_SCHEMA)
+    out = {r.doc_id: r.sanitized for r in redact_with_vault(found, vault).collect()}
+    assert out == {0: "SSN 900-00-0000~1, 900-00-0000~1", 1: plain[1], 2: "none"}
+    assert {r.doc_id: r.sanitized for r in redact_with_vault(found, vault.limit(0)).collect()} == plain

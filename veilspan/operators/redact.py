@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from veilspan.functions.arrays import unnest
 from veilspan.functions.spans import SPAN_FIELDS, splice
 from veilspan.functions.synth import DEFAULT_SALT, keyed_value, ordinal_value
 from veilspan.functions.text import strip
 from veilspan.operators.skew import hot_keys, spread_join
+from veilspan.operators.vault import overrides
 from veilspan.session import built_once, shared_dir
 
 _SEP = "\u0000"
@@ -125,6 +127,34 @@ def redact_keyed(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "sess
     return named.withColumn("sanitized", _spliced(text_col, "named", "synthetic"))
 
 
+def redact_with_vault(df: DataFrame, vault: DataFrame, salt: str = DEFAULT_SALT,
+                      scope_col: str = "session_id", id_col: str = "doc_id",
+                      text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """Like ``redact_keyed``, with the value the vault has where it differs from the keyed one.
+
+    A vault without collisions has renamed a few values. Those are looked up by (session,
+    type, value), and the texts that hold some, which are few, get them as a map no larger than
+    the text. ``id_col`` must be unique. On streams the vault is the static side.
+    """
+    named = with_keyed_spans(df, salt, scope_col, spans_col)
+    renamed = overrides(vault.withColumn(
+        "_keyed", _keyed(salt, "session_id", "pii_type", "real")), "_keyed").select(
+        F.col("session_id").alias(scope_col), "pii_type", F.col("real").alias("value"),
+        F.col("synthetic").alias("_name"))
+    values = unnest(named, "named", "s", id_col, scope_col).select(
+        id_col, scope_col, "s.pii_type", "s.value").distinct()
+    hits = (values.join(renamed, [scope_col, "pii_type", "value"]).groupBy(id_col)
+            .agg(F.map_from_entries(F.collect_list(F.struct(
+                F.concat_ws(_SEP, "pii_type", "value"), "_name"))).alias("_names")))
+
+    def own(s: Column) -> Column:
+        name = F.col("_names")[F.concat_ws(_SEP, s["pii_type"], s["value"])]
+        return s.withField("synthetic", F.coalesce(name, s["synthetic"]))
+
+    fitted = named.join(hits, id_col, "left").withColumn("named", F.transform("named", own))
+    return fitted.withColumn("sanitized", _spliced(text_col, "named", "synthetic")).drop("_names")
+
+
 def with_mappings(redacted: DataFrame, named_col: str = "named",
                   out_col: str = "mappings") -> DataFrame:
     """The distinct mappings of each text, as an array on its row.

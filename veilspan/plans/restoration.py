@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from veilspan.operators import redact, restore, vault
 from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
-from veilspan.plans.oracle_parts import first_token, q, restored_ctes, spliced_cte, with_
+from veilspan.plans.oracle_parts import (SRC_FORMS, first_token, q, restored_ctes, spliced_cte,
+                                         with_)
 from veilspan.plans.redaction import KEYED_TEXT, ORDINAL, ORDINAL_TEXT, ordinal, ordinal_redacted
 from veilspan.plans.sources import VAULT_CTES
 from veilspan.sources import vault_table
@@ -103,6 +104,23 @@ def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
     return restore.restore_keyed(texts, table).select("doc_id", "restored")
 
 
+def vault_aware(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Forms of one session, redacted with a vault that has renamed values; and that vault."""
+    table = injective_vault(spark, d, "one")
+    found = common.resolved(common.forms(spark, d).withColumn("session_id", F.lit("one")))
+    return redact.redact_with_vault(found, table), table
+
+
+def vault_aware_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return vault_aware(spark, d)[0].select("doc_id", "sanitized")
+
+
+def vault_aware_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    redacted, table = vault_aware(spark, d)
+    return restore.restore_keyed(redacted.select("doc_id", "session_id", "sanitized"), table,
+                                 text_col="sanitized").select("doc_id", "restored")
+
+
 def round_trip(spark: SparkSession, d: str) -> DataFrame:
     df = redact.with_mappings(common.redacted(common.forms(spark, d)))
     return restore.round_trip(restore.restore(df, text_col="sanitized"))
@@ -166,6 +184,12 @@ def register(c: Catalog) -> None:
                    if cte.startswith("src as") else cte for cte in VAULT_CTES]
     c.add("vault_without_collisions", renamed_values, with_(
         [*one_session, *INJECTIVE], "select pii_type, real, synthetic from injective"))
+    c.add("vault_aware_redacted_forms", vault_aware_redacted, with_(
+        [*one_session, *INJECTIVE, "own_named as (select r.*, i.synthetic from resolved r join injective i "
+         "on i.real = r.value and i.pii_type = r.pii_type)", spliced_cte("own_named")],
+        "select doc_id, sanitized from sanitized"))
+    c.add("vault_aware_round_trip", vault_aware_round_trip, with_(
+        [SRC_FORMS], "select doc_id, text as restored from src"))
     c.add("vault_collisions", lambda s, d: vault.collisions(as_vault(session_ordinals(s, d))), with_(
         [*ORDINAL, "seen as (select o.*, s.session_id from ordinal o join src s using (doc_id))"],
         "select session_id, synthetic, count(distinct real) as n_reals from seen group by 1, 2 "

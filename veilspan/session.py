@@ -20,6 +20,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
             .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.sql.adaptive.enabled", "true")
+            .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
             # Call sites of every column operation cost more than small queries do.
             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .getOrCreate())
