@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm import mixing, packing, pii, quality, simhash
-from veilspan.llm.common import Stored, read_table, ship
+from veilspan.llm.common import Stored, free_name, read_table, ship
 
 # A deployment passes its own secret; the registered query has a fixed one so that reruns agree.
 KEY = b"key of the registered pipeline"
@@ -19,8 +19,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the compression classifier scores as good."""
     ship(spark)
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out="_score")
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    made = free_name(docs, "_score")
+    scored = quality.score(docs, model, out=made)
+    return scored.filter(F.col(made) >= quality.THRESHOLD).drop(made)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from veilspan.llm import fingerprints, html_text, mixing, packing, pii, quality, sharding
+from veilspan.llm import fingerprints, html_text, mixing, packing, pii, quality, sharding, simhash
 
 DOCS = "doc_id long, text string, source string"
 KEY = b"test key"
@@ -202,6 +203,29 @@ def test_equal_dates_stay_linked():
     assert len({d.replace("/", "-") for d in days}) == 1
 
 
+def test_a_number_after_a_card_is_no_part_of_it():
+    card = "4111 1111 1111 1111"
+    new = pii.pseudonymise(card, KEY)[0]
+    assert new != card and pii.luhn(new.replace(" ", "")) == 0
+    assert pii.pseudonymise(f"{card} 20 items", KEY)[0] == f"{new} 20 items"
+
+
+def test_very_many_findings_take_linear_time():
+    text = "a@b.com 4111 1111 1111 1111 555-12-3456 " * 30_000
+    began = time.time()
+    assert pii.pseudonymise(text, KEY)[1][:4] == [30_000, 30_000, 0, 30_000]
+    assert time.time() - began < 60
+
+
+def test_clashing_columns_keep_their_values(spark):
+    df = spark.createDataFrame(
+        [(1, "a b c", "x", 7, "p"), (None, "a b d", "y", 8, "q")],
+        "doc_id long, text string, source string, _replaced int, `whole.id` string")
+    for out in (pii.with_pseudonyms(df, KEY), mixing.mixed(df), simhash.one_of_each(df)):
+        assert out.columns == df.columns
+        assert {r[3:] for r in out.collect()} <= {(7, "p"), (8, "q")} and not out.isEmpty()
+
+
 def test_pseudonyms_of_a_table(spark):
     rows = [(1, "call +1 (632) 555-4827", "a"), (2, None, "b"), (3, "", None), (4, "x" * 200000 + " 1.2.3.4", "c")]
     df = spark.createDataFrame(rows, DOCS).withColumn("counts", F.lit(1))

@@ -87,6 +87,19 @@ class Stored:
                 target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores after it until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def n_words(text: Column) -> Column:
     """Words of a text; none for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

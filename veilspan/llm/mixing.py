@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Stored, n_words
+from veilspan.llm.common import Stored, column, n_words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_EPOCHS = 3.0
@@ -107,8 +107,8 @@ def _taken(df: DataFrame, seed: int, id_col: str, text_col: str, source_col: str
     rows = store.put(df.select(
         F.col(id_col).alias("doc_id"), source.alias("source"),
         F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("src"),
-        F.xxhash64(text).alias("_text"), n_words(text).alias("size"), F.coalesce(-F.log(uniform) / quality_weight(text),
-                                                F.lit(0.0)).alias("key"),
+        F.xxhash64(text).alias("_text"), n_words(text).alias("size"),
+        F.coalesce(-F.log(uniform) / quality_weight(text), F.lit(0.0)).alias("key"),
         F.lit(False).alias("again")))
     sizes = rows.groupBy("src").agg(F.first("source").alias("source"),
                                     F.sum("size").alias("source_size"), F.count("*").alias("n"))
@@ -148,20 +148,21 @@ def mixed(df: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     Rows of equal id and text share what is taken of them as evenly as whole
     rows allow.
     """
-    named = df.withColumn("_text", F.xxhash64(F.col(text_col)))
+    # The row as one struct, so that no name of its columns meets one made here.
+    named = df.select(F.struct(*[column(c) for c in df.columns]).alias("whole"),
+                      F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     times = (_taken(df, seed, id_col, text_col, source_col, weights, most)
-             .groupBy("doc_id", "_text").agg(F.sum("times").alias("_all"),
-                                             F.count("*").alias("_rows"))
-             .filter("_all > 0").withColumnRenamed("doc_id", "_id")
-             .withColumnRenamed("_text", "_of"))
-    together = named.join(times, F.col(id_col).eqNullSafe(F.col("_id"))
-                          & (F.col("_text") == F.col("_of")))
+             .groupBy("doc_id", "_text").agg(F.sum("times").alias("all"),
+                                             F.count("*").alias("rows"))
+             .filter(F.col("all") > 0))
+    together = named.join(times, F.col("id").eqNullSafe(F.col("doc_id"))
+                          & (F.col("text_hash") == F.col("_text")))
     # Only rows that repeat need a number; the others stay where the join has put them.
-    order = Window.partitionBy("_id", "_of").orderBy(F.col(source_col))
-    many = together.filter("_rows > 1").withColumn("_row", F.row_number().over(order) - 1)
-    single = together.filter("_rows = 1").withColumn("_row", F.lit(0))
-    each = F.floor(F.col("_all") / F.col("_rows")) + (
-        F.col("_row") < F.col("_all") % F.col("_rows")).cast("int")
+    order = Window.partitionBy("doc_id", "_text").orderBy(F.col("whole")[source_col])
+    many = together.filter(F.col("rows") > 1).withColumn("row", F.row_number().over(order) - 1)
+    single = together.filter(F.col("rows") == 1).withColumn("row", F.lit(0))
+    each = F.floor(F.col("all") / F.col("rows")) + (
+        F.col("row") < F.col("all") % F.col("rows")).cast("int")
     return (single.unionByName(many)
-            .withColumn("_copies", F.array_repeat(F.lit(0), each.cast("int")))
-            .withColumn("_copy", F.explode("_copies")).select(*df.columns))
+            .withColumn("copies", F.array_repeat(F.lit(0), each.cast("int")))
+            .select("whole", F.explode("copies")).select("whole.*"))

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.llm.common import column, free_name
+
 ROUNDS = 8
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
@@ -33,7 +35,7 @@ PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(
         r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
         r"(?![A-Za-z0-9])"),
-    "card": re.compile(r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d){8,14}(?![\w-]|\.\d)"),
+    "card": re.compile(r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d){9,15}(?![\w-]|\.\d)"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "phone": re.compile(
@@ -136,14 +138,23 @@ def _into(shape: str, characters: str) -> str:
 
 
 def _card(match: re.Match, key: bytes) -> str | None:
-    digits = re.sub("[ -]", "", match[0])
-    if not 13 <= len(digits) <= 19 or luhn(digits):
-        return None
+    """Pseudonym of the longest part from the start that is a valid number.
+
+    A number that follows a card after a blank is not part of it.
+    """
+    shape = match[0]
+    while True:
+        digits = re.sub("[ -]", "", shape)
+        if len(digits) < 13:
+            return None
+        if not luhn(digits):
+            break
+        shape = shape[:max(shape.rfind(" "), shape.rfind("-"), 0)]
     inner = digits[1:-1]
     new = permute(int(inner), 10 ** len(inner), key, f"card/{len(digits)}")
     body = digits[0] + str(new).zfill(len(inner))
     check = (10 - luhn(body + "0")) % 10
-    return _into(match[0], body + str(check))
+    return _into(shape, body + str(check))
 
 
 def _iban(match: re.Match, key: bytes) -> str | None:
@@ -263,14 +274,21 @@ def findings(text: str, key: bytes) -> Iterator[tuple[int, int, str, str]]:
     for kind in KINDS:
         if not (("@" in text) if kind == "email" else digit):
             continue
-        at = 0
+        before, at, fresh = 0, 0, []
         while (match := PATTERNS[kind].search(text, at)) is not None:
+            start, at = match.span()
             new = _REPLACE[kind](match, key)
-            at = match.end()
-            if new is not None and not any(
-                    start < match.end() and match.start() < end for start, end, _, _ in found):
-                found.append((match.start(), match.end(), kind, new))
-    return iter(sorted(found))
+            if new is None:
+                continue
+            if kind == "card":  # it may be followed by another number
+                at = start + len(new)
+            # Findings of the kinds before stand in order, so one walk along them is enough.
+            while before < len(found) and found[before][1] <= start:
+                before += 1
+            if before == len(found) or found[before][0] >= at:
+                fresh.append((start, at, kind, new))
+        found = sorted(found + fresh)
+    return iter(found)
 
 
 def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[int]]:
@@ -308,9 +326,11 @@ def with_pseudonyms(df: DataFrame, key: bytes, text_col: str = "text",
         return pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object),
                              "counts": pd.Series([r[1] for r in rows], dtype=object)})
 
-    result = df.withColumn("_replaced", replaced(F.col(text_col)))
-    columns = [F.col("_replaced.text").alias(c) if c == text_col else F.col(c) for c in df.columns]
+    made = free_name(df, "_replaced")
+    result = df.withColumn(made, replaced(F.col(text_col)))
+    columns = [F.col(made)["text"].alias(c) if c == text_col else column(c)
+               for c in df.columns]
     if counts_col:
         kinds = F.array(*[F.lit(k) for k in KINDS])
-        columns.append(F.map_from_arrays(kinds, F.col("_replaced.counts")).alias(counts_col))
+        columns.append(F.map_from_arrays(kinds, F.col(made)["counts"]).alias(counts_col))
     return result.select(*columns)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Stored
+from veilspan.llm.common import Stored, column, free_name
 from veilspan.llm.components import components
 
 SHINGLE = 3
@@ -174,11 +174,13 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     groups = near_duplicates(df, id_col, text_col, shingle)
     firsts = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = df.join(firsts, id_col).select(*df.columns).dropDuplicates([id_col])
+    columns = [column(c) for c in df.columns]
+    kept = df.join(firsts, id_col).select(*columns).dropDuplicates([id_col])
     nameless = groups.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
-    hexed = F.lower(F.lpad(F.hex("_print"), 16, "0"))
-    rest = (with_fingerprint(df.filter(F.col(id_col).isNull()), text_col, "_print", shingle)
-            .withColumn("_print", hexed)
-            .join(nameless.withColumnRenamed("fingerprint", "_print"), "_print", "left_semi")
-            .dropDuplicates(["_print"]))
-    return kept.unionByName(rest.select(*df.columns))
+    made = free_name(df, "_print")
+    hexed = F.lower(F.lpad(F.hex(made), 16, "0"))
+    rest = (with_fingerprint(df.filter(F.col(id_col).isNull()), text_col, made, shingle)
+            .withColumn(made, hexed)
+            .join(nameless.withColumnRenamed("fingerprint", made), made, "left_semi")
+            .dropDuplicates([made]))
+    return kept.unionByName(rest.select(*columns))
