@@ -32,6 +32,13 @@ def test_redaction_is_one_narrow_projection(spark):
     assert schema == "struct<doc_id:bigint,text:string>"
 
 
+def test_ordinal_redaction_is_one_narrow_projection(spark):
+    text = plan(redact.redact_ordinal(with_resolved_spans(with_regex_spans(documents(spark))))
+                .select("doc_id", "sanitized"))
+    assert "Exchange" not in text and "Python" not in text
+    assert [text.count(p.java) for p in DEFAULT_PATTERNS] == [1] * len(DEFAULT_PATTERNS)
+
+
 def test_exploded_spans_are_computed_once(spark):
     text = plan(detect_regex_spans(documents(spark)).filter("pii_type = 'SSN'"))
     assert [text.count(p.java) for p in DEFAULT_PATTERNS] == [1] * len(DEFAULT_PATTERNS)

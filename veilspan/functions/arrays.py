@@ -72,6 +72,32 @@ def fold_emit(items: Column, zero: Column, out_type: str,
     return let(items, lambda xs: F.when(F.size(xs) <= BLOCK, plain(xs)).otherwise(blocked(xs)))
 
 
+def matches(wanted: Column, keys: Column) -> Column:
+    """Places of strings that stand in both arrays, by sorting them together.
+
+    One struct for each element of ``wanted`` that is among ``keys``: ``at``, its place, and
+    ``to``, the places there in rising order. A map would be searched from its head
+    for every element.
+    """
+    def tagged(items: Column, side: int) -> Column:
+        return F.transform(items, lambda x, i: F.struct(
+            x.alias("key"), F.lit(side).alias("side"), i.alias("at")))
+
+    def step(state: Column, x: Column) -> Column:
+        places = F.when(state["key"] == x["key"], F.array_append(state["to"], x["at"])).otherwise(
+            F.array(x["at"]))
+        return F.when(x["side"] == 1, state).otherwise(
+            F.struct(x["key"].alias("key"), places.alias("to")))
+
+    out = "struct<at:int,to:array<int>>"
+    return fold_emit(
+        F.array_sort(F.concat(tagged(keys, 0), tagged(wanted, 1))),
+        F.struct(F.lit(None).cast("string").alias("key"), empty("int").alias("to")), out,
+        step=step,
+        emit=lambda state, x: F.when((x["side"] == 1) & (state["key"] == x["key"]), F.array(
+            F.struct(x["at"].alias("at"), state["to"].alias("to")))).otherwise(empty(out)))
+
+
 def offsets(lengths: Column) -> Column:
     """Sum of the elements before each element."""
     def few(xs: Column) -> Column:

@@ -159,6 +159,54 @@ def propagate_values(text: Column, spans: Column) -> Column:
         lambda key: let(F.element_at(spans, F.array_position(k, key).cast("int")), spread))))
 
 
+def ordinal_named(spans: Column, name) -> Column:
+    """Give each span of a text the name of its value: ``name(pii_type, value, n)``.
+
+    Values are numbered from the right within their type, which is that of the right-most
+    place. ``spans`` must be located, ordered and free of overlaps.
+    """
+    seen = F.array_sort(F.transform(F.reverse(spans), lambda s, i: F.struct(
+        s["value"].alias("value"), i.alias("i"), s.alias("span"))))
+
+    def group(state: Column, x: Column) -> Column:
+        return F.when(state["value"] == x["value"], state["g"]).otherwise(state["g"] + 1)
+
+    grouped = fold_emit(
+        seen, F.struct(F.lit(None).cast("string").alias("value"), F.lit(-1).alias("g")),
+        f"struct<g:int,is_new:boolean,i:int,span:{SPAN_TYPE}>",
+        step=lambda state, x: F.struct(x["value"].alias("value"), group(state, x).alias("g")),
+        emit=lambda state, x: F.array(F.struct(
+            group(state, x).alias("g"), (group(state, x) > state["g"]).alias("is_new"),
+            x["i"].alias("i"), x["span"].alias("span"))))
+
+    def names(found: Column) -> Column:
+        def number(state: Column, x: Column) -> Column:
+            return F.when(state["type"] == x["type"], state["n"] + 1).otherwise(0)
+
+        by_type = F.array_sort(F.transform(
+            F.filter(found, lambda x: x["is_new"]), lambda x: F.struct(
+                x["span"]["pii_type"].alias("type"), x["i"].alias("i"), x["g"].alias("g"),
+                x["span"]["value"].alias("value"))))
+        counted = fold_emit(
+            by_type, F.struct(F.lit(None).cast("string").alias("type"), F.lit(-1).alias("n")),
+            "struct<g:int,n:int,pii_type:string,value:string>",
+            step=lambda state, x: F.struct(x["type"].alias("type"), number(state, x).alias("n")),
+            emit=lambda state, x: F.array(F.struct(
+                x["g"].alias("g"), number(state, x).alias("n"), x["type"].alias("pii_type"),
+                x["value"].alias("value"))))
+        return F.transform(F.array_sort(counted),
+                           lambda c: name(c["pii_type"], c["value"], c["n"]))
+
+    def named(found: Column, known: Column) -> Column:
+        from_left = F.array_sort(F.transform(found, lambda x: F.struct(
+            (-x["i"]).alias("k"), x["g"].alias("g"), x["span"].alias("span"))))
+        return F.transform(from_left, lambda x: F.struct(
+            *[x["span"][f].alias(f) for f in SPAN_FIELDS],
+            F.get(known, x["g"]).alias("synthetic")))
+
+    return let(grouped, lambda found: let(names(found), lambda known: named(found, known)))
+
+
 def greedy_distinct(spans: Column) -> Column:
     """In given order, keep a span unless it clashes with one kept before."""
     return F.aggregate(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from veilspan.functions.arrays import unnest
-from veilspan.functions.spans import SPAN_FIELDS, splice
+from veilspan.functions.spans import SPAN_FIELDS, ordinal_named, splice
 from veilspan.functions.synth import DEFAULT_SALT, keyed_value, ordinal_value
 from veilspan.functions.text import strip
 from veilspan.operators.skew import hot_keys, spread_join
@@ -127,6 +127,23 @@ def redact_keyed(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "sess
     return named.withColumn("sanitized", _spliced(text_col, "named", "synthetic"))
 
 
+@built_once
+def _ordinal_named(salt: str, id_col: str, spans_col: str) -> Column:
+    return ordinal_named(F.col(spans_col), lambda pii_type, value, n: ordinal_value(
+        salt, F.col(id_col), pii_type, value, n))
+
+
+def redact_ordinal(df: DataFrame, salt: str = DEFAULT_SALT, id_col: str = "doc_id",
+                   text_col: str = "text", spans_col: str = "spans") -> DataFrame:
+    """Ordinal redaction in one narrow projection; adds ``named`` and ``sanitized``.
+
+    The numbers are those of one text, so its spans are all that is needed: no shuffle,
+    and it works on streams. Spans must be resolved.
+    """
+    named = df.withColumn("named", _ordinal_named(salt, id_col, spans_col))
+    return named.withColumn("sanitized", _spliced(text_col, "named", "synthetic"))
+
+
 def redact_with_vault(df: DataFrame, vault: DataFrame, salt: str = DEFAULT_SALT,
                       scope_col: str = "session_id", id_col: str = "doc_id",
                       text_col: str = "text", spans_col: str = "spans") -> DataFrame:

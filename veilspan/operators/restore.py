@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import unnest
-from veilspan.functions.restoring import MAPPING_TYPE, MIN_FIRST_TOKEN, restore_chain
+from veilspan.functions.restoring import (MAPPING_TYPE, MIN_FIRST_TOKEN, restore_chain,
+                                          restore_found)
 from veilspan.functions.spans import splice
 from veilspan.functions.synth import KEYED_PATTERNS, POSSESSIVE_PATTERN
 from veilspan.functions.text import first_token
 from veilspan.operators.detect import with_regex_spans, with_resolved_spans
 from veilspan.operators.skew import hot_keys, spread_join
-from veilspan.session import shared_dir
+from veilspan.session import built_once, shared_dir
 
 
 def restore(texts: DataFrame, mappings: DataFrame | None = None, id_col: str = "doc_id",
@@ -34,6 +35,25 @@ def restore(texts: DataFrame, mappings: DataFrame | None = None, id_col: str = "
         F.col(text_col), F.coalesce(F.col(mappings_col), nothing)))
 
 
+@built_once
+def _restored(text_col: str, hits_col: str, mappings_col: str) -> Column:
+    nothing = F.array().cast(f"array<{MAPPING_TYPE}>")
+    return restore_found(F.col(text_col), F.col(hits_col), F.coalesce(F.col(mappings_col), nothing))
+
+
+def restore_keyed_rows(texts: DataFrame, text_col: str = "response",
+                       mappings_col: str = "mappings", out_col: str = "restored") -> DataFrame:
+    """Restore keyed values with the mappings on the row: no shuffle, near linear in the text.
+
+    Keyed values are found by their grammar and each is looked up once, where the chain of
+    ``restore`` rewrites the text for every mapping. Ordinal values have no grammar of
+    their own and need the chain.
+    """
+    patterns = (*KEYED_PATTERNS, POSSESSIVE_PATTERN)
+    found = with_resolved_spans(with_regex_spans(texts, patterns, text_col, "_h"), "_h", "_h")
+    return found.withColumn(out_col, _restored(text_col, "_h", mappings_col)).drop("_h")
+
+
 def _surfaces(vault: DataFrame) -> DataFrame:
     """What to look for in a session's texts, and what to put there.
 

@@ -44,6 +44,12 @@ def keyed_of(pii_type: str):
 
 
 def ordinal_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact.redact_ordinal(common.resolved(common.forms(spark, d))).select(
+        "doc_id", "sanitized")
+
+
+def ordinal_joined(spark: SparkSession, d: str) -> DataFrame:
+    """Ordinal redaction from the mapping table."""
     return redact.redact(common.forms(spark, d), spans(spark, d), ordinal(spark, d)).select(
         "doc_id", "sanitized")
 
@@ -89,6 +95,8 @@ def register(c: Catalog) -> None:
         with_(ORDINAL, "select doc_id, ord, pii_type, real, synthetic from ordinal"))
     c.add("ordinal_redacted_forms", ordinal_redacted,
           with_(ORDINAL_TEXT, "select doc_id, sanitized from sanitized"))
+    c.add("ordinal_redacted_forms_by_join", ordinal_joined,
+          with_(ORDINAL_TEXT, "select doc_id, sanitized from sanitized"))
     c.add("keyed_redacted_forms", lambda s, d: common.redacted(common.forms(s, d)).select(
         "doc_id", "sanitized"), with_(KEYED_TEXT, "select doc_id, sanitized from sanitized"))
     c.add("keyed_redacted_forms_by_join", keyed_joined,

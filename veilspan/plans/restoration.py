@@ -95,6 +95,10 @@ def keyed_chain(spark: SparkSession, d: str) -> DataFrame:
     return restore.restore(keyed_replies(spark, d)).select("doc_id", "restored")
 
 
+def keyed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return restore.restore_keyed_rows(keyed_replies(spark, d)).select("doc_id", "restored")
+
+
 def keyed_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Forms redacted from the vault, and replies to them restored from it, per session."""
     table = injective_vault(spark, d)
@@ -204,7 +208,8 @@ def register(c: Catalog) -> None:
         "select doc_id, restored from restored"))
     keyed = with_([*KEYED_TEXT, REPLY_SQL, KEYED_MAPS, *restored_ctes("replies", "maps")],
                   "select doc_id, restored from restored")
-    c.add("keyed_restored_replies", keyed_chain, keyed)
+    c.add("keyed_restored_replies", keyed_rows, keyed)
+    c.add("keyed_restored_replies_by_chain", keyed_chain, keyed)
     # Every form comes back as it was; the possessive belongs to the session's
     # longest value with that first word.
     c.add("keyed_restored_by_lookup", keyed_lookup, with_(
