@@ -177,6 +177,21 @@ def test_a_common_passage_and_repeats_within_a_document(spark):
     assert suffix_dedup.repeated_passages(alone).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_a_run_of_one_document_longer_than_a_part(spark, parts):
+    rng = random.Random(9)
+    passage = words(rng, 55)
+    rows = [(5, f"{passage} " * 500), (1, f"{words(rng, 20)} {passage} {words(rng, 20)}"),
+            (9, f"{words(rng, 20)} {passage} {words(rng, 20)}"), (12, "the " * 3000), (13, "the " * 60)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = covered(suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_repeats(rows, 50)
+
+
 def vectors():
     rng = np.random.default_rng(8)
     x = [rng.standard_normal(16) for _ in range(150)]

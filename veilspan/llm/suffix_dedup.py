@@ -1,4 +1,4 @@
-"""Passages repeated across documents, by a sparse suffix array."""
+"""Passages repeated across documents, by windows that select the same gram."""
 
 from __future__ import annotations
 
@@ -7,14 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import Stored
 
 LEAST_WORDS = 50  # shortest passage that counts
-GRAM = 10  # words of a suffix whose hash decides whether it is retained
+GRAM = 10  # words whose hash decides which place of a window is selected
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -40,8 +39,8 @@ def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions that are the leftmost smallest of some window of hashes.
+def chosen(hashes: np.ndarray, window: int) -> np.ndarray:
+    """For each window of hashes, the position of its leftmost smallest.
 
     Which position a window selects depends on its content alone: passages that agree in a
     window select the same place in it.
@@ -52,183 +51,60 @@ def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
     out = []
     for at in range(0, len(views), 1 << 14):  # bounds memory for very long texts
         part = views[at:at + (1 << 14)]
-        out.append(np.unique(part.argmin(axis=1) + np.arange(at, at + len(part))))
-    return np.unique(np.concatenate(out))
+        out.append(part.argmin(axis=1) + np.arange(at, at + len(part)))
+    return np.concatenate(out)
 
 
 def anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """Retained suffixes (key, doc_id, pos) of all documents with at least ``least`` words."""
+    """Grams (key, doc_id) that some window of ``least`` words of a document selects."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, ids, places = [], [], []
+            keys, ids = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 hashes = gram_hashes(word_hashes(text), gram)
-                pos = minimisers(hashes, least - gram + 1)
-                keys.append(hashes[pos].view(np.int64))
-                ids.append(np.full(len(pos), doc, dtype=np.int64))
-                places.append(pos)
+                key = np.unique(hashes[np.unique(chosen(hashes, least - gram + 1))])
+                keys.append(key.view(np.int64))
+                ids.append(np.full(len(key), doc, dtype=np.int64))
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids),
-                                    "pos": np.concatenate(places).astype(np.int32)})
+                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
 
-    return docs.mapInPandas(emit, "key long, doc_id long, pos int")
+    return docs.mapInPandas(emit, "key long, doc_id long")
 
 
-def suffixes(docs: DataFrame, places: DataFrame, least: int, gram: int) -> DataFrame:
-    """Words around each place: those after its gram, and those before it from right to left.
+def windows(docs: DataFrame, keys: DataFrame, least: int, gram: int) -> DataFrame:
+    """Every window of ``least`` words whose gram is among the document's ``keys``.
 
-    ``places`` has doc_id and all of a document's retained suffixes. Words are 32-bit hashes, big-endian, so
-    that sorting the bytes sorts the suffixes. ``least`` - ``gram`` words either way are enough: a
-    longer match goes on at the next retained suffix.
+    Columns key, window (hash of its words), doc_id, start. Each window selects one gram, so it
+    stands in one row.
     """
-    reach = least - gram
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for doc, text, at in zip(batch["doc_id"], batch["text"], batch["places"]):
-                words = (word_hashes(text) >> np.uint64(32)).astype(">u4")
-                back = words[::-1]
-                n = len(words)
-                for key, pos in zip(at["key"], at["pos"]) if isinstance(at, dict) else \
-                        ((p["key"], p["pos"]) for p in at):
-                    right = words[pos + gram:pos + gram + reach].tobytes()
-                    left = back[n - pos:n - pos + reach].tobytes()
-                    rows.append((key, right, left, doc, pos))
-            yield pd.DataFrame(rows, columns=["key", "right", "left", "doc_id", "pos"])
+            for doc, text, shared in zip(batch["doc_id"], batch["text"], batch["keys"]):
+                words = word_hashes(text)
+                hashes = gram_hashes(words, gram)
+                key = hashes[chosen(hashes, least - gram + 1)].view(np.int64)
+                start = np.flatnonzero(np.isin(key, np.asarray(shared, dtype=np.int64)))
+                window = gram_hashes(words, least).view(np.int64)
+                for at in range(0, len(start), 1 << 16):
+                    part = start[at:at + (1 << 16)]
+                    yield pd.DataFrame({"key": key[part], "window": window[part], "doc_id": doc,
+                                        "start": part.astype(np.int32)})
 
-    return docs.join(places, "doc_id").select("doc_id", "text", "places").mapInPandas(
-        emit, "key long, right binary, left binary, doc_id long, pos int")
-
-
-def common(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Number of leading words that pairs of byte strings share."""
-    longest = max([1, *(len(x) for x in a), *(len(x) for x in b)])
-    pad = -(-longest // 4) * 4
-
-    def table(rows: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(x.ljust(pad, b"\0") for x in rows),
-                             dtype=np.uint32).reshape(len(rows), pad // 4)
-
-    differ = table(a) != table(b)
-    n = np.where(differ.any(axis=1), differ.argmax(axis=1), pad // 4)
-    shorter = np.minimum([len(x) // 4 for x in a], [len(x) // 4 for x in b])
-    return np.minimum(n, shorter)
-
-
-def matches(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, least: int, gram: int
-            ) -> pd.DataFrame:
-    """Passages of rows i that the match with rows j, extended both ways, makes long enough."""
-    near, far = rows["near"].to_numpy(), rows["far"].to_numpy()
-    first, second = common(list(near[i]), list(near[j])), common(list(far[i]), list(far[j]))
-    turned = rows["turned"].to_numpy()[i] > 0
-    after, before = np.where(turned, second, first) + gram, np.where(turned, first, second)
-    long = before + after >= least
-    pos = rows["pos"].to_numpy()[i[long]]
-    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy()[i[long]],
-                         "start": pos - before[long], "end": pos + after[long]})
-
-
-def neighbours(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted suffixes, pairs (i, j) of one order and key with the nearest of another document.
-
-    Both sides are taken. Of suffixes of one document next to each other all look past
-    their own document.
-    """
-    key, doc, turned = (rows[c].to_numpy() for c in ("key", "doc_id", "turned"))
-    n = len(rows)
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (turned[1:] != turned[:-1])]
-    starts = np.flatnonzero(new)
-    run = np.cumsum(new) - 1
-    before = starts[run] - 1
-    after = np.r_[starts[1:], n][run]
-    i = np.arange(n)
-    pairs = [(i[ok], other[ok]) for other, ok in (
-        (before, before >= 0), (after, after < n))]
-    i, j = (np.concatenate(x) for x in zip(*pairs))
-    same = (key[i] == key[j]) & (turned[i] == turned[j])
-    return i[same], j[same]
-
-
-def compare(found: DataFrame, parts: int, least: int, gram: int) -> DataFrame:
-    """Sort all suffixes over ``parts`` tasks, and compare neighbours.
-
-    Each suffix stands in two orders: by the words to its right, and turned, by those to its left.
-    A task also leaves its outermost suffixes (edge not null), for those
-    that meet across tasks. Columns edge, part, turned, key, near, far, doc_id, pos, start, end.
-    """
-    order = ["turned", "key", "near", "far", "doc_id", "pos"]
-    columns = ["edge", "part", *order, "start", "end"]
-    both = found.select(F.lit(0).alias("turned"), "key", F.col("right").alias("near"),
-                        F.col("left").alias("far"), "doc_id", "pos").unionByName(
-        found.select(F.lit(1).alias("turned"), "key", F.col("left").alias("near"),
-                     F.col("right").alias("far"), "doc_id", "pos"))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, rest, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not len(batch):
-                continue
-            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if first:
-                yield _edge(rows.iloc[:_reach(rows, 1)], 0, part, columns)
-                first = False
-            i, j = neighbours(rows)
-            if len(i):
-                for at in range(0, len(i), 1 << 14):
-                    spans = matches(rows, i[at:at + (1 << 14)], j[at:at + (1 << 14)], least, gram)
-                    if len(spans):
-                        yield spans.reindex(columns=columns).astype({"start": int, "end": int})
-            # The next batch needs the last suffix, and the last of another document.
-            rest = rows.iloc[len(rows) - _reach(rows, -1):]
-        if rest is not None:
-            yield _edge(rest, 1, part, columns)
-
-    return (both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInPandas(
-        emit, "edge int, part int, turned int, key long, near binary, far binary, doc_id long, "
-              "pos int, start int, end int"))
-
-
-def _reach(rows: pd.DataFrame, step: int) -> int:
-    """Rows from one end up to the first of a second document."""
-    doc = rows["doc_id"].to_numpy()[::step]
-    other = np.flatnonzero(doc != doc[0])
-    return int(other[0]) + 1 if len(other) else len(doc)
-
-
-def _edge(rows: pd.DataFrame, edge: int, part: int, columns: list[str]) -> pd.DataFrame:
-    ends = rows.iloc[[0, -1]] if len(rows) > 1 else rows
-    return ends.assign(edge=edge, part=part).reindex(columns=columns)
-
-
-def _across(edges: list, least: int, gram: int) -> list[tuple]:
-    """Passages of suffixes that are neighbours across tasks."""
-    parts = sorted({e["part"] for e in edges})
-    out = []
-    for one, two in zip(parts, parts[1:]):
-        rows = pd.DataFrame([e.asDict() for e in edges
-                             if (e["part"], e["edge"]) in ((one, 1), (two, 0))])
-        i, j = (x.ravel() for x in np.meshgrid(range(len(rows)), range(len(rows))))
-        key, doc, turned = (rows[c].to_numpy() for c in ("key", "doc_id", "turned"))
-        ok = (key[i] == key[j]) & (turned[i] == turned[j]) & (doc[i] != doc[j])
-        if ok.any():
-            spans = matches(rows, i[ok], j[ok], least, gram)
-            out += [tuple(int(x) for x in r) for r in spans.itertuples(index=False)]
-    return out
+    return docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInPandas(
+        emit, "key long, window long, doc_id long, start int")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       least: int = LEAST_WORDS, gram: int = GRAM) -> DataFrame:
     """Passages of at least ``least`` words that another document has as well.
 
-    Of every ``least`` words at least one position is retained whose following ``gram`` words
-    have the smallest hash around; so two passages that agree retain the same places. Suffixes
-    whose gram only one document has are dropped by a count. The others are sorted over all tasks,
-    and each is compared with the nearest suffixes of other documents before and after it:
-    the words they share to the right and to the left make the match. A second order, by the words
-    to the left, finds partners that share less to the right but more to the left. Matches of a
-    document that overlap or touch are one passage.
+    Every window of ``least`` words selects the run of ``gram`` words in it that has the smallest
+    hash; so windows that agree select the same. Windows whose gram only one document selects are
+    dropped by a count of grams. The others are counted by their own hash and that of their gram,
+    128 bits together: a window that two documents have is repeated, however many others share
+    parts of it. Windows of a document that overlap or touch are one passage.
 
     Words are what ASCII white space separates. Texts that are null, empty or shorter than ``least``
     words, and rows without an id have no passages; rows that repeat an id are one document, to
@@ -244,21 +120,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_anchors = store.put(anchors(docs, least, gram))
     shared = (all_anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
               .filter("a < b").select("key"))
-    places = (all_anchors.join(shared, "key", "left_semi").groupBy("doc_id")
-              .agg(F.collect_list(F.struct("key", "pos")).alias("places")))
-    found = store.put(suffixes(docs, places, least, gram))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    compared = store.put(compare(found, parts, least, gram))
-    edges = compared.filter("edge is not null").collect()  # four for each task at most
-    more = spark.createDataFrame(_across(edges, least, gram), "doc_id long, start int, end int")
-    spans = compared.filter("edge is null").select("doc_id", "start", "end").unionByName(
-        more).distinct()
-    by_start = Window.partitionBy("doc_id").orderBy("start", "end")
-    reached = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.coalesce((F.col("start") > reached).cast("int"), F.lit(1))
-    numbered = spans.withColumn("fresh", fresh).withColumn(
+    keys = (all_anchors.join(shared, "key", "left_semi").groupBy("doc_id")
+            .agg(F.collect_set("key").alias("keys")))
+    found = store.put(windows(docs, keys, least, gram))
+    repeated = (found.groupBy("key", "window")
+                .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                .filter("a < b").select("key", "window"))
+    starts = found.join(repeated, ["key", "window"], "left_semi").select("doc_id", "start")
+    by_start = Window.partitionBy("doc_id").orderBy("start")
+    fresh = F.coalesce((F.col("start") - F.lag("start").over(by_start) > least).cast("int"), F.lit(1))
+    numbered = starts.withColumn("fresh", fresh).withColumn(
         "passage", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "passage").agg(
-        F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("_end")
-    ).select(F.col("doc_id").alias(id_col), "start_word",
-             (F.col("_end") - F.col("start_word")).alias("n_words"))
+        F.min("start").cast("long").alias("start_word"),
+        (F.max("start") - F.min("start") + least).cast("long").alias("n_words")
+    ).select(F.col("doc_id").alias(id_col), "start_word", "n_words")
