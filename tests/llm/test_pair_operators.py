@@ -192,6 +192,17 @@ def test_a_run_of_one_document_longer_than_a_part(spark, parts):
     assert got == brute_repeats(rows, 50)
 
 
+def test_passages_of_many_edited_copies(spark):
+    rng = random.Random(10)
+    rows = []
+    for group in range(6):
+        base = words(rng, 300).split()
+        for _ in range(60 if group < 2 else 20):
+            rows.append((len(rows), " ".join(words(rng, 1) if rng.random() < 0.03 else w for w in base)))
+    df = spark.createDataFrame(rows, DOCS)
+    assert covered(suffix_dedup.repeated_passages(df)) == brute_repeats(rows, 50)
+
+
 def vectors():
     rng = np.random.default_rng(8)
     x = [rng.standard_normal(16) for _ in range(150)]
