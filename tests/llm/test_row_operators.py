@@ -267,6 +267,33 @@ def test_side_parts_with_more_text_than_the_article():
     assert html_text.main_text(page) == ("An article of a few words that goes on. " * 5).strip()
 
 
+TEXT = "A paragraph of the text with a few words that goes on, and on. " * 4
+
+
+@pytest.mark.parametrize("wrapper", [
+    'class="layout has-sidebar"', 'id="page" class="with-header menu-closed"', 'class="related-work"',
+    'class="page--no-sidebar ad-free"', 'class="right-sidebar"', 'id="header"', "class=menu-open"])
+def test_wrappers_named_after_side_parts(wrapper):
+    page = (f"<body><p>Site</p><div {wrapper}><div class='sidebar'><p>{'side words ' * 300}</p></div>"
+            f"<h1>Title</h1><p>{TEXT}</p><p>{TEXT}</p><div class='share-buttons'><p>Share</p></div></div>"
+            "<div class='site-footer'>foot</div></body>")
+    text = html_text.main_text(page)
+    assert TEXT.strip() + " " + TEXT.strip() in text
+    assert "side words" not in text and "Share" not in text and "foot" not in text
+
+
+def test_sections_named_after_side_parts_stay():
+    page = (f"<body><div><h1>Title</h1><p>{TEXT}</p><div class='related-work'><p>Others. {TEXT}</p></div>"
+            f"<div class='related-posts'><p>More. {TEXT}</p></div></div></body>")
+    text = html_text.main_text(page)
+    assert "Others." in text and "More." not in text
+
+
+def test_nested_wrappers_in_linear_time():
+    page = "<div class='menu'>" * 3000 + f"<p>{TEXT}</p>"
+    assert html_text.main_text(page) == TEXT.strip()
+
+
 def test_pages_table(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string")
     out = {r.page_id: r.text for r in html_text.extract(df).collect()}

@@ -33,6 +33,16 @@ sponsor sponsored cookie cookies consent gdpr notice popup modal overlay sidebar
 related recommended recommendations share sharing social newsletter subscribe subscription signup login
 menu nav navbar navigation breadcrumb breadcrumbs toolbar topbar footer header masthead comment comments
 commentlist disqus respond replies pagination pager skip""".split())
+# Words that may follow one of these in a name of such a part, as in share-buttons; any other makes it
+# a name of something else, as in related-work or menu-closed.
+PARTS = frozenset("""alert area articles bar block body box btn button buttons code col column container
+content count feed field form group heading holder icon icons inner inset item items label left link links
+list lists logo main media message meta middle mobile module outer panel pane placeholder posts post primary
+products region right row secondary section slot stories story text thread title to toggle top bottom topics
+unit videos wrap wrapper zone news pages reading tabs desktop sticky fixed""".split())
+# Words that make a name one of the layout around such a part, as in has-sidebar.
+LAYOUT = frozenset("has have with without no not non hide hides hidden show shows".split())
+PROSE = 100  # characters outside links of a block that is text rather than a label
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -46,28 +56,41 @@ class Node:
     """A block element: what it holds in order, and its counts."""
 
     __slots__ = ("tag", "items", "dropped", "chars", "tags", "link_chars", "link_tags", "density",
-                 "holds_article")
+                 "holds_article", "named")
 
-    def __init__(self, tag: str, dropped: bool = False) -> None:
+    def __init__(self, tag: str, dropped: bool = False, named: bool = False) -> None:
         self.tag, self.dropped = tag, dropped
+        self.named = named  # dropped for its class or id alone
         self.items: list = []  # nodes, and texts as (text, whether in a link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
         self.holds_article = False
 
 
-def _beside(attributes: str) -> bool:
-    if not attributes:
+def _names_side(token: str) -> bool:
+    """Whether one class or id names a part beside the article, rather than a layout or a topic."""
+    words = _NAMES.findall(token)
+    if LAYOUT & set(words):
         return False
+    while words and words[-1] not in BESIDE:
+        if words.pop() not in PARTS:
+            return False
+    return bool(words)
+
+
+def _beside(attributes: str) -> str:
+    """The attribute that names a part beside the article, or nothing: a role rather than a class or id."""
+    found = ""
     for name, value in _ATTRIBUTE.findall(attributes):
-        words = _NAMES.findall(value.lower())
+        value = value.lower()
         if name.lower() == "role":
             if {"navigation", "banner", "contentinfo", "complementary", "search",
-                    "dialog", "alert"} & set(words):
-                return True
-        elif BESIDE & set(words):
-            return True
-    return False
+                    "dialog", "alert"} & set(_NAMES.findall(value)):
+                return "role"
+        elif not BESIDE.isdisjoint(_NAMES.findall(value)) and any(
+                _names_side(token) for token in value.strip("\"'").split()):
+            found = "name"
+    return found
 
 
 def parse(page: str) -> Node:
@@ -137,8 +160,9 @@ def parse(page: str) -> Node:
                 links = 0
             elif stack[depth].tag in BOUNDS and stack[depth].tag != "body":
                 break
-        node = Node(tag, tag in DROPPED or (
-            tag not in ("html", "body", "article", "main") and _beside(token[3])))
+        beside = "" if tag in DROPPED or tag in ("html", "body", "article", "main") or not token[3] \
+            else _beside(token[3])
+        node = Node(tag, tag in DROPPED or bool(beside), beside == "name")
         stack[-1].items.append(node)
         stack.append(node)
 
@@ -162,11 +186,22 @@ def _measure(root: Node) -> list[tuple[Node, Node | None]]:
             parent.holds_article = True
     for node, _ in order:
         # A wrapper around the article is no side part whatever its class says.
-        if node.dropped and not (node.holds_article and node.tag not in DROPPED):
-            node.items = []
-        else:
+        if node.holds_article and node.tag not in DROPPED:
             node.dropped = False
+    if not root.holds_article:
+        _keep_wrappers(root, order)
+    for node, _ in order:
+        if node.dropped:
+            node.items = []
     order = [(n, p) for n, p in _walk(root) if not n.dropped]
+    _count(order)
+    for node, _ in order:
+        node.density = _density(node, root)
+    return order
+
+
+def _count(order: list[tuple[Node, Node | None]]) -> None:
+    """Fill in the counts of nodes, which come after their parents."""
     for node, parent in reversed(order):
         for item in node.items:
             if not isinstance(item, Node):
@@ -182,10 +217,53 @@ def _measure(root: Node) -> list[tuple[Node, Node | None]]:
             parent.tags += node.tags + 1
             parent.link_chars += node.link_chars
             parent.link_tags += node.link_tags
-    body = root
-    for node, _ in order:
-        node.density = _density(node, body)
-    return order
+
+
+def _open(top: Node) -> tuple[bool, bool]:
+    """Whether there is a block of prose, and whether there is a first heading, outside dropped parts."""
+    prose = heading = False
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        heading |= node.tag == "h1"
+        free = sum(len(i[0].strip()) for i in node.items if not isinstance(i, Node) and not i[1])
+        prose |= free >= PROSE
+        todo.extend(i for i in node.items if isinstance(i, Node) and not i.dropped)
+    return prose, heading
+
+
+def _keep_wrappers(root: Node, order: list[tuple[Node, Node | None]]) -> None:
+    """Keep a part that its class or id names, if it is what holds the page's text.
+
+    It must hold the densest block. And either there is no prose outside the named
+    parts, or the part holds the page's first heading and there is none outside. Side parts
+    inside it go by their own names.
+    """
+    if not any(node.named and node.dropped for node, _ in order):
+        return
+    prose, heading = _open(root)
+    if prose and heading:
+        return
+    live, parent_of = [], {}
+    for node, parent in order:
+        if parent is None or (id(parent) in parent_of and (node.named or not node.dropped)):
+            parent_of[id(node)] = parent
+            live.append((node, parent))
+    _count(live)
+    densest = max((n for n, _ in live), key=lambda n: _density(n, root))
+    for node, _ in live:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+    above, node = [], densest
+    while node is not None:
+        if node.dropped:
+            above.append(node)
+        node = parent_of[id(node)]
+    for node in reversed(above):
+        has_prose, has_heading = _open(node)
+        if prose and (heading or not has_heading):
+            return
+        node.dropped = False
+        prose, heading = prose or has_prose, heading or has_heading
 
 
 def _density(node: Node, body: Node) -> float:
@@ -272,8 +350,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of every page.
 
-    The page is parsed to its block elements; side parts (by element, or by the words of class and
-    id) go first. Every block gets its composite text density: characters a tag, damped
+    The page is parsed to its block elements; side parts (by element, or by the names of class and
+    id, unless what they name holds the text of a page without an article) go first. Every block gets its composite text density: characters a tag, damped
     by the share of links. The subtrees with the largest sums of child densities are the text, as far as
     they reach the smallest density on the way from the densest block to the root; inside
     an article or main element the whole element counts. Inline elements are no blocks.
