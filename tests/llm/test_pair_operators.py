@@ -249,3 +249,13 @@ def test_vectors_of_a_hot_class_and_an_empty_table(spark):
                                              F.sum(F.col("kept").cast("int"))).first()
     assert tuple(got) == (599, 599, 0, 1)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_vectors_that_share_an_id_or_have_none(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.1, 0.0]), (3, [1.0, 0.0, 0.1]), (1, [0.0, 0.0, 1.0]),
+            (7, [0.0, 0.1, 1.0]), (None, [0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.1]), (None, [-1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(df).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)) == [
+        (0, 0, 0, False), (0, 1, 9, False), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False),
+        (3, 2, 1, False), (7, 1, 1, False), (9, 1, 9, True)]

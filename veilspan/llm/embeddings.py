@@ -182,18 +182,22 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = df.select(F.col(id_col).alias("vec_id"), vector.cast("array<double>").alias("vector"),
                      F.coalesce(good, F.lit(False)).alias("good"))
     known = rows.filter("good")
-    classes = store.put(known.groupBy("vector").agg(F.min("vec_id").alias("class_id"),
+    # Numbers of their own, fixed by being stored: ids may be null or stand on several vectors.
+    classes = store.put(known.groupBy("vector").agg(F.min("vec_id").alias("first"),
                                                     F.count("*").alias("n"))
-                        .select("class_id", "n", "vector"))
+                        .select(F.monotonically_increasing_id().alias("class_id"), "first", "n", "vector"))
     bits, tables = tables_for(classes.count(), cosine)
-    coded = store.put(with_codes(classes, bits, tables))
+    coded = store.put(with_codes(classes.select("class_id", "n", "vector"), bits, tables))
     found = store.put(near_links(coded, tables, cosine))
     links = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")), store)
-    labelled = (classes.join(links, "class_id", "left")
-                .join(roots.withColumnRenamed("node", "class_id"), "class_id", "left")
+    rooted = roots.withColumnRenamed("node", "class_id")
+    smallest = (classes.select("class_id", "first").join(rooted, "class_id").groupBy("root")
+                .agg(F.min("first").alias("smallest")))
+    named = rooted.join(smallest, "root").select("class_id", "smallest")
+    labelled = (classes.join(links, "class_id", "left").join(named, "class_id", "left")
                 .select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-                        F.coalesce("root", "class_id").alias("component_id")))
+                        F.coalesce("smallest", "first").alias("component_id")))
     linked = known.join(labelled, "vector").select("vec_id", "n_links", "component_id")
     alone = rows.filter("not good").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
