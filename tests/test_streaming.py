@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,97 @@ def test_stream_reads_files_and_folders(spark, tmp_path, parts):
     out = streams.run_to_table(streams.table_stream(spark, str(tmp_path), "events"), str(tmp_path / "out"),
                                str(tmp_path / "cp"))
     assert out.count() == 1000
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def vault_rows(spark, n, session="s", first=0):
+    rows = [(session, "SSN", f"real {i}", f"base {i % 7}", DAY) for i in range(first, first + n)]
+    return spark.createDataFrame(rows, "session_id string, pii_type string, real string, synthetic string, "
+                                       "first_seen_ts timestamp")
+
+
+def test_an_upsert_reads_touched_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    for i in range(4):
+        vault_table.upsert(vault_rows(spark, 5, f"s{i}"), path, buckets=16)
+    buckets = vault_table.buckets_of(spark, path)
+    assert buckets == 16
+    # Sessions never seen: their keys have no bits, and no row is read at all.
+    unknown = vault_table.tested(vault_rows(spark, 50, "new"), path, buckets)
+    assert unknown.filter("real_maybe or base_maybe").count() == 0
+    assert "parquet" not in plan(vault_table.maybe_known(unknown, path))
+    known = vault_table.tested(vault_rows(spark, 5, "s3"), path, buckets)
+    assert known.filter("real_maybe and base_maybe").count() == 5
+    own = known.first().bucket
+    rows = vault_table.maybe_known(known, path)
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan(rows)) and rows.count() == 5
+    read = [r[0] for r in rows.select(F.input_file_name()).distinct().collect()]
+    assert read and all(f"/bucket={own}/" in f for f in read)
+
+
+def test_a_second_upsert_keeps_names_and_stays_injective(spark, tmp_path):
+    path = str(tmp_path / "vault")
+    vault_table.upsert(vault_rows(spark, 14), path)
+    before = {r.real: r.synthetic for r in vault_table.read_vault(spark, path).collect()}
+    added = vault_table.upsert(vault_rows(spark, 30), path)
+    after = {r.real: r.synthetic for r in vault_table.read_vault(spark, path).collect()}
+    assert added.count() == 16 and len(after) == 30 == len(set(after.values()))
+    assert all(after[k] == v for k, v in before.items())
+    assert sorted(v for v in after.values() if v.startswith("base 2")) == ["base 2"] + [f"base 2~{i}" for i in range(1, 4)]
+    assert vault_table.upsert(vault_rows(spark, 30), path).count() == 0
+    vault_table.write_vault(vault_rows(spark, 3, "other"), path, mode="overwrite")
+    assert vault_table.upsert(vault_rows(spark, 4, "other"), path).count() == 1
+    assert vault_table.read_vault(spark, path).count() == 4
+
+
+def test_a_writer_that_breaks_off_leaves_no_key_that_looks_new(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "vault")
+    vault_table.upsert(vault_rows(spark, 3), path, 0)
+
+    def broken(*args):
+        raise RuntimeError("executor lost")
+    monkeypatch.setattr(vault_table, "_bucketed", broken)
+    with pytest.raises(RuntimeError):
+        vault_table.upsert(vault_rows(spark, 9), path, 1)
+    monkeypatch.undo()
+    vault_table.upsert(vault_rows(spark, 9), path, 1)  # the replay of the batch
+    vault_table.upsert(vault_rows(spark, 9), path, 2)
+    assert vault_table.read_vault(spark, path).count() == 9
+
+
+def test_redacting_a_stream_with_names_that_collide(spark, folder):
+    from veilspan.functions.synth import keyed_value
+    from veilspan.operators.restore import restore_keyed
+    path, add = folder
+    # Two SSNs of one session with the same keyed value.
+    numbers = spark.range(300_000).select(F.concat_ws("-", F.lit("612"), F.lpad((F.col("id") % 90 + 10).cast("string"), 2, "0"),
+                                                     F.lpad((F.col("id") % 10000).cast("string"), 4, "0")).alias("v")).distinct()
+    named = numbers.select("v", keyed_value("change-me", F.lit("s"), F.lit("INCOME_AMOUNT"), F.concat(
+        F.lit("$1,"), F.substring("v", -3, 3))).alias("k"), F.concat(F.lit("$1,"), F.substring("v", -3, 3)).alias("real"))
+    pair = (named.select("k", "real").distinct().groupBy("k").agg(F.sort_array(F.collect_set("real")).alias("r"))
+            .filter(F.size("r") > 1).orderBy("k").first().r)
+    add([(20, at(60), "s", f"paid {pair[0]} today"), (21, at(61), "t", f"paid {pair[1]} today")])
+    out, vault, state = (str(path / p) for p in ("out", "vault", "cp"))
+
+    def run():
+        streams.stream_redact_with_vault(stream(spark, path), out, vault, state).awaitTermination()
+        return spark.read.parquet(out)
+    run()
+    add([(22, at(90), "s", f"paid {pair[1]} today, {pair[0]} before")])
+    texts = run()
+    rows = {r.event_id: r.sanitized for r in texts.collect()}
+    assert rows[22].count("~1") == 1 and "~" not in rows[20] and "~" not in rows[21]
+
+    def restored():
+        back = restore_keyed(spark.read.parquet(out), vault_table.read_vault(spark, vault), "event_id", "sanitized")
+        return {r.event_id: r.restored for r in back.collect()}
+    source = {r.event_id: r.text for r in spark.read.schema(SCHEMA).parquet(str(path / "in")).collect()}
+    assert restored() == source
+    # A replayed batch writes what it wrote, though later batches are in the vault.
+    first = spark.read.schema(SCHEMA).parquet(str(path / "in")).filter("event_id < 22")
+    streams.redact_batch(first, 0, out, vault)
+    assert {r.event_id: r.sanitized for r in spark.read.parquet(out).collect()} == rows
+    assert restored() == source and streams.vault_collisions(spark, vault).count() == 0

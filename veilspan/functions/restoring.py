@@ -13,26 +13,11 @@ MAPPING_TYPE = "struct<ord:int,pii_type:string,real:string,synthetic:string>"
 MIN_FIRST_TOKEN = 2
 
 
-def restore_chain(text: Column, mappings: Column) -> Column:
-    """Replace synthetic by real values one after the other, longest first.
-
-    After each value its possessive first word is replaced as well. ``mappings``
-    are the mappings of this text alone, so their number is bounded by it.
-    """
+def in_chain_order(mappings: Column) -> Column:
+    """Mappings as a chain of replacements takes them: longest synthetic value first, then by ``ord``."""
     keyed = F.transform(mappings, lambda m: F.struct(
         (-F.length(m["synthetic"])).alias("k0"), m["ord"].alias("k1"), m.alias("m")))
-
-    def one(done: Column, k: Column) -> Column:
-        m = k["m"]
-        head = first_token(m["synthetic"])
-        done = F.replace(done, m["synthetic"], m["real"])
-        owned = F.concat(head, F.lit("'s"))
-        return F.when((F.length(head) > MIN_FIRST_TOKEN) & F.contains(done, owned),
-                      F.replace(done, owned, F.concat(first_token(m["real"]), F.lit("'s")))
-                      ).otherwise(done)
-
-    # Replacing with itself gives the accumulator the type of later steps.
-    return F.aggregate(F.array_sort(keyed), text, one)
+    return F.transform(F.array_sort(keyed), lambda k: k["m"])
 
 
 def restore_found(text: Column, hits: Column, mappings: Column) -> Column:
@@ -41,18 +26,15 @@ def restore_found(text: Column, hits: Column, mappings: Column) -> Column:
     ``hits`` are spans of what looks like a keyed value or the possessive of its first word,
     ordered and free of overlaps. Where several values share that word the longest decides.
     """
-    longest_first = F.array_sort(F.transform(mappings, lambda m: F.struct(
-        (-F.length(m["synthetic"])).alias("k0"), m["ord"].alias("k1"), m.alias("m"))))
-
     def surface(key: Column, value: Column) -> Column:
         return F.struct(key.alias("key"), value.alias("value"))
 
     def surfaces(ordered: Column) -> Column:
-        owned = F.filter(F.transform(ordered, lambda k: surface(
-            first_token(k["m"]["synthetic"]), first_token(k["m"]["real"]))),
+        owned = F.filter(F.transform(ordered, lambda m: surface(
+            first_token(m["synthetic"]), first_token(m["real"]))),
             lambda s: F.length(s["key"]) > MIN_FIRST_TOKEN)
         return F.concat(
-            F.transform(ordered, lambda k: surface(k["m"]["synthetic"], k["m"]["real"])),
+            F.transform(ordered, lambda m: surface(m["synthetic"], m["real"])),
             F.transform(owned, lambda s: surface(F.concat(s["key"], F.lit("'s")),
                                                  F.concat(s["value"], F.lit("'s")))))
 
@@ -64,5 +46,5 @@ def restore_found(text: Column, hits: Column, mappings: Column) -> Column:
             F.get(known, F.get(m["to"], F.lit(0)))["value"].alias("real"))))
         return splice(text, spans, lambda s: s["real"])
 
-    return let(longest_first, lambda o: let(surfaces(o), lambda known: let(
+    return let(in_chain_order(mappings), lambda o: let(surfaces(o), lambda known: let(
         hits, lambda found: replaced(known, found))))

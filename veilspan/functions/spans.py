@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
 from veilspan.functions.arrays import chunk_slice, empty, fold_emit, let, offsets, text_chunks
+from veilspan.functions.matching import PLACE_BITS, value_places
 from veilspan.functions.patterns import DEFAULT_PATTERNS, PatternSpec
 from veilspan.functions.text import strip
 
@@ -142,21 +143,20 @@ def occurrences(text: Column, value: Column) -> Column:
                   let(F.split(text, literal, F.lit(-1)), starts)).otherwise(empty("int"))
 
 
-def propagate_values(text: Column, spans: Column) -> Column:
-    """Spans for every occurrence of every value already found in the text."""
-    # String keys: Spark hashes them, while distinct structs are compared pairwise.
-    keys = F.transform(spans, lambda s: F.concat_ws(":", s["pii_type"], s["value"]))
+def spans_at(spans: Column, places: Column) -> Column:
+    """The spans that ``value_places`` found, each like the one its value came from."""
+    def span(place: Column) -> Column:
+        start = place.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+        return let(F.get(spans, F.shiftright(place, PLACE_BITS).cast("int")), lambda s: let(
+            start, lambda p: make_span(p, p + F.length(s["value"]), s["ord"], s["pii_type"], s["value"],
+                                       s["confidence"], s["source"])))
+
+    return F.transform(places, span)
 
-    def spread(origin: Column) -> Column:
-        return F.transform(
-            occurrences(text, origin["value"]),
-            lambda p: make_span(p, p + F.length(origin["value"]), origin["ord"],
-                                origin["pii_type"], origin["value"],
-                                origin["confidence"], origin["source"]))
 
-    return let(keys, lambda k: F.flatten(F.transform(
-        F.array_distinct(k),
-        lambda key: let(F.element_at(spans, F.array_position(k, key).cast("int")), spread))))
+def propagate_values(text: Column, spans: Column) -> Column:
+    """Spans for every occurrence of every value already found in the text."""
+    return spans_at(spans, value_places(text, spans))
 
 
 def ordinal_named(spans: Column, name) -> Column:
@@ -216,32 +216,66 @@ def greedy_distinct(spans: Column) -> Column:
         .otherwise(F.array_append(kept, s)))
 
 
-def merge_spans(text: Column, regex: Column, ner: Column, mode: str = "safe") -> Column:
-    """Merge detector outputs; pattern hits win over model entities.
+def beside(extra: Column, base: Column) -> Column:
+    """Those of ``extra`` that overlap no span of ``base``; a span without a place overlaps none.
+
+    One sweep over all starts from the left knows how far the spans of ``base`` reach, one from the right
+    where the next of them begins. Overlapping spans in either array do no harm.
+    """
+    event = "struct<start:int,extra:int,end:int,at:int>"
+
+    def events(spans: Column, side: int) -> Column:
+        return F.transform(spans, lambda s, i: F.struct(
+            s["start"].alias("start"), F.lit(side).alias("extra"), s["end"].alias("end"), i.alias("at")))
+
+    def swept(found: Column) -> Column:
+        from_left = fold_emit(
+            found, F.lit(-1), event,
+            step=lambda reach, e: F.when(e["extra"] == 0, F.greatest(reach, e["end"])).otherwise(reach),
+            emit=lambda reach, e: F.when((e["extra"] == 0) | (e["start"] >= reach), F.array(e))
+                                   .otherwise(empty(event)))
+        free = fold_emit(
+            F.reverse(from_left), F.lit(2147483647), "int",
+            step=lambda following, e: F.when(e["extra"] == 0, e["start"]).otherwise(following),
+            emit=lambda following, e: F.when((e["extra"] == 1) & (e["end"] <= following), F.array(e["at"]))
+                                       .otherwise(empty("int")))
+        return F.array_sort(free)
+
+    def kept(more: Column) -> Column:
+        located = F.array_sort(F.filter(F.concat(events(base, 0), events(more, 1)),
+                                        lambda e: e["start"].isNotNull()))
+        return F.concat(F.transform(swept(located), lambda i: F.get(more, i)),
+                        F.filter(more, lambda s: s["start"].isNull()))
+
+    return let(extra, lambda more: F.when(F.size(more) == 0, more).otherwise(kept(more)))
+
+
+def merge_parity(regex: Column, ner: Column) -> Column:
+    """Pattern hits, and the model entities that clash with none of them nor with each other.
+
+    A model entity is dropped if it overlaps, or equals in value and type, a pattern hit or an
+    entity kept before. Nothing is propagated.
+    """
+    return let(regex, lambda r: let(
+        F.filter(ner, lambda g: ~F.exists(r, lambda k: overlaps(g, k) | same_value(g, k))),
+        lambda rest: sort_spans(F.concat(r, greedy_distinct(rest)))))
+
+
+def own_spans(regex: Column, ner: Column) -> Column:
+    """Safe merge, first step: pattern hits, and the entities that overlap none."""
+    return let(regex, lambda r: let(ner, lambda n: F.concat(r, beside(n, r))))
+
+
+def merge_safe(own: Column, places: Column) -> Column:
+    """Safe merge, last step: all values at all their places, free of overlaps.
 
-    ``parity``: a model entity is dropped if it overlaps, or equals in value
-    and type, a pattern hit or an entity kept before. Nothing is propagated.
-    ``safe``: every value found is first spread to all its occurrences; then
-    only overlap counts, and the result is free of overlaps. Entities without
-    a place in the text are kept at the end, for reporting.
+    ``own`` comes from ``own_spans``, ``places`` is where ``value_places`` found its values. Values
+    spread give way to spans found where they stand. Entities without a place are kept at the end,
+    for reporting.
     """
-    if mode == "parity":
-        return let(regex, lambda r: let(
-            F.filter(ner, lambda g: ~F.exists(r, lambda k: overlaps(g, k) | same_value(g, k))),
-            lambda rest: sort_spans(F.concat(r, greedy_distinct(rest)))))
-    if mode != "safe":
-        raise ValueError(f"unknown merge mode: {mode}")
-
-    def beside(extra: Column, base: Column) -> Column:
-        return F.filter(extra, lambda g: ~F.exists(base, lambda k: overlaps(g, k)))
-
-    def combine(r: Column, n: Column) -> Column:
-        own = F.concat(r, beside(n, r))
-        return let(own, lambda o: let(
-            resolve_overlaps(F.concat(o, beside(propagate_values(text, o), o))),
-            lambda placed: F.concat(placed, F.filter(n, lambda s: s["start"].isNull()))))
-
-    return let(regex, lambda r: let(ner, lambda n: combine(r, n)))
+    return let(own, lambda o: let(
+        resolve_overlaps(F.concat(o, beside(spans_at(o, places), o))),
+        lambda placed: F.concat(placed, F.filter(o, lambda s: s["start"].isNull()))))
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:

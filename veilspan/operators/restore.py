@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.arrays import unnest
-from veilspan.functions.restoring import (MAPPING_TYPE, MIN_FIRST_TOKEN, restore_chain,
+from veilspan.functions.matching import restored_text
+from veilspan.functions.restoring import (MAPPING_TYPE, MIN_FIRST_TOKEN, in_chain_order,
                                           restore_found)
 from veilspan.functions.spans import splice
 from veilspan.functions.synth import KEYED_PATTERNS, POSSESSIVE_PATTERN
@@ -19,7 +20,7 @@ from veilspan.session import built_once, shared_dir
 def restore(texts: DataFrame, mappings: DataFrame | None = None, id_col: str = "doc_id",
             text_col: str = "response", mappings_col: str = "mappings",
             out_col: str = "restored") -> DataFrame:
-    """Chained replacement with the mappings of each text, longest first.
+    """Chained replacement with the mappings of each text, longest first, in one pass over the text.
 
     Mappings come as an array on the row, or as a table keyed by the text id
     (``ord`` gives their order). Both are bounded by the text they were made from.
@@ -31,8 +32,8 @@ def restore(texts: DataFrame, mappings: DataFrame | None = None, id_col: str = "
             .alias(mappings_col))
         texts = texts.join(packed, id_col, "left")
     nothing = F.array().cast(f"array<{MAPPING_TYPE}>")
-    return texts.withColumn(out_col, restore_chain(
-        F.col(text_col), F.coalesce(F.col(mappings_col), nothing)))
+    return texts.withColumn(out_col, restored_text(
+        F.col(text_col), in_chain_order(F.coalesce(F.col(mappings_col), nothing))))
 
 
 @built_once

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,23 +31,28 @@ def new_mappings(vault: DataFrame, mappings: DataFrame, keys: Sequence[str] = BY
     return first_per_key(mappings, keys, order).join(vault.select(*keys), list(keys), "left_anti")
 
 
+def base_of(synthetic: str = "synthetic") -> Column:
+    """A synthetic value without the number that tells it from others with the same base."""
+    return F.regexp_replace(synthetic, "~[0-9]+$", "")
+
+
 def rename_collisions(vault: DataFrame, new: DataFrame) -> DataFrame:
     """Make new mappings injective: one synthetic value per real value and session.
 
     Real values that hash to the same synthetic value are numbered; the first
     keeps it, the others get "~1", "~2" and so on, which no base value contains.
-    Known mappings keep what they have. Keyed values spread over large ranges,
-    so the numbered groups stay small even in a very large session.
+    Known mappings keep what they have; of these only the rows that share a session and base with
+    a new one are ordered. Keyed values spread over large ranges, so the numbered groups stay
+    small even in a very large session.
     """
-    base = F.regexp_replace("synthetic", "~[0-9]+$", "")
-    rows = (vault.select(*VAULT_COLUMNS, F.lit(0).alias("_new"))
-            .unionByName(new.select(*VAULT_COLUMNS, F.lit(1).alias("_new")))
-            .withColumn("_base", base))
-    # A known suffix sorts known rows first and in their old order.
+    new = new.select(*VAULT_COLUMNS, F.lit(1).alias("_new")).withColumn("_base", base_of())
+    known = vault.select(*VAULT_COLUMNS, F.lit(0).alias("_new")).withColumn("_base", base_of()).join(
+        new.select("session_id", "_base").distinct(), ["session_id", "_base"], "left_semi")
+    # Known rows come first, so that new ones are numbered after them.
     place = W.partitionBy("session_id", "_base").orderBy(
         "_new", F.sha2(F.concat_ws("|", "pii_type", "real"), 256))
     n = F.row_number().over(place) - 1
-    return (rows.withColumn("_n", n).filter("_new = 1")
+    return (known.unionByName(new).withColumn("_n", n).filter("_new = 1")
             .withColumn("synthetic", F.when(F.col("_n") > 0, F.concat_ws("~", "_base", "_n"))
                         .otherwise(F.col("_base")))
             .select(*VAULT_COLUMNS))

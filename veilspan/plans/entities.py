@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.functions import fixed_values as fv
 from veilspan.functions import ner
-from veilspan.functions.spans import overlaps, propagate_values
+from veilspan.functions.spans import propagate_values
 from veilspan.functions.text import strip
 from veilspan.operators import entities, merge
 from veilspan.operators.detect import explode_spans, with_regex_spans
@@ -87,15 +88,27 @@ def entity_spans(spark: SparkSession, d: str) -> DataFrame:
                               requests=written_requests(spark, docs)).select(*COLUMNS)
 
 
+def detector_union(spark: SparkSession, d: str) -> DataFrame:
+    """Both detectors' spans; a text is read once and its spans exploded once."""
+    both = common.detected(spark, d).select("doc_id", F.concat("spans", "ner_spans").alias("spans"))
+    return explode_spans(both).select(*COLUMNS)
+
+
+def long_both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Entities and pattern hits from one written table, so that no text is read twice."""
+    path = common.fresh_dir(spark, "spans")
+    both = detector_union(spark, d)
+    both.write.parquet(path)
+    found = spark.read.schema(both.schema).parquet(path)
+    is_regex = F.col("source") == fv.REGEX_SOURCE
+    return found.filter(~is_regex), found.filter(is_regex)
+
+
 def long_ner(spark: SparkSession, d: str) -> DataFrame:
     return explode_spans(entities.with_ner_spans(common.answered(spark, d)),
                          spans_col="ner_spans")
 
 
-def long_regex(spark: SparkSession, d: str) -> DataFrame:
-    return explode_spans(with_regex_spans(common.answered(spark, d)))
-
-
 def merged_rows(mode: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return explode_spans(common.merged(spark, d, mode), spans_col="merged").select(*COLUMNS)
@@ -103,20 +116,20 @@ def merged_rows(mode: str):
 
 
 def long_parity(spark: SparkSession, d: str) -> DataFrame:
-    return merge.merge_spans(long_regex(spark, d), long_ner(spark, d), "parity").select(*COLUMNS)
+    found, regex = long_both(spark, d)
+    return merge.merge_spans(regex, found, "parity").select(*COLUMNS)
 
 
 def overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Entity and pattern hit of the same text that share characters."""
-    a, b = long_ner(spark, d).alias("n"), long_regex(spark, d).alias("r")
-    hit = overlaps(merge._span_of("n"), merge._span_of("r"))
-    return a.join(b, (F.col("n.doc_id") == F.col("r.doc_id")) & hit).select(
-        F.col("n.doc_id").alias("doc_id"), F.col("n.ord").alias("ner_ord"),
-        F.col("r.ord").alias("regex_ord"), F.col("r.start").alias("regex_start"))
+    return merge.overlapping(*long_both(spark, d)).select(
+        "a.doc_id", F.col("a.ord").alias("ner_ord"), F.col("b.ord").alias("regex_ord"),
+        F.col("b.start").alias("regex_start"))
 
 
-def detector_union(spark: SparkSession, d: str) -> DataFrame:
-    return long_regex(spark, d).unionByName(long_ner(spark, d)).select(*COLUMNS)
+def without_overlaps(same_values: bool):
+    return lambda s, d: merge.without_overlaps(
+        *long_both(s, d), same_values=same_values).select(*COLUMNS)
 
 
 def final_order(spark: SparkSession, d: str) -> DataFrame:
@@ -184,11 +197,8 @@ def register(c: Catalog) -> None:
         BOTH, "select a.doc_id, a.ord as ner_ord, b.ord as regex_ord, b.start as regex_start "
         f"from ner a join spans b on a.doc_id = b.doc_id and {OVERLAP}"))
     anti = "select a.* from ner a where not exists (select 1 from spans b where b.doc_id = a.doc_id and "
-    c.add("entities_without_overlap", lambda s, d: merge.without_overlaps(
-        long_ner(s, d), long_regex(s, d)).select(*COLUMNS), with_(BOTH, f"{anti}{OVERLAP})"))
-    c.add("entities_without_clash", lambda s, d: merge.without_overlaps(
-        long_ner(s, d), long_regex(s, d), same_values=True).select(*COLUMNS),
-        with_(BOTH, f"{anti}({OVERLAP} or {SAME}))"))
+    c.add("entities_without_overlap", without_overlaps(False), with_(BOTH, f"{anti}{OVERLAP})"))
+    c.add("entities_without_clash", without_overlaps(True), with_(BOTH, f"{anti}({OVERLAP} or {SAME}))"))
     parity_sql = with_([*BOTH, *PARITY_CTES], ALL + "parity")
     c.add("merged_spans_parity", merged_rows("parity"), parity_sql)
     c.add("merged_spans_parity_long", long_parity, parity_sql)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilspan.operators import restore
 from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
 from veilspan.plans.oracle_parts import (SRC_MESSAGES, keyed_cte, resolved_ctes, span_ctes,
                                          spliced_cte, with_)
 from veilspan.sources import vault_table
+from veilspan.sources.tables import table
 from veilspan.sources.forms import as_messages
 from veilspan.streaming import redaction as streams
 
@@ -42,6 +44,34 @@ def shown(vault: DataFrame) -> DataFrame:
         "first_seen_ts", "yyyy-MM-dd HH:mm:ss").alias("first_seen"))
 
 
+def one_session(messages: DataFrame) -> DataFrame:
+    """All messages in one session, so that many real values meet in one synthetic value."""
+    return messages.withColumn("session_id", F.lit("one"))
+
+
+def live_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Messages redacted batch by batch with names from the vault, and restored from it.
+
+    The events come in four batches; the last one is run twice, as after a failure.
+    """
+    base = common.fresh_dir(spark, "stream")
+    table(spark, d, "events").repartitionByRange(4, "ts").write.parquet(base + "/events.parquet")
+
+    def stream() -> DataFrame:
+        return one_session(as_messages(streams.table_stream(
+            spark, base, "events", {"maxFilesPerTrigger": "1"})))
+    streams.stream_redact_with_vault(stream(), base + "/out", base + "/vault", base + "/state").awaitTermination()
+    sanitized = spark.read.parquet(base + "/out")
+    last = sanitized.agg(F.max("batch_id")).first()[0]
+    if last is not None:
+        again = one_session(as_messages(table(spark, d, "events"))).join(
+            sanitized.filter(F.col("batch_id") == last).select("event_id"), "event_id", "left_semi")
+        streams.redact_batch(again, last, base + "/out", base + "/vault")
+    out = spark.read.parquet(base + "/out").select("event_id", "session_id", "sanitized")
+    return restore.restore_keyed(out, vault_table.read_vault(spark, base + "/vault"), "event_id",
+                                 text_col="sanitized").select("event_id", "restored")
+
+
 def live_vault_after_delete(spark: SparkSession, d: str) -> DataFrame:
     """A vault kept by a stream, without one of its sessions."""
     base = common.fresh_dir(spark, "stream")
@@ -69,9 +99,14 @@ def register(c: Catalog) -> None:
         "select session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as started, count(*) as n_messages, "
         "cast(sum(n) as bigint) as n_items, count(*) filter (n > 0) as n_protected from numbered "
         "group by session_id, k"))
-    rows = ("select n.session_id, pii_type, value as real, any_value(synthetic) as synthetic, "
-            "strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_seen from named n join src using (doc_id) "
-            "group by all")
+    # Values of a session that share a synthetic value are numbered.
+    rows = ("select session_id, pii_type, value as real, synthetic || case when n > 0 then '~' || cast(n as "
+            "varchar) else '' end as synthetic, first_seen from (select *, row_number() over (partition by "
+            "session_id, synthetic order by sha256(pii_type || '|' || value)) - 1 as n from (select n.session_id, "
+            "pii_type, value, any_value(synthetic) as synthetic, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as "
+            "first_seen from named n join src using (doc_id) group by all) d) r")
+    c.add("live_vault_round_trip", live_round_trip, with_(
+        [SRC_MESSAGES], "select doc_id as event_id, text as restored from src"))
     c.add("live_vault", live_vault, with_(KEYED, rows))
     c.add("live_vault_after_delete", live_vault_after_delete, with_(
         KEYED, f"select * from ({rows}) v where session_id <> '{DELETED}'"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.operators import redact, restore, vault
+from veilspan.operators.detect import explode_spans
 from veilspan.plans import common
 from veilspan.plans.catalog import Catalog
 from veilspan.plans.oracle_parts import (SRC_FORMS, first_token, q, restored_ctes, spliced_cte,
@@ -62,6 +63,20 @@ def injective_vault(spark: SparkSession, d: str, session=None) -> DataFrame:
     return vault_table.read_vault(spark, path)
 
 
+def second_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """All mappings added to a table that has those of the forms without a bonus.
+
+    One session, so some values are known, some new, and some new ones collide with known ones.
+    """
+    texts = common.forms(spark, d).withColumn("session_id", F.lit("one"))
+    first = texts.filter(F.contains("text", F.lit("Bonus: none")))
+    path = common.fresh_dir(spark, "vault")
+    for part in (first, texts):
+        vault_table.upsert(as_vault(redact.assign_synthetic(explode_spans(
+            common.resolved(part), ("doc_id", "session_id")))), path)
+    return vault_table.read_vault(spark, path).select("pii_type", "real", "synthetic")
+
+
 def redact_spans(spark: SparkSession, d: str) -> DataFrame:
     from veilspan.plans.redaction import spans
     return spans(spark, d)
@@ -188,6 +203,15 @@ def register(c: Catalog) -> None:
                    if cte.startswith("src as") else cte for cte in VAULT_CTES]
     c.add("vault_without_collisions", renamed_values, with_(
         [*one_session, *INJECTIVE], "select pii_type, real, synthetic from injective"))
+    # Those of the first load come first in their group.
+    c.add("vault_second_upsert", second_upsert, with_(
+        [*one_session, "early as (select distinct r.pii_type, r.value as real from resolved r join src s using "
+         "(doc_id) where contains(s.text, 'Bonus: none'))",
+         "placed as (select v.*, row_number() over (partition by synthetic order by (e.real is null), "
+         "sha256(v.pii_type || '|' || v.real)) - 1 as n from vault v left join early e on e.real = v.real "
+         "and e.pii_type = v.pii_type)"],
+        "select pii_type, real, synthetic || case when n > 0 then '~' || cast(n as varchar) else '' end "
+        "as synthetic from placed"))
     c.add("vault_aware_redacted_forms", vault_aware_redacted, with_(
         [*one_session, *INJECTIVE, "own_named as (select r.*, i.synthetic from resolved r join injective i "
          "on i.real = r.value and i.pii_type = r.pii_type)", spliced_cte("own_named")],

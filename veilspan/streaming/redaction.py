@@ -15,19 +15,19 @@ from pyspark.sql.streaming import StreamingQuery
 from veilspan.functions.arrays import unnest
 from veilspan.functions.synth import DEFAULT_SALT
 from veilspan.operators.detect import SPANS, with_regex_spans, with_resolved_spans
-from veilspan.operators.redact import redact_keyed, with_keyed_spans
-from veilspan.operators.vault import collisions, new_mappings
+from veilspan.operators.redact import redact_keyed, redact_with_vault, with_keyed_spans
+from veilspan.operators.vault import collisions
 from veilspan.sources import vault_table
 
 LATENESS = "10 minutes"
 
 
-def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+def table_stream(spark: SparkSession, directory: str, name: str, options: dict | None = None) -> DataFrame:
     """A table of the data folder as a stream: of its one file, or of its part files."""
     path = os.path.join(directory, f"{name}.parquet")
     schema = spark.read.parquet(path).schema
     # A stream's path is a folder or a pattern; this pattern matches the table alone.
-    return spark.readStream.schema(schema).parquet(
+    return spark.readStream.schema(schema).options(**(options or {})).parquet(
         os.path.join(directory, f"[{name[0]}]{name[1:]}.parquet"))
 
 
@@ -74,10 +74,8 @@ def mappings_of(df: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, path: str, salt: str = DEFAULT_SALT) -> None:
-    """Add a batch's unknown mappings. Replaying a batch rewrites its own partitions."""
-    before = vault_table.read_before(batch, path, batch_id)
-    vault_table.write_vault(new_mappings(before, mappings_of(batch, salt)), path,
-                            batch_id=batch_id)
+    """Add a batch's unknown mappings, injectively. Replaying a batch rewrites its own partitions."""
+    vault_table.upsert(mappings_of(batch, salt), path, batch_id)
 
 
 def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str = DEFAULT_SALT,
@@ -88,6 +86,34 @@ def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str = DEFA
             .foreachBatch(lambda df, i: upsert_batch(df, i, path, salt)).start())
 
 
+def redact_batch(batch: DataFrame, batch_id: int, path: str, vault: str, salt: str = DEFAULT_SALT,
+                 id_col: str = "event_id", text_col: str = "text", ts_col: str = "ts") -> None:
+    """Name a batch's new values in the vault, then redact its texts with the names that hold there.
+
+    Vault and texts are written as partitions of the batch, and a batch reads the vault as it stood after
+    it: a replay writes what the first attempt did, whatever came later.
+    """
+    vault_table.upsert(mappings_of(batch, salt, text_col, ts_col), vault, batch_id)
+    names = vault_table.read_of(batch, vault, batch_id)
+    found = with_resolved_spans(with_regex_spans(batch, text_col=text_col))
+    out = redact_with_vault(found, names, salt, id_col=id_col, text_col=text_col).drop(SPANS, "named", text_col)
+    (out.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.partitionBy("batch_id")
+     .mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path))
+
+
+def stream_redact_with_vault(stream: DataFrame, path: str, vault: str, checkpoint: str,
+                             salt: str = DEFAULT_SALT, id_col: str = "event_id", text_col: str = "text",
+                             ts_col: str = "ts", trigger: dict | None = None) -> StreamingQuery:
+    """Redact a stream with injective names: replies to its texts restore to the right person.
+
+    ``stream_redact`` needs no table, but two real values of a session may get one synthetic value
+    there. The text itself is not written.
+    """
+    return (stream.writeStream.option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True}))
+            .foreachBatch(lambda df, i: redact_batch(df, i, path, vault, salt, id_col, text_col, ts_col)).start())
+
+
 def vault_collisions(spark: SparkSession, path: str) -> DataFrame:
     """Report of mappings a stream could not tell apart."""
     return collisions(vault_table.read_vault(spark, path))
