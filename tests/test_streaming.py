@@ -58,12 +58,46 @@ def test_windows_close_and_late_rows_are_dropped(spark, folder):
 
 
 def test_sessions_of_activity(spark, folder):
-    path, _ = folder
-    out = streams.run_to_table(streams.stream_sessions(stream(spark, path)), str(path / "out"),
-                               str(path / "cp"), "complete")
-    rows = {(r.session_id, r.session_start): (r.n_messages, r.n_items, r.n_protected)
-            for r in out.collect()}
-    assert rows == {("s", at(0)): (2, 2, 2), ("s", at(50)): (1, 1, 1), ("t", at(7)): (1, 0, 0)}
+    path, add = folder
+    add([(8, at(60 * 24 * 9), "closing", "")])
+
+    def run():
+        return streams.run_to_table(streams.stream_sessions(stream(spark, path)), str(path / "out"), str(path / "cp"))
+    run()
+    rows = {(r.session_id, r.session_start): (r.n_messages, r.n_items, r.n_protected, r.n_local, r.n_cloud,
+                                              r.on_device_pct) for r in run().collect()}
+    assert rows == {("s", at(0)): (2, 2, 2, 0, 2, 0), ("s", at(50)): (1, 1, 1, 0, 1, 0),
+                    ("t", at(7)): (1, 0, 0, 1, 0, 100)}
+
+
+def test_sliding_windows_by_route_are_upserted(spark, folder):
+    path, add = folder
+    out, state = str(path / "out"), str(path / "cp")
+    keys = ("window_start", "pii_type", "route")
+
+    def run():
+        df = streams.stream_dashboard(stream(spark, path), "30 minutes", "15 minutes", by=keys[1:])
+        return {tuple(r[k] for k in keys): r.n_items
+                for r in streams.run_to_table(df, out, state, "update", keys).collect()}
+    expected = {(at(-15), "EMAIL", "cloud"): 1, (at(0), "EMAIL", "cloud"): 1, (at(-15), "SSN", "cloud"): 1,
+                (at(0), "SSN", "cloud"): 1, (at(30), "SSN", "cloud"): 1, (at(45), "SSN", "cloud"): 1}
+    assert run() == expected
+    add([(30, at(52), "s", "SSN 612-45-9083 once more")])
+    expected |= {(at(30), "SSN", "cloud"): 2, (at(45), "SSN", "cloud"): 2}
+    assert run() == expected
+    # A batch that is written again changes nothing.
+    last = spark.read.parquet(out)
+    again = last.filter(F.col("batch_id") == last.agg(F.max("batch_id")).first()[0])
+    rows = again.drop("batch_id").collect()
+    streams.upsert_rows(spark.createDataFrame(rows, again.drop("batch_id").schema), again.first().batch_id, out)
+    assert run() == expected
+    add([(31, at(60 * 48), "s", "SSN 612-45-9083")])
+    run()
+    add([(32, at(3), "s", "SSN 777-45-9083")])  # far too late: its windows are closed
+    expected |= {(at(60 * 48), "SSN", "cloud"): 1, (at(60 * 48 - 15), "SSN", "cloud"): 1}
+    assert run() == expected
+    with pytest.raises(ValueError):
+        streams.run_to_table(streams.stream_redact(stream(spark, path)), out, state, "complete")
 
 
 def test_vault_upkeep_survives_a_replay(spark, folder):
