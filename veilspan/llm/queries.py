@@ -84,7 +84,9 @@ def op11_whitening(spark: SparkSession, d: str) -> DataFrame:
     # Null where the exact sum has no place in a long.
     deviation = F.aggregate(off, F.lit(0).cast("long"), lambda a, x: F.try_add(a, F.try_multiply(x, x)))
     shares = F.array(*[F.lit(float(e / found.trace)) for e in found.eigenvalues])
-    rows = found.rows.select("vec_id", deviation.alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    # Of a row, before it is exploded to one for each component.
+    rows = found.rows.select("vec_id", deviation.alias("deviation"), "whitened").select(
+        "vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
     return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(found.n).cast("long").alias("n"),
                        "deviation", "whitened", F.get(shares, F.col("at")).alias("explained"),
                        F.lit(found.identity_error).alias("identity_error"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import NamedTuple
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.common import callMLlibFunc
@@ -47,7 +48,9 @@ def blocks_of(rows: DataFrame, n: int, dim: int) -> BlockMatrix:
     vectors = MLUtils.convertVectorColumnsFromML(
         rows.select("at", array_to_vector("centred").alias("vector")), "vector")
     indexed = IndexedRowMatrix(callMLlibFunc("createIndexedRowMatrix", vectors, n, dim))
-    return indexed.toBlockMatrix(max(ROWS_PER_BLOCK, -(-n // MOST_BLOCKS)), dim)
+    # Read more than once: kept where it was made, and made again from the stored rows where it is lost.
+    return indexed.toBlockMatrix(max(ROWS_PER_BLOCK, -(-n // MOST_BLOCKS)), dim).persist(
+        StorageLevel.MEMORY_AND_DISK)
 
 
 def scatter(blocks: BlockMatrix) -> np.ndarray:
