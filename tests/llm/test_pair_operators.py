@@ -203,6 +203,25 @@ def test_passages_of_many_edited_copies(spark):
     assert covered(suffix_dedup.repeated_passages(df)) == brute_repeats(rows, 50)
 
 
+@pytest.mark.parametrize("together, at_once", [(3, 8192), (4096, 5), (1, 1)])
+def test_grams_of_many_suffixes_and_small_sorts(spark, monkeypatch, together, at_once):
+    """Both ways give what brute force does, also where a gram's suffixes come in several batches."""
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    monkeypatch.setattr(suffix_dedup, "SORTED_ROWS", at_once)
+    rng = random.Random(11)
+    passages = [words(rng, n) for n in (15, 40, 55, 90)]
+    rows = [(i % 37, " ".join(f"{words(rng, rng.randrange(45))} {rng.choice(passages)}" for _ in range(4))) for i in range(60)]
+    base = words(rng, 200).split()
+    rows += [(100 + i, " ".join("x" if rng.random() < 0.02 else w for w in base)) for i in range(25)] + rows[-1:]
+    df = spark.createDataFrame([(t, d, 1, "w") for d, t in rows], "body string, `key` long, words int, found string")
+    got = suffix_dedup.repeated_passages(df, "key", "body")
+    # Ids repeat: a passage of one text counts for its id; brute force sees the ids' texts one by one.
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.key, set()).update(range(r.start_word, r.start_word + r.n_words))
+    assert found == brute_repeats(rows, 50)
+
+
 def vectors():
     rng = np.random.default_rng(8)
     x = [rng.standard_normal(16) for _ in range(150)]

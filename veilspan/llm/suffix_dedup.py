@@ -1,4 +1,4 @@
-"""Passages repeated across documents, by windows that select the same gram."""
+"""Passages repeated across documents, by a sparse suffix array over minimiser positions."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Stored
+from veilspan.llm.common import Stored, column, ship
+from veilspan.operators.skew import hot_keys, spread_join
 
 LEAST_WORDS = 50  # shortest passage that counts
 GRAM = 10  # words whose hash decides which place of a window is selected
+TOGETHER = 4096  # different suffixes with one gram that a task sorts together; more go by their windows
+SORTED_ROWS = 8192  # suffixes that are sorted at a time, in whole grams
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -56,82 +59,216 @@ def chosen(hashes: np.ndarray, window: int) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
-    """Grams (key, doc_id) that some window of ``least`` words of a document selects."""
+    """The minimiser positions of a document, each with the windows of ``least`` words that select it.
+
+    Such windows begin at consecutive words: ``lo`` and the ``n - 1`` after it; the selected gram begins ``off``
+    words after the first of them. ``key`` is the gram's hash, ``context`` one of all words of these windows.
+    """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, ids = [], []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                hashes = gram_hashes(word_hashes(text), gram)
-                key = np.unique(hashes[np.unique(chosen(hashes, least - gram + 1))])
-                keys.append(key.view(np.int64))
-                ids.append(np.full(len(key), doc, dtype=np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys), "doc_id": np.concatenate(ids)})
+                words = word_hashes(text)
+                hashes = gram_hashes(words, gram)
+                at = chosen(hashes, least - gram + 1)
+                if not len(at):
+                    continue
+                lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                n = np.diff(np.r_[lo, len(at)])
+                powers = np.cumprod(np.full(len(words), BASE, dtype=np.uint64))
+                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers)])
+                back = np.cumprod(np.full(len(words), INVERSE, dtype=np.uint64))
+                off = at[lo] - lo
+                context = (sums[lo + n - 1 + least] - sums[lo]) * back[lo] ^ (n * 64 + off).astype(np.uint64)
+                context *= np.uint64(0xBF58476D1CE4E5B9)
+                context ^= context >> np.uint64(31)
+                for a in range(0, len(lo), 1 << 16):
+                    part = slice(a, a + (1 << 16))
+                    yield pd.DataFrame({"key": hashes[at[lo[part]]].view(np.int64), "context": context[part].view(np.int64),
+                                        "doc_id": doc, "lo": lo[part].astype(np.int32),
+                                        "n": n[part].astype(np.int16), "off": off[part].astype(np.int16)})
 
-    return docs.mapInPandas(emit, "key long, doc_id long")
+    return docs.mapInPandas(emit, "key long, context long, doc_id long, lo int, n short, off short")
 
 
-def windows(docs: DataFrame, keys: DataFrame, least: int, gram: int) -> DataFrame:
-    """Every window of ``least`` words whose gram is among the document's ``keys``.
+SUFFIX = "key long, context long, doc_id long, whole boolean, n short, off short, words binary"
 
-    Columns key, window (hash of its words), doc_id, start. Each window selects one gram, so it
-    stands in one row.
-    """
+
+def suffixes(docs: DataFrame, classes: DataFrame, least: int, gram: int) -> DataFrame:
+    """The words around the minimiser positions that stand for the given classes."""
+    wanted = classes.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(
+        "key", "context", "whole", "first.lo", "first.n", "first.off")).alias("wanted"))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for doc, text, shared in zip(batch["doc_id"], batch["text"], batch["keys"]):
+            for doc, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"]):
                 words = word_hashes(text)
-                hashes = gram_hashes(words, gram)
-                key = hashes[chosen(hashes, least - gram + 1)].view(np.int64)
-                start = np.flatnonzero(np.isin(key, np.asarray(shared, dtype=np.int64)))
-                window = gram_hashes(words, least).view(np.int64)
-                for at in range(0, len(start), 1 << 16):
-                    part = start[at:at + (1 << 16)]
-                    yield pd.DataFrame({"key": key[part], "window": window[part], "doc_id": doc,
-                                        "start": part.astype(np.int32)})
+                hashes = gram_hashes(words, gram).view(np.int64)
+                out = []
+                for w in wanted:
+                    at = w["lo"] + w["off"]
+                    # Texts may share an id; the position belongs to one of them.
+                    if at < len(hashes) and hashes[at] == w["key"]:
+                        out.append((w["key"], w["context"], doc, w["whole"], w["n"], w["off"],
+                                    words[w["lo"]:w["lo"] + w["n"] - 1 + least].tobytes()))
+                for a in range(0, len(out), SORTED_ROWS):
+                    yield pd.DataFrame(out[a:a + SORTED_ROWS], columns=[c.split()[0] for c in SUFFIX.split(", ")])
+
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInPandas(emit, SUFFIX)
+
+
+def agreeing(rows: pd.DataFrame, least: int, gram: int) -> np.ndarray:
+    """For each suffix, the windows (bits, by start) that another document has too.
+
+    The suffixes are sorted from their last word on, one word further left at a time. In the order by
+    the words from some start on, those that agree in ``least`` words lie beside each other; so
+    neighbours are compared, for every start that a window around the gram can have.
+    """
+    reach = least - gram  # words that a window can have before the gram
+    n, off = rows["n"].to_numpy(np.int64), rows["off"].to_numpy(np.int64)
+    doc, whole = rows["doc_id"].to_numpy(np.int64), rows["whole"].to_numpy(bool)
+    words = np.zeros((len(rows), reach + least), dtype=np.uint64)
+    for i, data in enumerate(rows["words"]):
+        own = np.frombuffer(data, dtype=np.uint64)
+        first = reach - off[i]
+        words[i, first:first + len(own)] = own[:reach + least - first]
+    found = np.zeros(len(rows), dtype=np.int64)
+    order = np.arange(len(rows))
+    for start in range(reach + least - 1, -1, -1):
+        order = order[np.argsort(words[order, start], kind="stable")]
+        at = off - (reach - start)  # which of its windows begins here
+        here = order[(at[order] >= 0) & (at[order] < n[order])] if start <= reach else order[:0]
+        if len(here) < 2:
+            continue
+        own = words[here, start:start + least]
+        fresh = np.r_[True, (own[1:] != own[:-1]).any(axis=1)]
+        run, firsts = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        shared = (np.minimum.reduceat(doc[here], firsts) != np.maximum.reduceat(doc[here], firsts)) | (
+            np.logical_or.reduceat(whole[here], firsts))
+        hit = here[shared[run]]
+        found[hit] |= np.int64(1) << at[hit]
+    return found
+
 
-    return docs.join(keys, "doc_id").select("doc_id", "text", "keys").mapInPandas(
-        emit, "key long, window long, doc_id long, start int")
+def neighbours(rows: DataFrame, least: int, gram: int) -> DataFrame:
+    """Windows (bits) of each open suffix that another document has; equal grams lie in one part."""
+
+    enough = SORTED_ROWS
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def result(part: pd.DataFrame) -> pd.DataFrame:
+            found = agreeing(part, least, gram)
+            keep = (found != 0) & ~part["whole"].to_numpy(bool)
+            return part.loc[keep, ["key", "context"]].assign(found=found[keep])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < enough:
+                continue
+            all_ = pd.concat(held, ignore_index=True)
+            # The last gram may go on in the next batch; there are at most TOGETHER suffixes of it.
+            cut = int(np.searchsorted(all_["key"].to_numpy(), all_["key"].iloc[-1]))
+            if cut:
+                yield result(all_.iloc[:cut].reset_index(drop=True))
+            held, size = [all_.iloc[cut:]], size - cut
+        if size:
+            yield result(pd.concat(held, ignore_index=True))
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(
+        compare, "key long, context long, found long")
+
+
+def by_windows(rows: DataFrame, least: int, store: Stored) -> DataFrame:
+    """The same for grams with more different suffixes than one task should sort: by hashes of the windows."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, context, doc, whole, n, words in zip(*(batch[c] for c in (
+                    "key", "context", "doc_id", "whole", "n", "words"))):
+                hashes = gram_hashes(np.frombuffer(words, dtype=np.uint64), least).view(np.int64)
+                out.append(pd.DataFrame({"key": key, "window": hashes, "context": context, "doc_id": doc,
+                                         "whole": whole, "at": np.arange(n, dtype=np.int32)}))
+            if out:
+                yield pd.concat(out)
+
+    windows = store.put(rows.mapInPandas(
+        emit, "key long, window long, context long, doc_id long, whole boolean, at int"))
+    shared = windows.groupBy("key", "window").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.bool_or("whole").alias("w")).filter(
+        "a < b or w").select("key", "window", F.lit(True).alias("shared"))
+    keys = ["key", "window"]
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at"))
+    return (spread_join(windows.filter("not whole"), shared, keys, hot_keys(windows, keys), "context", "inner")
+            .groupBy("key", "context").agg(F.bit_or(bit).alias("found")))
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       least: int = LEAST_WORDS, gram: int = GRAM) -> DataFrame:
     """Passages of at least ``least`` words that another document has as well.
 
-    Every window of ``least`` words selects the run of ``gram`` words in it that has the smallest
-    hash; so windows that agree select the same. Windows whose gram only one document selects are
-    dropped by a count of grams. The others are counted by their own hash and that of their gram,
-    128 bits together: a window that two documents have is repeated, however many others share
-    parts of it. Windows of a document that overlap or touch are one passage.
+    Every window of ``least`` words selects the run of ``gram`` words in it that has the smallest hash, so
+    windows that agree select the same. Only suffixes at these positions are kept, about one in
+    (least - gram) / 2 words, and of these only those whose gram two documents select. Positions that agree in
+    all words of their windows are one class; if it has two documents, all its windows are repeated. One
+    suffix of each class then stands for it: the suffixes of a gram are sorted, neighbours compared, and
+    matches extended to the left and right until they have ``least`` words. Grams with very many different
+    suffixes are not sorted in one task: their windows are counted by hash, with the same result.
 
-    Words are what ASCII white space separates. Texts that are null, empty or shorter than ``least``
-    words, and rows without an id have no passages; rows that repeat an id are one document, to
-    which their own repeats don't count. Extra columns are not passed on; an empty table gives no
-    rows. Returns id, start_word (from 0), n_words.
+    Words are what ASCII white space separates; they are compared by 64-bit hashes. Texts that are null,
+    empty or shorter than ``least`` words, and rows without an id have no passages; rows that repeat an id are
+    one document, to which their own repeats don't count. Texts may have any length. Extra columns are not
+    passed on; an empty table gives no rows. Returns id, start_word (from 0), n_words.
     """
-    if not 1 <= gram <= least:
-        raise ValueError("gram must lie between 1 and least")
+    if not 1 <= gram <= least <= gram + 62:
+        raise ValueError("gram must lie between 1 and least, and least be at most 62 more")
     spark = df.sparkSession
+    ship(spark)
     store = Stored(spark, "suffixes")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter(
+    docs = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).filter(
         F.col("doc_id").isNotNull() & (F.length("text") >= 2 * least - 1))
-    all_anchors = store.put(anchors(docs, least, gram))
-    shared = (all_anchors.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    every = store.put(anchors(docs, least, gram))
+    shared = (every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
               .filter("a < b").select("key"))
-    keys = (all_anchors.join(shared, "key", "left_semi").groupBy("doc_id")
-            .agg(F.collect_set("key").alias("keys")))
-    found = store.put(windows(docs, keys, least, gram))
-    repeated = (found.groupBy("key", "window")
-                .agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-                .filter("a < b").select("key", "window"))
-    starts = found.join(repeated, ["key", "window"], "left_semi").select("doc_id", "start")
-    by_start = Window.partitionBy("doc_id").orderBy("start")
-    fresh = F.coalesce((F.col("start") - F.lag("start").over(by_start) > least).cast("int"), F.lit(1))
+    kept = store.put(every.join(shared, "key", "left_semi"))
+    store.drop(every)
+    classes = kept.groupBy("key", "context").agg(
+        F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "n", "off")).alias("first"),
+        (F.min("doc_id") < F.max("doc_id")).alias("whole"))
+    classes = store.put(classes)
+    sizes = classes.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("whole").alias("settled"))
+    undecided = sizes.filter("size > 1 and not settled").select("key", "size")
+    asked = classes.join(undecided, "key")
+    found = store.put(neighbours(suffixes(docs, asked.filter(F.col("size") <= TOGETHER), least, gram), least, gram))
+    if undecided.filter(F.col("size") > TOGETHER).count():
+        many = store.put(suffixes(docs, asked.filter(F.col("size") > TOGETHER), least, gram))
+        found = found.unionByName(store.put(by_windows(many, least, store)))
+        store.drop(many)
+    all_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("first.n").cast("int")) - 1
+    bits = found.unionByName(classes.filter("whole").select("key", "context", all_.alias("found")))
+    copies = ["key", "context"]
+    hits = spread_join(kept, bits, copies, hot_keys(classes, copies, "copies"), "doc_id", "inner")
+    # Runs of bits: where one begins, and where it ends.
+    one = F.lit(1).cast("long")
+    places = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+
+    def ends(step: int):
+        def edge(i):
+            def bit(k):
+                return F.when((k >= 0) & (k < 63), F.call_function("shiftright", F.col("found"), k.cast("int")).bitwiseAND(one)).otherwise(0)
+            return (bit(i) == 1) & (bit(i + step) == 0)
+        return F.filter(places, edge)
+
+    runs = hits.select("doc_id", "lo", F.explode(F.arrays_zip(ends(-1).alias("a"), ends(1).alias("b"))).alias("run"))
+    starts = runs.select("doc_id", (F.col("lo") + F.col("run.a")).alias("first"), (F.col("lo") + F.col("run.b")).alias("last"))
+    by_start = Window.partitionBy("doc_id").orderBy("first", "last")
+    reached = F.max("last").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("first") - reached > least).cast("int"), F.lit(1))
     numbered = starts.withColumn("fresh", fresh).withColumn(
         "passage", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy("doc_id", "passage").agg(
-        F.min("start").cast("long").alias("start_word"),
-        (F.max("start") - F.min("start") + least).cast("long").alias("n_words")
+        F.min("first").cast("long").alias("start_word"),
+        (F.max("last") - F.min("first") + least).cast("long").alias("n_words")
     ).select(F.col("doc_id").alias(id_col), "start_word", "n_words")
