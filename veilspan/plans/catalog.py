@@ -25,9 +25,9 @@ class Catalog:
 
 
 def full_catalog() -> Catalog:
-    from veilspan.plans import (audits, detection, entities, live, redaction, restoration,
+    from veilspan.plans import (audits, detection, entities, flows, live, redaction, restoration,
                                 routes, sources)
     catalog = Catalog()
-    for group in (sources, detection, entities, redaction, restoration, routes, audits, live):
+    for group in (sources, detection, entities, redaction, restoration, routes, audits, live, flows):
         group.register(catalog)
     return catalog

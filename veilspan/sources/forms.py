@@ -186,6 +186,15 @@ def form_responses(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("text", 256).alias("text_sha"), F.lit("ner").alias("kind"), "response")
 
 
+def model_responses(spark: SparkSession, directory: str) -> DataFrame:
+    """Replies of the router and of the entity model to the forms, in one table."""
+    answers = answered_forms(spark, directory).selectExpr("text", "response as ner", "form_id as n").selectExpr(
+        "text", "ner", f"{ROUTER_RESPONSE_SQL} as router")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("response")) for k in ("router", "ner")])
+    return answers.select(F.sha2("text", 256).alias("text_sha"), F.explode(kinds).alias("r")).select(
+        "text_sha", "r.kind", "r.response")
+
+
 def routed_queries(spark: SparkSession, directory: str) -> DataFrame:
     """Query log with the router model's response."""
     turns = table(spark, directory, "conversations").filter("role = 'user'")
