@@ -16,6 +16,8 @@ from veilspan.operators.skew import hot_keys, spread_join
 LEAST_WORDS = 50  # shortest passage that counts
 GRAM = 10  # words whose hash decides which place of a window is selected
 TOGETHER = 4096  # different suffixes with one gram that a task sorts together; more go by their windows
+EMITTED_ROWS = 1 << 16  # rows of a table that a Python worker returns
+EMITTED_SUFFIXES = 1 << 12  # the same for suffixes, which hold words
 SORTED_ROWS = 8192  # suffixes that are sorted at a time, in whole grams
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -33,15 +35,20 @@ def gram_hashes(words: np.ndarray, gram: int) -> np.ndarray:
     n = len(words)
     if n < gram:
         return np.empty(0, dtype=np.uint64)
-    powers = np.cumprod(np.full(n, BASE, dtype=np.uint64))
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers)])
-    back = np.cumprod(np.full(n - gram + 1, INVERSE, dtype=np.uint64))
-    h = (sums[gram:] - sums[:-gram]) * back
+    sums, back = running_sums(words)
+    h = (sums[gram:] - sums[:-gram]) * back[:n - gram + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     return h ^ (h >> np.uint64(29))
 
 
+def running_sums(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial over the words, and what moves a difference of them to the front."""
+    powers = np.cumprod(np.full(len(words), BASE, dtype=np.uint64))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers)])
+    return sums, np.cumprod(np.full(len(words), INVERSE, dtype=np.uint64))
+
+
 def chosen(hashes: np.ndarray, window: int) -> np.ndarray:
     """For each window of hashes, the position of its leftmost smallest.
 
@@ -65,28 +72,37 @@ def anchors(docs: DataFrame, least: int, gram: int) -> DataFrame:
     words after the first of them. ``key`` is the gram's hash, ``context`` one of all words of these windows.
     """
 
+    def of_text(doc: int, text: str) -> dict[str, np.ndarray]:
+        words = word_hashes(text)
+        hashes = gram_hashes(words, gram)
+        at = chosen(hashes, least - gram + 1)
+        lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, dtype=np.int64)
+        n = np.diff(np.r_[lo, len(at)])
+        off = at[lo] - lo
+        sums, back = running_sums(words)
+        context = (sums[lo + n - 1 + least] - sums[lo]) * back[lo] ^ (n * 64 + off).astype(np.uint64)
+        context *= np.uint64(0xBF58476D1CE4E5B9)
+        context ^= context >> np.uint64(31)
+        return {"key": hashes[at[lo]].view(np.int64), "context": context.view(np.int64),
+                "doc_id": np.full(len(lo), doc, dtype=np.int64), "lo": lo.astype(np.int32),
+                "n": n.astype(np.int16), "off": off.astype(np.int16)}
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            # One table for many texts: tables cost more than the rows of a short one.
+            held, size = [], 0
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                words = word_hashes(text)
-                hashes = gram_hashes(words, gram)
-                at = chosen(hashes, least - gram + 1)
-                if not len(at):
-                    continue
-                lo = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-                n = np.diff(np.r_[lo, len(at)])
-                powers = np.cumprod(np.full(len(words), BASE, dtype=np.uint64))
-                sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * powers)])
-                back = np.cumprod(np.full(len(words), INVERSE, dtype=np.uint64))
-                off = at[lo] - lo
-                context = (sums[lo + n - 1 + least] - sums[lo]) * back[lo] ^ (n * 64 + off).astype(np.uint64)
-                context *= np.uint64(0xBF58476D1CE4E5B9)
-                context ^= context >> np.uint64(31)
-                for a in range(0, len(lo), 1 << 16):
-                    part = slice(a, a + (1 << 16))
-                    yield pd.DataFrame({"key": hashes[at[lo[part]]].view(np.int64), "context": context[part].view(np.int64),
-                                        "doc_id": doc, "lo": lo[part].astype(np.int32),
-                                        "n": n[part].astype(np.int16), "off": off[part].astype(np.int16)})
+                found = of_text(doc, text)
+                held.append(found)
+                size += len(found["lo"])
+                if size >= EMITTED_ROWS:
+                    yield joined(held)
+                    held, size = [], 0
+            if size:
+                yield joined(held)
+
+    def joined(parts: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in parts[0]})
 
     return docs.mapInPandas(emit, "key long, context long, doc_id long, lo int, n short, off short")
 
@@ -99,20 +115,25 @@ def suffixes(docs: DataFrame, classes: DataFrame, least: int, gram: int) -> Data
     wanted = classes.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(
         "key", "context", "whole", "first.lo", "first.n", "first.off")).alias("wanted"))
 
+    names = [c.split()[0] for c in SUFFIX.split(", ")]
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for doc, text, wanted in zip(batch["doc_id"], batch["text"], batch["wanted"]):
                 words = word_hashes(text)
                 hashes = gram_hashes(words, gram).view(np.int64)
-                out = []
                 for w in wanted:
                     at = w["lo"] + w["off"]
                     # Texts may share an id; the position belongs to one of them.
                     if at < len(hashes) and hashes[at] == w["key"]:
                         out.append((w["key"], w["context"], doc, w["whole"], w["n"], w["off"],
                                     words[w["lo"]:w["lo"] + w["n"] - 1 + least].tobytes()))
-                for a in range(0, len(out), SORTED_ROWS):
-                    yield pd.DataFrame(out[a:a + SORTED_ROWS], columns=[c.split()[0] for c in SUFFIX.split(", ")])
+                        if len(out) >= EMITTED_SUFFIXES:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return docs.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInPandas(emit, SUFFIX)
 
