@@ -374,3 +374,35 @@ def test_fingerprints_have_no_python(spark):
     df = spark.createDataFrame([(1, "a b", "s")], DOCS)
     plan = fingerprints.with_fingerprints(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("letter", [" ", "\n", "a", "　"])
+def test_ids_of_two_million_equal_characters(letter):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "start " + letter * 2_000_000 + "end"
+    assert packing.Encoder(path).ids(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_a_very_long_blank_text(spark):
+    import public_tokenizers
+    df = spark.createDataFrame([(1, "\n" * 1_500_000), (2, "word"), (3, None)], "doc_id long, text string")
+    rows = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    totals = {i: sum(r.length for r in rows if r.doc_id == i) for i in (1, 2, 3)}
+    assert totals[1] == next(r.doc_tokens for r in rows if r.doc_id == 1) and totals[3] == 1
+
+
+def test_quality_where_the_calibration_has_one_label(spark):
+    """Few bad labels, none of them among the rows of the calibration."""
+    rng = random.Random(8)
+    ids = spark.range(400).select("id", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("use"),
+                                  quality.held_out("id").alias("held")).collect()
+    good = " ".join(rng.choice(["river", "stone", "light", "morning", "walked", "quiet"]) for _ in range(60))
+    bad = "buy now!!! click $$$ win free "
+    spoiled = [r.id for r in ids if not r.use and not r.held][:20]
+    rows = [(r.id, bad * 12 + str(r.id) if r.id in spoiled else f"{good[r.id % 50:]} {r.id}") for r in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i not in spoiled)) for i, _ in rows], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert min(s for i, s in scores.items() if i not in spoiled) > max(scores[i] for i in spoiled)

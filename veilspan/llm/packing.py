@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -15,14 +16,16 @@ from veilspan.llm.common import Stored, ranked
 CAPACITY = 2048
 END_ID = 1
 SPECIAL = "<|endoftext|>"
+LONG_RUN = 100_000  # characters of white space in a row that the fast loop need not take
 
 
 class Encoder:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary is also its merge order, so its ids come faster from
-    tiktoken's loop over the same vocabulary and pattern. Texts with the special token go
-    to the tokenizers library itself.
+    tiktoken's loop over the same vocabulary and pattern. Texts with the special token, and those
+    with very long runs of white space, on which that loop's pattern runs out of stack, go to the
+    tokenizers library itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -40,13 +43,18 @@ class Encoder:
                                       mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if SPECIAL in text:
+        if SPECIAL in text or self._blank(text):
             if self.whole is None:  # seldom needed, and as large as all the rest
                 from tokenizers import Tokenizer
                 self.whole = Tokenizer.from_file(self.path)
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    @staticmethod
+    def _blank(text: str) -> bool:
+        return len(text) >= LONG_RUN and any(
+            m.end() - m.start() >= LONG_RUN for m in re.finditer(r"\s+", text))
+
 
 def _byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in byte-level vocabularies."""
