@@ -100,8 +100,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     At most DICTIONARY_ROWS of each label make the dictionaries, and CALIBRATION_ROWS others
     the calibration: those with the smallest hashes of their id, so that a rerun learns the
     same. A document labelled twice counts as bad if one label is; null labels and null
-    texts don't count. Without a label of one kind the score is the share of good labels
-    (0.5 without any).
+    texts don't count. Where the calibration's rows have one label alone, it is fitted to all
+    chosen rows. Without a label of one kind the score is the share of good labels (0.5 without
+    any).
     """
     spark = docs.sparkSession
     store = Stored(spark, "quality")
@@ -131,8 +132,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measured(texts: pd.Series) -> pd.Series:
         return pd.Series(list(measures(texts, *_compressors(shared.value))))
 
-    rows = (sample.filter(F.col("_use")).select("_id", "_label", measured("_text").alias("m"))
-            .dropDuplicates(["_id"]).orderBy("_id").collect())
+    def measured_rows(of: DataFrame) -> list:
+        return (of.select("_id", "_label", measured("_text").alias("m"))
+                .dropDuplicates(["_id"]).orderBy("_id").collect())
+
+    rows = measured_rows(sample.filter(F.col("_use")))
+    if parts[0] and parts[1] and len({r["_label"] > 0 for r in rows}) < 2:
+        # Few or rare labels: the rows the dictionaries learnt from have both.
+        rows = measured_rows(sample)
     y = np.array([float(r["_label"] > 0) for r in rows])
     if not parts[0] or not parts[1] or len(set(y)) < 2:
         n1, n0 = len(parts[1]) + (y == 1).sum(), len(parts[0]) + (y == 0).sum()
