@@ -123,6 +123,22 @@ def test_simhash_edge_tables(spark):
     assert sorted(r.text for r in simhash.one_of_each(df).collect()) == sorted([long, "a b c"])
 
 
+def test_one_of_each_keeps_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 200) for _ in range(3))
+    near = a.split()
+    near[7] = "edited"
+    rows = [(1, a, "x"), (1, b, "y"), (2, c, "z"), (3, a, "w"), (4, " ".join(near), "v"), (None, c, "u"), (None, "q r s t", "s"),
+            (None, "q r s t", "s")]
+    df = spark.createDataFrame([(t, i, m) for i, t, m in rows], "text string, doc_id long, `_print` string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.one_of_each(df).collect()) == sorted(
+        [(1, a), (1, b), (2, c), (0, "q r s t")] + ([(4, rows[4][1])] if (plain_fingerprint(a) ^ plain_fingerprint(
+            rows[4][1])).bit_count() > 2 else []))
+    # Near texts of one id are one document.
+    twice = spark.createDataFrame([(9, a), (9, a), (9, b), (12, b)], DOCS)
+    assert sorted((r.doc_id, r.text) for r in simhash.one_of_each(twice).collect()) == sorted([(9, a), (9, b)])
+
+
 def brute_repeats(rows, least):
     seen = {}
     for doc, text in rows:

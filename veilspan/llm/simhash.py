@@ -150,6 +150,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows stay repeated, extra columns are not passed on, and an empty table gives no rows.
     Returns id, fingerprint (16 hex digits), component_id.
     """
+    return _grouped(df, id_col, text_col, shingle).select(
+        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component) and component_id."""
     store = Stored(df.sparkSession, "simhash")
     docs = store.put(with_fingerprint(
         df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")), "_text",
@@ -159,28 +166,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    groups = rooted.join(smallest, "root").select("fp", "component_id")
-    return docs.join(groups, "fp").select(
-        F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        "component_id")
+    groups = store.put(rooted.join(smallest, "root").select("fp", "root", "component_id"))
+    return docs.join(groups, "fp")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shingle: int = SHINGLE) -> DataFrame:
-    """Keep the row with the smallest id of each group, with all its columns.
+    """Keep one row of each group, with all its columns: one with the smallest id.
 
-    Rows that repeat an id are one document: one of them stays. Rows without an id stay,
-    one for each fingerprint, where their group has no id at all.
+    Rows that repeat an id may belong to several groups: each keeps its own. Where a group has no id at
+    all, one of its rows stays.
     """
-    groups = near_duplicates(df, id_col, text_col, shingle)
-    firsts = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    groups = _grouped(df, id_col, text_col, shingle)
+    # Of the rows with the smallest id, those with the smallest fingerprint.
+    firsts = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(
+        F.min(F.struct("doc_id", "fp")).alias("f")).select("f.doc_id", "f.fp")
+    counts = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    made, own = free_name(df, "_print"), free_name(df, "_id")
     columns = [column(c) for c in df.columns]
-    kept = df.join(firsts, id_col).select(*columns).dropDuplicates([id_col])
-    nameless = groups.filter(F.col("component_id").isNull()).select("fingerprint").distinct()
-    made = free_name(df, "_print")
-    hexed = F.lower(F.lpad(F.hex(made), 16, "0"))
-    rest = (with_fingerprint(df.filter(F.col(id_col).isNull()), text_col, made, shingle)
-            .withColumn(made, hexed)
-            .join(nameless.withColumnRenamed("fingerprint", made), made, "left_semi")
-            .dropDuplicates([made]))
+    single = firsts.join(counts.filter("n = 1"), "doc_id", "left_semi").select(F.col("doc_id").alias(own))
+    kept = df.join(single, column(id_col) == F.col(own), "left_semi").select(*columns)
+    # Where an id stands on several rows, their fingerprints tell which of them stays.
+    several = df.join(counts.filter("n > 1").select(F.col("doc_id").alias(own)), column(id_col) == F.col(own),
+                      "left_semi").unionByName(df.filter(column(id_col).isNull()))
+    nameless = groups.filter("component_id is null").groupBy("root").agg(
+        F.min(F.struct("doc_id", "fp")).alias("f")).select("f.doc_id", "f.fp")
+    stays = firsts.join(counts.filter("n > 1"), "doc_id", "left_semi").unionByName(nameless).select(
+        F.col("doc_id").alias(own), F.col("fp").alias("_stays"))
+    printed = with_fingerprint(several, text_col, made, shingle)
+    rest = printed.join(stays, column(id_col).eqNullSafe(F.col(own)) & (F.col(made) == F.col("_stays")),
+                        "left_semi").dropDuplicates([id_col, made])
     return kept.unionByName(rest.select(*columns))
