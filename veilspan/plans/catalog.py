@@ -26,8 +26,8 @@ class Catalog:
 
 def full_catalog() -> Catalog:
     from veilspan.plans import (audits, detection, entities, flows, live, redaction, restoration,
-                                routes, sources)
+                                routes, sources, upkeep)
     catalog = Catalog()
-    for group in (sources, detection, entities, redaction, restoration, routes, audits, live, flows):
+    for group in (sources, detection, entities, redaction, restoration, routes, audits, live, flows, upkeep):
         group.register(catalog)
     return catalog
