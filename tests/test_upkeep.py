@@ -9,11 +9,11 @@ from veilspan.sources import request_table
 
 def test_a_request_is_sent_once(spark, docs, tmp_path):
     path = str(tmp_path / "requests")
-    first = request_table.send_new(docs("one", "two", "one"), path, 1)
-    assert sorted((r.prompt.count("one"), r.n_docs) for r in first.collect()) == [(0, 1), (1, 2)]
-    more = docs("two", "three", "three", None)
+    first = request_table.send_new(docs("alpha", "beta", "alpha"), path, 1)
+    assert sorted((r.prompt.count("alpha"), r.n_docs) for r in first.collect()) == [(0, 1), (1, 2)]
+    more = docs("beta", "gamma", "gamma", None)
     second = request_table.send_new(more, path, 2)
-    assert [r.n_docs for r in second.collect()] == [2] and "three" in second.first().prompt
+    assert [r.n_docs for r in second.collect()] == [2] and "gamma" in second.first().prompt
     assert request_table.send_new(more, path, 3).count() == 0
     # A run that is repeated sends what it sent, not nothing.
     assert request_table.send_new(more, path, 2).count() == 1
