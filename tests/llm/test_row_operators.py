@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import time
 import zlib
 
@@ -289,6 +290,104 @@ def test_sections_named_after_side_parts_stay():
     assert "Others." in text and "More." not in text
 
 
+def plain_density(page):
+    """Composite density and child sums of a page without links, counted from the standard library's tree."""
+    import math
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = {"tag": "body", "text": 0, "kids": []}
+            self.path = [self.root]
+
+        def handle_starttag(self, tag, attrs):
+            node = {"tag": dict(attrs).get("id", tag), "text": 0, "kids": []}
+            self.path[-1]["kids"].append(node)
+            self.path.append(node)
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+
+        def handle_data(self, data):
+            self.path[-1]["text"] += len(data)
+
+    tree = Tree()
+    tree.feed(page)
+    out = {}
+
+    def visit(node):
+        chars, tags = node["text"], 0
+        for kid in node["kids"]:
+            c, t = visit(kid)
+            chars, tags = chars + c, tags + t + 1
+        density = chars / max(1, tags) * math.log(chars * max(1, tags) + 1) / math.log(math.log(
+            math.e) + 1) if chars else 0.0
+        node["density"] = density
+        out[node["tag"]] = (density, sum(k["density"] for k in node["kids"]) if node["kids"] else density)
+        return chars, tags
+    visit(tree.root)
+    return out
+
+
+def test_the_subtree_with_the_largest_sum_is_the_text():
+    """Plain elements without names: brute force over all subtrees says which it is."""
+    rng = random.Random(14)
+    for _ in range(60):
+        parts, number = [], 0
+        for box in range(rng.randrange(2, 5)):
+            kids = ""
+            for _ in range(rng.randrange(1, 9)):
+                kids += f"<p id='k{number}'>{words(rng, rng.randrange(1, 40))}</p>"
+                number += 1
+            parts.append(f"<div id='box{box}'>{kids}</div>")
+        page = "".join(parts)
+        measured = plain_density(page)
+        largest = max(measured, key=lambda tag: measured[tag][1])
+        text = html_text.main_text(f"<body>{page}</body>")
+        own = re.search(f"id='{largest}'>(.*?)</(?:div|p)>", page) if largest != "body" else None
+        wanted = " ".join(re.findall(r"<p[^>]*>(.*?)</p>", own[1] if own else page))
+        assert wanted in text
+
+
+def test_density_decides(monkeypatch):
+    rng = random.Random(15)
+    pages = []
+    for _ in range(40):
+        side = "".join(f"<p>{words(rng, rng.randrange(1, 4))}</p>" for _ in range(12))
+        links = "".join(f"<li><a href='/x'>{words(rng, 3)}</a></li>" for _ in range(15))
+        article = [words(rng, rng.randrange(30, 90)) for _ in range(5)]
+        tag = rng.choice(["div", "section", "article"])
+        pages.append((f"<body><ul>{links}</ul><div>{side}</div><{tag}>" + "".join(f"<p>{p}</p>" for p in article)
+                      + f"</{tag}></body>", " ".join(article)))
+    assert all(html_text.main_text(page) == text for page, text in pages)
+    monkeypatch.setattr(html_text, "_density", lambda node, body: rng.random())
+    assert sum(html_text.main_text(page) == text for page, text in pages) < 10
+    monkeypatch.setattr(html_text, "_density", lambda node, body: 1.0)
+    assert sum(html_text.main_text(page) == text for page, text in pages) < 10
+
+
+def test_pages_without_an_article_element():
+    loose = f"<body>Menu<div><h1>Title</h1>{TEXT}<br>{TEXT}<p>{TEXT}</p></div><div class='ad'>Buy this now.</div></body>"
+    assert html_text.main_text(loose) == " ".join(["Title", TEXT.strip(), TEXT.strip(), TEXT.strip()])
+    form = f"<body><form><div><h1>Title</h1><p>{TEXT}</p><p>{TEXT}</p></div><input value='x'></form><nav>Menu</nav></body>"
+    assert html_text.main_text(form) == f"Title {TEXT.strip()} {TEXT.strip()}"
+    teasers = (f"<body><main><h1>Title</h1><p>{TEXT}</p><p>{TEXT}</p></main><aside>" + "".join(
+        f"<article><p>Teaser {i}</p></article>" for i in range(30)) + "</aside></body>")
+    assert html_text.main_text(teasers) == f"Title {TEXT.strip()} {TEXT.strip()}"
+    sections = "<body>" + "".join(f"<section><p>{i} {TEXT}</p><p>{TEXT}</p></section>" for i in range(4)) + "</body>"
+    assert all(f"{i} A paragraph" in html_text.main_text(sections) for i in range(4))
+
+
+def test_pages_with_clashing_columns_and_repeated_rows(spark):
+    df = spark.createDataFrame([(1, PAGE, "old", 5), (1, PAGE, "old", 5), (2, None, None, None)],
+                               "page_id long, html string, text string, n_chars int")
+    out = html_text.extract(df)
+    assert out.columns == df.columns
+    rows = sorted((r.page_id, r.text, r.n_chars) for r in out.collect() if r.page_id == 1)
+    assert rows == [(1, html_text.main_text(PAGE), 5)] * 2
+
+
 def test_nested_wrappers_in_linear_time():
     page = "<div class='menu'>" * 3000 + f"<p>{TEXT}</p>"
     assert html_text.main_text(page) == TEXT.strip()
