@@ -251,10 +251,15 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).filter(
         F.col("doc_id").isNotNull() & (F.length("text") >= 2 * least - 1))
     every = store.put(anchors(docs, least, gram))
-    shared = (every.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-              .filter("a < b").select("key"))
-    kept = store.put(every.join(shared, "key", "left_semi"))
+    shared = store.put(every.groupBy("key").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("places"))
+        .filter("a < b").select("key", "places"))
+    # A gram of a very common passage may have a large share of all places.
+    spread = every.withColumn("_place", F.xxhash64("doc_id", "lo"))
+    kept = store.put(spread_join(spread, shared.select("key"), ["key"], hot_keys(shared, ["key"], "places"),
+                                 "_place", "inner"))
     store.drop(every)
+    store.drop(shared)
     classes = kept.groupBy("key", "context").agg(
         F.count("*").alias("copies"), F.min(F.struct("doc_id", "lo", "n", "off")).alias("first"),
         (F.min("doc_id") < F.max("doc_id")).alias("whole"))
@@ -270,7 +275,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("first.n").cast("int")) - 1
     bits = found.unionByName(classes.filter("whole").select("key", "context", all_.alias("found")))
     copies = ["key", "context"]
-    hits = spread_join(kept, bits, copies, hot_keys(classes, copies, "copies"), "doc_id", "inner")
+    hits = spread_join(kept, bits, copies, hot_keys(classes, copies, "copies"), "_place", "inner")
     # Runs of bits: where one begins, and where it ends.
     one = F.lit(1).cast("long")
     places = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
