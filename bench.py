@@ -47,7 +47,8 @@ def headline():
         "route_documents": (routes.by_rules(docs), docs),
         "density_of_documents": (lambda s, d: audit.density(
             with_regex_spans(docs(s, d)), "lang", "source"), docs),
-        "session_mappings": (lambda s, d: redact.assign_synthetic(redaction.spans(s, d)), forms),
+        "session_mappings": (lambda s, d: redact.assign_synthetic(
+            redaction.spans(s, d), salt=common.QUERY_SALT), forms),
     }
 
 

@@ -11,6 +11,7 @@ def spark():
     from veilspan.session import local_session
     session = local_session(shuffle_partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    session.conf.set("veilspan.salt", "change-me")
     yield session
     session.stop()
 

@@ -174,3 +174,17 @@ def test_texts_get_the_names_of_the_vault(spark, docs):
     out = {r.doc_id: r.sanitized for r in redact_with_vault(found, vault).collect()}
     assert out == {0: "SSN 900-00-0000~1, 900-00-0000~1", 1: plain[1], 2: "none"}
     assert {r.doc_id: r.sanitized for r in redact_with_vault(found, vault.limit(0)).collect()} == plain
+
+
+def test_a_salt_must_be_given(spark, docs):
+    df = resolved(docs("SSN 612-45-9083"))
+    spark.conf.unset("veilspan.salt")
+    try:
+        for call in (lambda: redact.redact_keyed(df), lambda: redact.redact_ordinal(df),
+                     lambda: redact.redact_keyed(df, "")):
+            with pytest.raises(ValueError, match="salt"):
+                call()
+        one, two = (redact.redact_keyed(df, salt).first().sanitized for salt in ("a", "b"))
+    finally:
+        spark.conf.set("veilspan.salt", "change-me")
+    assert one != two

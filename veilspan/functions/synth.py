@@ -10,7 +10,7 @@ It needs no state, so redaction stays a narrow projection and works on streams.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
@@ -18,7 +18,7 @@ from veilspan.functions.arrays import let
 from veilspan.functions.patterns import WS, PatternSpec
 from veilspan.functions.text import hex_number
 
-DEFAULT_SALT = "change-me"
+SALT_SETTING = "veilspan.salt"
 
 FIRST = ("Adele Bruno Carla Denis Elena Felix Greta Hanno Irene Jonas Karin Lukas Marta Nils "
          "Olga Pavel Quinn Rhea Stefan Tilda Ulrik Vera Wanda Xenia Yannick Zelda Amara Boris "
@@ -42,6 +42,16 @@ _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 
+def salt_of(salt: str | None) -> str:
+    """The salt given, or the session's own; there is none that everybody would know."""
+    if salt is None:
+        session = SparkSession.getActiveSession()
+        salt = session.conf.get(SALT_SETTING, None) if session is not None else None
+    if not salt:
+        raise ValueError(f"give a secret salt, or set {SALT_SETTING} in the session")
+    return salt
+
+
 def digest(salt: str, scope: Column, pii_type: Column, value: Column) -> Column:
     return F.sha2(F.concat(F.lit(salt), F.lit("|"), F.coalesce(scope.cast("string"), F.lit("")),
                            F.lit("|"), pii_type, F.lit("|"), value), 256)

@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.synth import DEFAULT_SALT
 from veilspan.functions.text import content_hash
 from veilspan.operators.detect import with_regex_spans
 from veilspan.operators.entities import join_responses, with_ner_spans
@@ -53,7 +52,7 @@ def gated_spans(routed: DataFrame, responses: DataFrame, requests: DataFrame | N
     return with_merged_spans(both).drop("response", "text_sha")
 
 
-def prepare(queries: DataFrame, responses: DataFrame, agents: DataFrame, salt: str = DEFAULT_SALT,
+def prepare(queries: DataFrame, responses: DataFrame, agents: DataFrame, salt: str | None = None,
             requests: DataFrame | None = None, stages: Stages | None = None,
             id_col: str = "doc_id") -> DataFrame:
     """All that happens before a text leaves: one row for each query (id, session_id, text).

@@ -1,4 +1,8 @@
-"""Assigning synthetic values and rewriting texts."""
+"""Assigning synthetic values and rewriting texts.
+
+Synthetic values depend on a secret salt: the one given, or the session's ``veilspan.salt``. There is
+no default.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,7 @@ from pyspark.sql import Window as W
 
 from veilspan.functions.arrays import unnest
 from veilspan.functions.spans import SPAN_FIELDS, ordinal_named, splice
-from veilspan.functions.synth import DEFAULT_SALT, keyed_value, ordinal_value
+from veilspan.functions.synth import keyed_value, ordinal_value, salt_of
 from veilspan.functions.text import strip
 from veilspan.operators.skew import hot_keys, spread_join
 from veilspan.operators.vault import overrides
@@ -50,7 +54,7 @@ def _ordinal(salt: str, scope_col: str, type_col: str, value_col: str, n_col: st
     return ordinal_value(salt, *map(F.col, (scope_col, type_col, value_col, n_col)))
 
 
-def assign_synthetic(spans: DataFrame, mode: str = "keyed", salt: str = DEFAULT_SALT,
+def assign_synthetic(spans: DataFrame, mode: str = "keyed", salt: str | None = None,
                      scope_col: str = "session_id", id_col: str = "doc_id") -> DataFrame:
     """Mappings from real to synthetic values.
 
@@ -61,13 +65,13 @@ def assign_synthetic(spans: DataFrame, mode: str = "keyed", salt: str = DEFAULT_
     if mode == "keyed":
         distinct = (spans.filter(F.col("start").isNotNull())
                     .select(F.col(scope_col), "pii_type", F.col("value").alias("real")).distinct())
-        return distinct.withColumn("synthetic", _keyed(salt, scope_col, "pii_type", "real"))
+        return distinct.withColumn("synthetic", _keyed(salt_of(salt), scope_col, "pii_type", "real"))
     if mode != "ordinal":
         raise ValueError(f"unknown assignment mode: {mode}")
     numbered = with_ordinals(first_from_right(spans, id_col), id_col)
     return numbered.select(
         id_col, F.col("seq").alias("ord"), "pii_type", F.col("value").alias("real"),
-        _ordinal(salt, id_col, "pii_type", "value", "n").alias("synthetic"), "n")
+        _ordinal(salt_of(salt), id_col, "pii_type", "value", "n").alias("synthetic"), "n")
 
 
 def redact(docs: DataFrame, spans: DataFrame, mappings: DataFrame, id_col: str = "doc_id",
@@ -111,13 +115,13 @@ def _spliced(text_col: str, spans_col: str, field: str) -> Column:
     return splice(F.col(text_col), F.col(spans_col), lambda s: s[field])
 
 
-def with_keyed_spans(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "session_id",
+def with_keyed_spans(df: DataFrame, salt: str | None = None, scope_col: str = "session_id",
                      spans_col: str = "spans", out_col: str = "named") -> DataFrame:
     """Give each span its keyed synthetic value (no shuffle, works on streams)."""
-    return df.withColumn(out_col, _named(salt, scope_col, spans_col))
+    return df.withColumn(out_col, _named(salt_of(salt), scope_col, spans_col))
 
 
-def redact_keyed(df: DataFrame, salt: str = DEFAULT_SALT, scope_col: str = "session_id",
+def redact_keyed(df: DataFrame, salt: str | None = None, scope_col: str = "session_id",
                  text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Text to redacted text in one narrow projection; adds ``named`` and ``sanitized``.
 
@@ -133,18 +137,18 @@ def _ordinal_named(salt: str, id_col: str, spans_col: str) -> Column:
         salt, F.col(id_col), pii_type, value, n))
 
 
-def redact_ordinal(df: DataFrame, salt: str = DEFAULT_SALT, id_col: str = "doc_id",
+def redact_ordinal(df: DataFrame, salt: str | None = None, id_col: str = "doc_id",
                    text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Ordinal redaction in one narrow projection; adds ``named`` and ``sanitized``.
 
     The numbers are those of one text, so its spans are all that is needed: no shuffle,
     and it works on streams. Spans must be resolved.
     """
-    named = df.withColumn("named", _ordinal_named(salt, id_col, spans_col))
+    named = df.withColumn("named", _ordinal_named(salt_of(salt), id_col, spans_col))
     return named.withColumn("sanitized", _spliced(text_col, "named", "synthetic"))
 
 
-def redact_with_vault(df: DataFrame, vault: DataFrame, salt: str = DEFAULT_SALT,
+def redact_with_vault(df: DataFrame, vault: DataFrame, salt: str | None = None,
                       scope_col: str = "session_id", id_col: str = "doc_id",
                       text_col: str = "text", spans_col: str = "spans") -> DataFrame:
     """Like ``redact_keyed``, with the value the vault has where it differs from the keyed one.
@@ -155,7 +159,7 @@ def redact_with_vault(df: DataFrame, vault: DataFrame, salt: str = DEFAULT_SALT,
     """
     named = with_keyed_spans(df, salt, scope_col, spans_col)
     renamed = overrides(vault.withColumn(
-        "_keyed", _keyed(salt, "session_id", "pii_type", "real")), "_keyed").select(
+        "_keyed", _keyed(salt_of(salt), "session_id", "pii_type", "real")), "_keyed").select(
         F.col("session_id").alias(scope_col), "pii_type", F.col("real").alias("value"),
         F.col("synthetic").alias("_name"))
     values = unnest(named, "named", "s", id_col, scope_col).select(

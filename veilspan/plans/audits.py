@@ -47,7 +47,7 @@ def safe_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Forms redacted from both detectors' merged spans."""
     merged = common.merged(spark, d).withColumn(
         "placed", F.filter("merged", lambda s: s["start"].isNotNull()))
-    return redact.redact_keyed(merged, spans_col="placed")
+    return redact.redact_keyed(merged, common.QUERY_SALT, spans_col="placed")
 
 
 def seeded_leaks(spark: SparkSession, d: str) -> DataFrame:

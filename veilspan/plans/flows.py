@@ -32,7 +32,7 @@ def prepared(spark: SparkSession, d: str, stages: Stages | None = None) -> DataF
     """The table at the boundary, written once."""
     path = common.fresh_dir(spark, "outbound")
     table = flow.prepare(common.forms(spark, d), derived.model_responses(spark, d), tables.dims(spark)["agent"],
-                         requests=requests(spark, d), stages=stages)
+                         common.QUERY_SALT, requests=requests(spark, d), stages=stages)
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 

@@ -61,7 +61,8 @@ def live_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def live_vault(spark: SparkSession, d: str) -> DataFrame:
     base = common.fresh_dir(spark, "stream")
-    streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state").awaitTermination()
+    streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state",
+        common.QUERY_SALT).awaitTermination()
     return shown(vault_table.read_vault(spark, base + "/vault"))
 
 
@@ -86,13 +87,14 @@ def live_round_trip(spark: SparkSession, d: str) -> DataFrame:
     def stream() -> DataFrame:
         return one_session(as_messages(streams.table_stream(
             spark, base, "events", {"maxFilesPerTrigger": "1"})))
-    streams.stream_redact_with_vault(stream(), base + "/out", base + "/vault", base + "/state").awaitTermination()
+    streams.stream_redact_with_vault(stream(), base + "/out", base + "/vault", base + "/state",
+        common.QUERY_SALT).awaitTermination()
     sanitized = spark.read.parquet(base + "/out")
     last = sanitized.agg(F.max("batch_id")).first()[0]
     if last is not None:
         again = one_session(as_messages(table(spark, d, "events"))).join(
             sanitized.filter(F.col("batch_id") == last).select("event_id"), "event_id", "left_semi")
-        streams.redact_batch(again, last, base + "/out", base + "/vault")
+        streams.redact_batch(again, last, base + "/out", base + "/vault", common.QUERY_SALT)
     out = spark.read.parquet(base + "/out").select("event_id", "session_id", "sanitized")
     return restore.restore_keyed(out, vault_table.read_vault(spark, base + "/vault"), "event_id",
                                  text_col="sanitized").select("event_id", "restored")
@@ -101,13 +103,14 @@ def live_round_trip(spark: SparkSession, d: str) -> DataFrame:
 def live_vault_after_delete(spark: SparkSession, d: str) -> DataFrame:
     """A vault kept by a stream, without one of its sessions."""
     base = common.fresh_dir(spark, "stream")
-    streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state").awaitTermination()
+    streams.stream_vault(message_stream(spark, d), base + "/vault", base + "/state",
+        common.QUERY_SALT).awaitTermination()
     vault_table.delete_session(spark, base + "/vault", DELETED)
     return shown(vault_table.read_vault(spark, base + "/vault"))
 
 
 def register(c: Catalog) -> None:
-    c.add("live_redacted_messages", live(streams.stream_redact, "append", "event_id", "sanitized"),
+    c.add("live_redacted_messages", live(lambda m: streams.stream_redact(m, common.QUERY_SALT), "append", "event_id", "sanitized"),
           with_([*KEYED, spliced_cte()], "select doc_id as event_id, sanitized from sanitized"))
     c.add("live_dashboard", live(lambda m: streams.stream_dashboard(m).withColumn(
         "day", F.date_format("window_start", "yyyy-MM-dd")), "update", "day", "pii_type", "n_items",

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from veilspan.functions import fixed_values as fv
 from veilspan.functions import ner, synth
 from veilspan.functions.patterns import DEFAULT_PATTERNS, NOT_WS, WS, PatternSpec
+from veilspan.plans.common import QUERY_SALT
 from veilspan.sources import forms
 
 
@@ -142,7 +143,7 @@ KEYED_SQL = (
 
 
 def keyed_cte(spans: str = "resolved", src: str = "src", out: str = "named",
-              scope: str = "session_id", salt: str = synth.DEFAULT_SALT) -> str:
+              scope: str = "session_id", salt: str = QUERY_SALT) -> str:
     return (f"{out} as (select * exclude (h), {KEYED_SQL} as synthetic from (select p.*, s.{scope}, "
             f"{hash_of(salt, 's.' + scope)} as h from {spans} p join {src} s using (doc_id)) x)")
 
@@ -157,7 +158,7 @@ ORDINAL_SQL = (
 
 
 def ordinal_ctes(spans: str = "resolved", out: str = "ordinal",
-                 salt: str = synth.DEFAULT_SALT) -> list[str]:
+                 salt: str = QUERY_SALT) -> list[str]:
     return [
         f"{out}_first as (select * from (select *, row_number() over (partition by doc_id, value "
         f"order by start desc, ord) as pick from {spans}) x where pick = 1)",

@@ -30,7 +30,7 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordinal(spark: SparkSession, d: str) -> DataFrame:
-    return redact.assign_synthetic(spans(spark, d), "ordinal")
+    return redact.assign_synthetic(spans(spark, d), "ordinal", common.QUERY_SALT)
 
 
 def ordinal_of(pii_type: str):
@@ -44,7 +44,7 @@ def keyed_of(pii_type: str):
 
 
 def ordinal_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return redact.redact_ordinal(common.resolved(common.forms(spark, d))).select(
+    return redact.redact_ordinal(common.resolved(common.forms(spark, d)), common.QUERY_SALT).select(
         "doc_id", "sanitized")
 
 
@@ -57,7 +57,7 @@ def ordinal_joined(spark: SparkSession, d: str) -> DataFrame:
 def keyed_joined(spark: SparkSession, d: str) -> DataFrame:
     """Keyed redaction by joining a mapping table, as with renamed vault values."""
     found = spans(spark, d)
-    return redact.redact(common.forms(spark, d), found, redact.assign_synthetic(found),
+    return redact.redact(common.forms(spark, d), found, redact.assign_synthetic(found, salt=common.QUERY_SALT),
                          on=("session_id", "pii_type")).select("doc_id", "sanitized")
 
 
@@ -104,7 +104,7 @@ def register(c: Catalog) -> None:
     c.add("keyed_redacted_documents", lambda s, d: common.redacted(common.documents(s, d)).select(
         "doc_id", F.sha2("sanitized", 256).alias("sanitized_sha")),
         with_(KEYED_DOCUMENTS, "select doc_id, sha256(sanitized) as sanitized_sha from sanitized"))
-    c.add("session_mappings", lambda s, d: redact.assign_synthetic(spans(s, d)),
+    c.add("session_mappings", lambda s, d: redact.assign_synthetic(spans(s, d), salt=common.QUERY_SALT),
           with_(VAULT_CTES, "select * from vault"))
     c.add("passed_through_documents", passed_through, with_(
         KEYED_DOCUMENTS, "select doc_id, doc_id not in (select doc_id from resolved) as passes_through, "

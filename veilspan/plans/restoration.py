@@ -59,7 +59,7 @@ def injective_vault(spark: SparkSession, d: str, session=None) -> DataFrame:
     empty = spark.createDataFrame([], vault.VAULT_SCHEMA)
     path = common.fresh_dir(spark, "vault")
     vault_table.write_vault(
-        vault.vault_upsert(empty, as_vault(redact.assign_synthetic(found))), path)
+        vault.vault_upsert(empty, as_vault(redact.assign_synthetic(found, salt=common.QUERY_SALT))), path)
     return vault_table.read_vault(spark, path)
 
 
@@ -73,7 +73,7 @@ def second_upsert(spark: SparkSession, d: str) -> DataFrame:
     path = common.fresh_dir(spark, "vault")
     for part in (first, texts):
         vault_table.upsert(as_vault(redact.assign_synthetic(explode_spans(
-            common.resolved(part), ("doc_id", "session_id")))), path)
+            common.resolved(part), ("doc_id", "session_id")), salt=common.QUERY_SALT)), path)
     return vault_table.read_vault(spark, path).select("pii_type", "real", "synthetic")
 
 
@@ -127,7 +127,7 @@ def vault_aware(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Forms of one session, redacted with a vault that has renamed values; and that vault."""
     table = injective_vault(spark, d, "one")
     found = common.resolved(common.forms(spark, d).withColumn("session_id", F.lit("one")))
-    return redact.redact_with_vault(found, table), table
+    return redact.redact_with_vault(found, table, common.QUERY_SALT), table
 
 
 def vault_aware_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ def stubs(spark: SparkSession, d: str) -> DataFrame:
     """Replies made of each form's first synthetic SSN and e-mail."""
     maps = ordinal(spark, d)
     ssn = vault.first_of_type(maps, "SSN", "XXX-XX-XXXX")
-    email = vault.first_of_type(maps, "EMAIL", "synthetic@placeholder.com")
+    email = vault.first_of_type(maps, "EMAIL", "nobody@mail.example.org")
     both = ssn.select("doc_id", F.col("synthetic").alias("ssn_synthetic")).join(
         email.select("doc_id", F.col("synthetic").alias("email_synthetic")), "doc_id")
     return restore.response_stub(both)
@@ -169,7 +169,7 @@ STUB_CTES = [
     *ORDINAL, "firsts as (select doc_id, arg_min(synthetic, ord) filter (pii_type = 'SSN') as ssn, "
     "arg_min(synthetic, ord) filter (pii_type = 'EMAIL') as email from ordinal group by doc_id)",
     "stubs as (select doc_id, 'The SSN we have is ' || coalesce(ssn, 'XXX-XX-XXXX') || "
-    "'. Letters go to ' || coalesce(email, 'synthetic@placeholder.com') || '. All is settled.' "
+    "'. Letters go to ' || coalesce(email, 'nobody@mail.example.org') || '. All is settled.' "
     "as response from firsts)"]
 INJECTIVE = [
     "ranked as (select *, row_number() over (partition by session_id, synthetic "

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructType
 
 from veilspan.functions.arrays import unnest
-from veilspan.functions.synth import DEFAULT_SALT
+from veilspan.functions.synth import salt_of
 from veilspan.operators.detect import SPANS, with_regex_spans, with_resolved_spans
 from veilspan.operators.redact import redact_keyed, redact_with_vault, with_keyed_spans
 from veilspan.operators.routing import route
@@ -34,7 +34,7 @@ def table_stream(spark: SparkSession, directory: str, name: str, options: dict |
         os.path.join(directory, f"[{name[0]}]{name[1:]}.parquet"))
 
 
-def stream_redact(stream: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
+def stream_redact(stream: DataFrame, salt: str | None = None, text_col: str = "text",
                   scope_col: str = "session_id") -> DataFrame:
     """Redact each message: detection, overlap resolution, keyed values, splice."""
     found = with_resolved_spans(with_regex_spans(stream, text_col=text_col))
@@ -83,7 +83,7 @@ def stream_sessions(stream: DataFrame, gap: str = "30 minutes", ts_col: str = "t
                     share.alias("on_device_pct")))
 
 
-def mappings_of(df: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
+def mappings_of(df: DataFrame, salt: str | None = None, text_col: str = "text",
                 ts_col: str = "ts") -> DataFrame:
     """Keyed mappings of messages, as vault rows (one per occurrence)."""
     found = with_resolved_spans(with_regex_spans(df, text_col=text_col))
@@ -94,20 +94,21 @@ def mappings_of(df: DataFrame, salt: str = DEFAULT_SALT, text_col: str = "text",
                 "first_seen_ts"))
 
 
-def upsert_batch(batch: DataFrame, batch_id: int, path: str, salt: str = DEFAULT_SALT) -> None:
+def upsert_batch(batch: DataFrame, batch_id: int, path: str, salt: str | None = None) -> None:
     """Add a batch's unknown mappings, injectively. Replaying a batch rewrites its own partitions."""
     vault_table.upsert(mappings_of(batch, salt), path, batch_id)
 
 
-def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str = DEFAULT_SALT,
+def stream_vault(stream: DataFrame, path: str, checkpoint: str, salt: str | None = None,
                  trigger: dict | None = None) -> StreamingQuery:
     """Keep the vault up to date from a message stream."""
+    salt = salt_of(salt)
     return (stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .foreachBatch(lambda df, i: upsert_batch(df, i, path, salt)).start())
 
 
-def redact_batch(batch: DataFrame, batch_id: int, path: str, vault: str, salt: str = DEFAULT_SALT,
+def redact_batch(batch: DataFrame, batch_id: int, path: str, vault: str, salt: str | None = None,
                  id_col: str = "event_id", text_col: str = "text", ts_col: str = "ts") -> None:
     """Name a batch's new values in the vault, then redact its texts with the names that hold there.
 
@@ -123,13 +124,14 @@ def redact_batch(batch: DataFrame, batch_id: int, path: str, vault: str, salt: s
 
 
 def stream_redact_with_vault(stream: DataFrame, path: str, vault: str, checkpoint: str,
-                             salt: str = DEFAULT_SALT, id_col: str = "event_id", text_col: str = "text",
+                             salt: str | None = None, id_col: str = "event_id", text_col: str = "text",
                              ts_col: str = "ts", trigger: dict | None = None) -> StreamingQuery:
     """Redact a stream with injective names: replies to its texts restore to the right person.
 
     ``stream_redact`` needs no table, but two real values of a session may get one synthetic value
     there. The text itself is not written.
     """
+    salt = salt_of(salt)
     return (stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .foreachBatch(lambda df, i: redact_batch(df, i, path, vault, salt, id_col, text_col, ts_col)).start())
