@@ -12,7 +12,8 @@ CROSS_SECTION = ("all_spans_in_documents", "resolved_spans", "merged_spans_safe"
                  "merged_spans_parity_long", "keyed_redacted_forms", "ordinal_redacted_forms",
                  "keyed_restored_by_lookup", "vault_after_delete", "routes_by_model_then_rules",
                  "leak_check", "live_redacted_messages", "live_sessions",
-                 "live_vault_after_delete")
+                 "live_vault_after_delete", "whole_flow", "vault_second_upsert", "live_dashboard_by_route",
+                 "entities_without_overlap", "requests_by_run", "rolled_up_items", "gated_by_route")
 
 
 @pytest.fixture(scope="module")
