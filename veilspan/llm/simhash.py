@@ -182,18 +182,22 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(
         F.min(F.struct("doc_id", "fp")).alias("f")).select("f.doc_id", "f.fp")
     counts = groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    store = Stored(df.sparkSession, "kept")
+    several = store.put(counts.filter("n > 1").select("doc_id"))
     made, own = free_name(df, "_print"), free_name(df, "_id")
     columns = [column(c) for c in df.columns]
-    single = firsts.join(counts.filter("n = 1"), "doc_id", "left_semi").select(F.col("doc_id").alias(own))
+    single = firsts.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias(own))
     kept = df.join(single, column(id_col) == F.col(own), "left_semi").select(*columns)
-    # Where an id stands on several rows, their fingerprints tell which of them stays.
-    several = df.join(counts.filter("n > 1").select(F.col("doc_id").alias(own)), column(id_col) == F.col(own),
-                      "left_semi").unionByName(df.filter(column(id_col).isNull()))
     nameless = groups.filter("component_id is null").groupBy("root").agg(
         F.min(F.struct("doc_id", "fp")).alias("f")).select("f.doc_id", "f.fp")
-    stays = firsts.join(counts.filter("n > 1"), "doc_id", "left_semi").unionByName(nameless).select(
-        F.col("doc_id").alias(own), F.col("fp").alias("_stays"))
-    printed = with_fingerprint(several, text_col, made, shingle)
+    stays = store.put(firsts.join(several, "doc_id", "left_semi").unionByName(nameless).select(
+        F.col("doc_id").alias(own), F.col("fp").alias("_stays")))
+    if not stays.count():
+        return kept
+    # Where an id stands on several rows, or on none, their fingerprints tell which of them stays.
+    unclear = store.put(df.join(several.select(F.col("doc_id").alias(own)), column(id_col) == F.col(own),
+                                "left_semi").unionByName(df.filter(column(id_col).isNull())))
+    printed = with_fingerprint(unclear, text_col, made, shingle)
     rest = printed.join(stays, column(id_col).eqNullSafe(F.col(own)) & (F.col(made) == F.col("_stays")),
                         "left_semi").dropDuplicates([id_col, made])
     return kept.unionByName(rest.select(*columns))
