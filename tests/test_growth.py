@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from veilspan.operators import audit
 from veilspan.plans import common
 from veilspan.sources.tables import ROWS_A_TASK
 
@@ -22,3 +23,18 @@ def test_forms_of_one_row_group_are_dealt_to_many_tasks(spark, tmp_path):
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n and len(sizes) == 4 and max(sizes) <= ROWS_A_TASK + 8
     assert found.filter("doc_id = 7").count() == sum(1 for i in range(n) if i % 10 and i % 3000 == 7)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_found_values_are_counted_before_they_meet_the_vault(spark, docs):
+    out = docs("SSN 612-45-9083", "SSN 612-45-9083, 612-45-9084", None)
+    vault = spark.createDataFrame([("612-45-9083",), ("612-45-9083",), (None,)], "real string")
+    found = audit.leak_check(out, vault, ["text"])
+    text = executed(found)
+    assert "LeftSemi" not in text and "Broadcast" not in text
+    assert [(r.outbound, r.pii_type, r.value, r.n_texts) for r in found.collect()] == [
+        ("text", "SSN", "612-45-9083", 2)]
+

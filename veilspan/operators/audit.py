@@ -61,7 +61,10 @@ def leak_check(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[st
 
     Every outbound column counts, prompts included. Found values collapse to one
     row per value before they meet the vault, so a value in a third of all texts
-    is no hot key. Columns: outbound, pii_type, value, n_texts.
+    is no hot key. Spark would move a semi join below that count; the distinct
+    values of the vault are joined instead, and never broadcast, since what Spark
+    expects of their size leaves out that a text has many. Columns: outbound,
+    pii_type, value, n_texts.
     """
     texts = unnest(outbound, F.array(*[
         F.struct(F.lit(c).alias("outbound"), F.col(c).alias("text")) for c in outbound_cols]),
@@ -73,7 +76,7 @@ def leak_check(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[st
              .select("outbound", F.substring_index("v", ":", 1).alias("pii_type"),
                      F.expr("substring(v, instr(v, ':') + 1)").alias("value"), "n_texts"))
     reals = vault.select(F.col("real").alias("value")).distinct()
-    return found.join(reals, "value", "left_semi")
+    return found.join(reals.hint("merge"), "value")
 
 
 def _words(text: Column) -> Column:
