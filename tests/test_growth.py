@@ -29,6 +29,16 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_runs_of_words_are_made_once(spark):
+    vault = spark.createDataFrame([("EMPLOYER", "Acme Works"), ("SSN", "612-45-9083")], "pii_type string, real string")
+    out = spark.createDataFrame([("at ACME works", 1), (None, 2), ("", 3)], "a string, i int")
+    found = audit.value_leaks(out, vault, ["a"])
+    # No filter on the number of runs, for which they would be made a second time.
+    assert executed(found).count("array_distinct(") == 1
+    assert "Broadcast" not in executed(found)
+    assert [tuple(r) for r in found.collect()] == [("a", "EMPLOYER", "Acme Works", 1)]
+
+
 def test_found_values_are_counted_before_they_meet_the_vault(spark, docs):
     out = docs("SSN 612-45-9083", "SSN 612-45-9083, 612-45-9084", None)
     vault = spark.createDataFrame([("612-45-9083",), ("612-45-9083",), (None,)], "real string")

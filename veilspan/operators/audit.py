@@ -108,9 +108,9 @@ def value_leaks(outbound: DataFrame, vault: DataFrame, outbound_cols: Sequence[s
 
     found = texts.select("outbound", F.array_distinct(F.flatten(F.array(
         *[runs(n) for n in lengths]).cast("array<array<string>>"))).alias("runs"))
-    counted = (found.select("outbound", F.explode("runs").alias("run"))
+    counted = (unnest(found, "runs", "run", "outbound")
                .groupBy("outbound", "run").agg(F.count(F.lit(1)).alias("n_texts")))
-    return counted.join(values, "run").select("outbound", "pii_type", "value", "n_texts")
+    return counted.join(values.hint("merge"), "run").select("outbound", "pii_type", "value", "n_texts")
 
 
 def reconcile(df: DataFrame, id_col: str = "doc_id", detected_col: str = "merged",

@@ -52,10 +52,15 @@ def safe_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def seeded_leaks(spark: SparkSession, d: str) -> DataFrame:
     """Redacted forms of which every tenth leaves as it is, against all values of both detectors."""
-    redacted = safe_redacted(spark, d)
-    values = unnest(redacted, "named", "s").select("s.pii_type", F.col("s.value").alias("real"))
-    sent = redacted.select(F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(
-        F.col("sanitized")).alias("cloud_prompt"))
+    out = safe_redacted(spark, d).select(
+        F.when(F.col("doc_id") % 10 == 0, F.col("text")).otherwise(F.col("sanitized")).alias("cloud_prompt"),
+        F.transform("named", lambda s: F.struct(s["pii_type"].alias("pii_type"), s["value"].alias("real")))
+        .alias("reals"))
+    # Written, since the values are read twice and the texts once more.
+    path = common.fresh_dir(spark, "sent")
+    out.write.parquet(path)
+    sent = spark.read.schema(out.schema).parquet(path)
+    values = unnest(sent, "reals", "s").select("s.pii_type", "s.real")
     return audit.value_leaks(sent, values, ["cloud_prompt"])
 
 
