@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from veilspan.operators import audit
+from veilspan.operators import audit, redact, restore
+from veilspan.operators.detect import explode_spans, with_regex_spans
 from veilspan.plans import common
 from veilspan.sources.tables import ROWS_A_TASK
 
@@ -48,3 +49,15 @@ def test_found_values_are_counted_before_they_meet_the_vault(spark, docs):
     assert [(r.outbound, r.pii_type, r.value, r.n_texts) for r in found.collect()] == [
         ("text", "SSN", "612-45-9083", 2)]
 
+
+def test_texts_and_spans_that_seem_small_are_not_broadcast(spark, docs):
+    texts = docs("SSN 612-45-9083 and 612-45-9084", "nothing", None)
+    found = explode_spans(with_regex_spans(texts))
+    maps = redact.assign_synthetic(found, "ordinal", "s")
+    rewritten = redact.redact(texts, found, maps)
+    assert "Broadcast" not in executed(rewritten)
+    rows = {r.doc_id: r.sanitized for r in rewritten.collect()}
+    assert "612-45" not in rows[0] and rows[1] == "nothing" and rows[2] is None
+    back = restore.restore(rewritten, maps, text_col="sanitized")
+    assert "Broadcast" not in executed(back.select("restored"))
+    assert {r.doc_id: r.restored for r in back.collect()} == {r.doc_id: r.text for r in texts.collect()}
