@@ -50,8 +50,9 @@ def test_found_values_are_counted_before_they_meet_the_vault(spark, docs):
         ("text", "SSN", "612-45-9083", 2)]
 
 
-def test_texts_and_spans_that_seem_small_are_not_broadcast(spark, docs):
-    texts = docs("SSN 612-45-9083 and 612-45-9084", "nothing", None)
+def test_texts_and_spans_that_seem_small_are_not_broadcast(spark, docs, tmp_path):
+    docs("SSN 612-45-9083 and 612-45-9084", "nothing", None).write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")
     found = explode_spans(with_regex_spans(texts))
     maps = redact.assign_synthetic(found, "ordinal", "s")
     rewritten = redact.redact(texts, found, maps)
