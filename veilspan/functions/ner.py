@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilspan.functions import fixed_values as fv
-from veilspan.functions.arrays import let
+from veilspan.functions.arrays import empty, let
 from veilspan.functions.patterns import WS
-from veilspan.functions.spans import make_span
+from veilspan.functions.spans import MARK, make_span
 from veilspan.functions.text import strip, tail_from
 
 PROMPT_HEAD = (
@@ -38,24 +38,50 @@ def answered(response: Column) -> Column:
 
 
 def bullet_items(response: Column) -> Column:
-    """Items of bullet lines; an unmatched confidence is null."""
+    """Items of bullet lines; an unmatched confidence is null.
+
+    One pass marks the three groups of every match; between them the marked response is cut.
+    """
     def group(i: int) -> Column:
         return F.regexp_extract_all(response, F.lit(BULLET), F.lit(i))
+
+    def item(entity: Column, kind: Column, confidence: Column) -> Column:
+        return F.struct(entity.alias("entity"), kind.alias("type"),
+                        F.nullif(confidence, F.lit("")).alias("confidence"))
+
+    def cut(pieces: Column) -> Column:
+        # Gap, entity, type and confidence in turn, and a last gap.
+        return F.when(F.size(pieces) == 1, empty(ITEM_TYPE)).when(F.size(pieces) > 1, F.transform(
+            F.sequence(F.lit(1), F.size(pieces) - 4, F.lit(4)),
+            lambda i: item(*[F.get(pieces, i + k) for k in range(3)])))
+
+    marked = F.regexp_replace(response, BULLET, MARK.join(("", "$1", "$2", "$3", "")))
     zipped = F.arrays_zip(group(1).alias("entity"), group(2).alias("type"),
                           group(3).alias("confidence"))
-    return F.transform(zipped, lambda z: F.struct(
-        z["entity"].alias("entity"), z["type"].alias("type"),
-        F.nullif(z["confidence"], F.lit("")).alias("confidence")))
+    # A response that has the mark itself is searched once for each group.
+    return F.when(F.contains(response, F.lit(MARK)), F.transform(
+        zipped, lambda z: item(z["entity"], z["type"], z["confidence"]))).otherwise(
+        let(F.split(marked, MARK, -1), cut))
 
 
 def json_items(response: Column) -> Column:
     """Items of the first JSON array; null if there is none or it does not parse."""
-    text = strip(F.regexp_replace(strip(response), "(?s)<think>.*?</think>", ""))
-    for fence in ("^```json", "^```", r"```\z"):
-        text = F.regexp_replace(text, fence, "")
-    start = F.instr(text, "[")
-    return F.when(start > 0, F.from_json(tail_from(text, start), f"array<{ITEM_TYPE}>",
-                                         {"allowSingleQuotes": "false"}))
+    def spoken(text: Column) -> Column:
+        return F.when(F.contains(text, F.lit("<think>")), strip(F.regexp_replace(
+            text, "(?s)<think>.*?</think>", ""))).otherwise(text)
+
+    def unfenced(text: Column) -> Column:
+        bare = text
+        for fence in ("^```json", "^```", r"```\z"):
+            bare = F.regexp_replace(bare, fence, "")
+        return F.when(F.contains(text, F.lit("```")), bare).otherwise(text)
+
+    def parsed(text: Column) -> Column:
+        start = F.instr(text, "[")
+        return F.when(start > 0, F.from_json(tail_from(text, start), f"array<{ITEM_TYPE}>",
+                                             {"allowSingleQuotes": "false"}))
+
+    return let(strip(response), lambda r: let(spoken(r), lambda t: let(unfenced(t), parsed)))
 
 
 def items(response: Column) -> Column:
@@ -89,15 +115,16 @@ def item_spans(text: Column, found: Column, min_confidence: float = fv.MIN_CONFI
     def candidate(item: Column, i: Column) -> Column:
         pii_type = F.try_element_at(alias_map(), F.lower(F.coalesce(item["type"], F.lit(""))))
         placeholder = strip(F.coalesce(item["entity"], F.lit(""))).isin("", *fv.PLACEHOLDER_VALUES)
-        confidence = clean_confidence(item["confidence"])
 
-        def span(v: Column) -> Column:
-            start = F.nullif(F.instr(text, v), F.lit(0)) - 1
-            return make_span(start, start + F.length(v), F.lit(FIRST_ORD) + i, pii_type, v,
-                             confidence, F.lit(fv.NER_SOURCE))
+        def span(t: Column, c: Column, v: Column) -> Column:
+            return let(F.nullif(F.instr(text, v), F.lit(0)) - 1, lambda start: make_span(
+                start, start + F.length(v), F.lit(FIRST_ORD) + i, t, v, c, F.lit(fv.NER_SOURCE)))
+
+        def sure(t: Column) -> Column:
+            return let(clean_confidence(item["confidence"]), lambda c: F.when(
+                c >= min_confidence, let(clean_value(item["entity"], text), lambda v: span(t, c, v))))
 
-        return F.when(pii_type.isNotNull() & ~placeholder & (confidence >= min_confidence),
-                      let(clean_value(item["entity"], text), span))
+        return let(pii_type, lambda t: F.when(t.isNotNull() & ~placeholder, sure(t)))
 
     return F.filter(F.transform(found, candidate), lambda s: s.isNotNull())
 
