@@ -1,10 +1,15 @@
 """What a form costs: work done for every character, value or pair of spans."""
 
+import random
+import re
 import unicodedata
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import ner
+from veilspan.functions.patterns import PATTERN_BY_NAME
 from veilspan.functions.spans import MARK, same_value
 from veilspan.functions.text import strip
 
@@ -40,3 +45,21 @@ def test_bullets_are_found_in_one_pass(spark):
     assert rows == [None, [], [], [("A B", "name", "0.9"), ("c", "dob", None)], [],
                     [(f"a{MARK}", "b", "2")], [("q", "r", None)]]
     assert plan(df).count("regexp_replace(") == 1
+
+
+@pytest.mark.parametrize("name", ["ssn", "phone_dash", "date_slash", "date_month"])
+def test_first_characters_are_looked_at_before_the_word_edge(spark, name):
+    spec = PATTERN_BY_NAME[name]
+    # More than one character, for most of a text's are letters or digits.
+    ahead = re.match(r"\(\?dm\)(?:\(\?i\))?\(\?=(.*?)\)\(\?<!", spec.java)
+    assert ahead and not re.fullmatch(r"\[[^\]]*\]", ahead[1])
+    rng = random.Random(7)
+    parts = ["612-45-9083", "510-882-4471", "1/2/1999", "12/31/2000", "13/01/2000", "0/1/2000", "\u0666\u0661\u0662-45-9083",
+             "\U0001d7da12-45-9083", "jan 5 2020", "MAY 31, 2020", "Sept 3 2001", "\u017fep 3 2001", "dismay 3, 2021", *(
+                 f"{m} 9, 2019" for m in "feb March apr june July aug SEP oct november dec".split()),
+             "-", "/", " ", "\n", "_", "a", "\u00e9", "7", "\U0001f600", "\U0001d400", "\u0301"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(2000)]
+    plain = replace(spec, java_template=None)
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select(*[
+        F.regexp_extract_all("t", F.lit(s.java), F.lit(0)).alias(n) for n, s in (("now", spec), ("plain", plain))])
+    assert found.filter("now != plain").count() == 0 and found.filter("size(now) > 0").count() > 20
