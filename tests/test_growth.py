@@ -1,10 +1,15 @@
 """Work over larger tables is spread over tasks and does not depend on estimated sizes."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from veilspan.operators import audit, redact, restore
 from veilspan.operators.detect import explode_spans, with_regex_spans
-from veilspan.plans import common
+from veilspan.operators.vault import VAULT_SCHEMA
+from veilspan.plans import common, restoration
+from veilspan.session import shared_dir
+from veilspan.sources import vault_table
 from veilspan.sources.tables import ROWS_A_TASK
 
 
@@ -62,3 +67,34 @@ def test_texts_and_spans_that_seem_small_are_not_broadcast(spark, docs, tmp_path
     back = restore.restore(rewritten, maps, text_col="sanitized")
     assert "Broadcast" not in executed(back.select("restored"))
     assert {r.doc_id: r.restored for r in back.collect()} == {r.doc_id: r.text for r in texts.collect()}
+
+
+def test_both_upserts_use_spans_found_once(spark, tmp_path, monkeypatch):
+    resolved, calls = common.resolved, []
+    monkeypatch.setattr(common, "resolved", lambda df: calls.append(df) or resolved(df))
+    folder = customers(spark, tmp_path, 60)
+    out = {(r.pii_type, r.real): r.synthetic for r in restoration.second_upsert(spark, folder).collect()}
+    assert len(calls) == 1
+    texts = common.forms(spark, folder).withColumn("session_id", F.lit("one"))
+    found = explode_spans(resolved(texts), ("session_id",))
+    want = {(r.pii_type, r.real): r.synthetic for r in redact.assign_synthetic(found, salt=common.QUERY_SALT).collect()}
+    assert out.keys() == want.keys() and len(set(out.values())) == len(out)
+    assert all(v.split("~")[0] == want[k] for k, v in out.items())
+
+
+def test_an_upsert_keeps_new_rows_once(spark, tmp_path, monkeypatch):
+    def kept():
+        shared_dir(spark)
+        at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        return {f for f in os.listdir(at) if f.startswith("rdd-")}
+
+    rename, known = vault_table.rename_collisions, []
+    monkeypatch.setattr(vault_table, "rename_collisions", lambda vault, new: known.append(vault) or rename(vault, new))
+    rows = [("s", "SSN", r, f"b{(r or '')[-1:]}", None) for r in ("1", "2", "11", "", None, "1")]
+    before = kept()
+    added = vault_table.upsert(spark.createDataFrame(rows, VAULT_SCHEMA), str(tmp_path / "vault"))
+    assert len(kept() - before) == 1
+    # The side without rows is one that Spark knows to be empty.
+    assert executed(known[0]).startswith("LocalTableScan <empty>")
+    names = {r.real: r.synthetic for r in added.collect()}
+    assert names.keys() == {"1", "2", "11", "", None} and len(set(names.values())) == 5

@@ -92,11 +92,15 @@ def write_vault(vault: DataFrame, path: str, mode: str = "append", buckets: int
     A batch of a stream replaces its own earlier attempt. ``buckets`` counts for a new
     table only.
     """
+    shared_dir(vault.sparkSession)
+    # Written twice, as rows and as bits of their keys.
+    _write(vault.select(*VAULT_COLUMNS).checkpoint(), path, mode, buckets, batch_id)
+
+
+def _write(vault: DataFrame, path: str, mode: str, buckets: int, batch_id: int) -> None:
+    """``write_vault`` of rows that are kept and can be read twice."""
     spark = vault.sparkSession
-    shared_dir(spark)
     known = None if mode == "overwrite" else buckets_of(spark, path)
-    # Written twice, as rows and as bits of their keys.
-    vault = vault.select(*VAULT_COLUMNS).checkpoint()
     rows = _bucketed(vault, known or buckets).withColumn(
         "batch_id", F.lit(batch_id).cast("bigint"))
     writer = rows.write.partitionBy("bucket", "batch_id")
@@ -158,14 +162,15 @@ def upsert(mappings: DataFrame, path: str, batch_id: int = BATCH, buckets: int =
     first = first_per_key(mappings)
     known_buckets = buckets_of(spark, path)
     if known_buckets is None:
-        added = rename_collisions(spark.createDataFrame([], VAULT_SCHEMA), first).checkpoint()
+        # Spark sees that this side has no rows, and makes the new ones once.
+        added = rename_collisions(first.filter(F.lit(False)), first).checkpoint()
     else:
         keys = tested(first, path, known_buckets, batch_id).checkpoint()
         rows = maybe_known(keys, path, batch_id)
         new = keys.filter("not real_maybe").unionByName(
             keys.filter("real_maybe").join(rows.select(*BY_TYPE), list(BY_TYPE), "left_anti"))
         added = rename_collisions(rows, new).checkpoint()
-    write_vault(added, path, buckets=buckets, batch_id=batch_id)
+    _write(added, path, "append", buckets, batch_id)
     return added
 
 
