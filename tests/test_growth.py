@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspan.operators import audit, redact, restore
 from veilspan.operators.detect import explode_spans, with_regex_spans
 from veilspan.operators.vault import VAULT_SCHEMA
-from veilspan.plans import common, restoration
+from veilspan.plans import common, redaction, restoration
 from veilspan.session import shared_dir
 from veilspan.sources import vault_table
 from veilspan.sources.tables import ROWS_A_TASK
@@ -98,3 +98,16 @@ def test_an_upsert_keeps_new_rows_once(spark, tmp_path, monkeypatch):
     assert executed(known[0]).startswith("LocalTableScan <empty>")
     names = {r.real: r.synthetic for r in added.collect()}
     assert names.keys() == {"1", "2", "11", "", None} and len(set(names.values())) == 5
+
+
+def test_vault_of_one_type_names_no_other_spans(spark, tmp_path, monkeypatch):
+    named, given = common.with_keyed_spans, []
+    monkeypatch.setattr(common, "with_keyed_spans", lambda df, salt: given.append(df) or named(df, salt))
+    folder = customers(spark, tmp_path, 60)
+    every = {tuple(r) for r in common.keyed_vault(spark, folder).collect()}
+    for pii_type, name in redaction.GENERATORS.items():
+        given.clear()
+        rows = redaction.keyed_of(pii_type)(spark, folder).collect()
+        types = given[0].select(F.explode("spans.pii_type").alias("t")).distinct().collect()
+        assert [r.t for r in types] == [pii_type], name
+        assert sorted(map(tuple, rows)) == sorted((r[0], r[2], r[3]) for r in every if r[1] == pii_type)
