@@ -8,10 +8,11 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.functions import ner
+from veilspan.functions import ner, synth
 from veilspan.functions.patterns import PATTERN_BY_NAME
 from veilspan.functions.spans import MARK, same_value
 from veilspan.functions.text import strip
+from veilspan.operators.redact import with_mappings
 
 
 def plan(df):
@@ -63,3 +64,24 @@ def test_first_characters_are_looked_at_before_the_word_edge(spark, name):
     found = spark.createDataFrame([(t,) for t in texts], "t string").select(*[
         F.regexp_extract_all("t", F.lit(s.java), F.lit(0)).alias(n) for n, s in (("now", spec), ("plain", plain))])
     assert found.filter("now != plain").count() == 0 and found.filter("size(now) > 0").count() > 20
+
+
+def test_mappings_without_repeats_are_not_cut_from_strings(spark):
+    span = "struct<pii_type:string,value:string,synthetic:string>"
+    sep = "\u0000"
+    rows = [None, [], [("SSN", "a", "x"), ("EMAIL", "a", "x"), ("SSN", f"b{sep}{sep}c", "y")],
+            [("SSN", "a", "x"), ("SSN", "a", "x"), ("SSN", "b", "x"), ("SSN", f"b{sep}c", "x")]]
+    df = with_mappings(spark.createDataFrame([(r,) for r in rows], f"named array<{span}>"))
+    out = [None if r.mappings is None else [tuple(m) for m in r.mappings] for r in df.collect()]
+    assert out == [None, [], [(0, "SSN", "a", "x"), (1, "EMAIL", "a", "x"), (2, "SSN", f"b{sep}{sep}c", "y")],
+                   [(0, "SSN", "a", "x"), (1, "SSN", "b", "x"), (2, "SSN", f"b{sep}c", "x")]]
+    # A mapping's three parts come from one cut.
+    assert plan(df.select("mappings")).count("split(") == 1
+
+
+def test_a_date_is_parsed_once(spark):
+    values = ["11/02/1979", "1/2/1979", "02/30/1979", "1/2", "May 3, 2024", "sept 31 2024", "x", "", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string").select(synth._parsed_date(F.col("v")).alias("d"))
+    assert [r.d and str(r.d) for r in df.collect()] == [
+        "1979-11-02", "1979-01-02", None, None, "2024-05-03", None, None, None, None]
+    assert plan(df).count("split(") == 1 and plan(df).count("regexp_extract(") == 2
