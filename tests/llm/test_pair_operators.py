@@ -1,6 +1,9 @@
 """Operators that compare documents or vectors with each other, against brute force."""
 
+import glob
+import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -294,3 +297,52 @@ def test_vectors_that_share_an_id_or_have_none(spark):
     assert sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got)) == [
         (0, 0, 0, False), (0, 1, 9, False), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False),
         (3, 2, 1, False), (7, 1, 1, False), (9, 1, 9, True)]
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {path: os.path.getsize(path) for folder in folders for path in
+            glob.glob(f"{folder}/*/shuffle_*") if os.path.exists(path)}
+
+
+def test_vectors_are_dealt_to_a_few_tables_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "ROUND", 0, raising=False)
+    monkeypatch.setattr(embeddings, "FOLD", 0.4, raising=False)
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 64))
+    x[::3] = x[0] + rng.standard_normal((667, 64)) * 0.1
+    x = x.astype(np.float32)
+    known, left, put = set(shuffle_files(spark)), [], Stored.put
+
+    def watched(store, df):
+        table = put(store, df)
+        for _ in range(50):  # files go a little later
+            size = sum(n for path, n in shuffle_files(spark).items() if path not in known)
+            if size < x.nbytes:
+                break
+            time.sleep(0.1)
+        left.append(size)
+        return table
+
+    monkeypatch.setattr(Stored, "put", watched)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    # Never more than the vectors themselves, where each of them goes to some 20 tables.
+    assert max(left) < x.nbytes
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9, 1))
+    n = np.bincount(np.concatenate([i, j]), minlength=len(x))
+    assert n.max() > 300
+    assert got == {k: (n[k], r) for k, r in enumerate(roots(len(x), list(zip(i.tolist(), j.tolist()))))}
+
+
+def test_codes_of_a_vector_do_not_depend_on_others():
+    rng = np.random.default_rng(2)
+    x, normals = embeddings.unit(rng.standard_normal((500, 33))), embeddings.planes(33, 5, 7)
+    x[7] -= x[7] @ normals[:, 3] / (normals[:, 3] @ normals[:, 3]) * normals[:, 3]  # a sign in doubt
+    together = embeddings.codes_of(x, normals, 5)
+    assert together.shape == (500, 7) and together.min() >= 0 and together.max() < 32
+    for i in range(0, 20):
+        assert (embeddings.codes_of(x[i:i + 1], normals[:, 10:25], 5) == together[i, 2:5]).all()
+        assert (embeddings.codes_of(x[i:i + 1], normals[:, :5], 5) == together[i, :1]).all()
