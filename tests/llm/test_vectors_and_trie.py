@@ -131,6 +131,47 @@ def test_top_k_of_large_numbers_and_nothing(spark):
         top_k.top_k(df.select("id", F.array(F.lit(1 << 62)).alias("v")), F.col("id") < 2, "id", "v").collect()
 
 
+def test_copies_of_queries_are_not_broadcast(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("class_id"), F.col("id").alias("first"),
+                                  F.array(F.col("id"), -F.col("id"), F.lit(70000)).alias("vector"))
+    blocks = []
+    for name, n in (("c", 10), ("q", 5)):
+        top_k.blocks_of(rows.coalesce(1), n, 3).write.parquet(f"{tmp_path}/{name}")
+        blocks.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    asked = blocks[1].select("slice", F.col("block").alias("q"), F.col("n").alias("q_n"), F.col("data").alias("q_data"))
+    met = top_k._meetings(asked, blocks[0], 500)
+    # What Spark expects of 500 copies of each query is the size of one.
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    pairs = met.select("q", "c", "slice").collect()
+    assert len(pairs) == len(set(pairs)) == 8 * 4 * 2
+
+
+def test_top_k_of_some_queries_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(top_k, "ROUND", 0, raising=False)
+    rounds, one = [], getattr(top_k, "_round", None)
+
+    def watched(*given):
+        rounds.append(one(*given))
+        return rounds[-1]
+
+    monkeypatch.setattr(top_k, "_round", watched, raising=False)
+    rng = random.Random(9)
+    rows = [(i, [rng.randrange(-90, 90) for _ in range(5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<int>").coalesce(1)
+    got = top_k.top_k(df, F.col("id") % 6 == 0, "id", "v", 3)
+    assert sorted(map(tuple, got.collect())) == plain_top(rows, 3, lambda i: i % 6 == 0)
+    assert len(rounds) > 1 and all(n > 0 for _, n in rounds)
+
+
+@pytest.mark.parametrize("most", [0, 200, 40000, 1 << 40])
+def test_integers_in_few_bytes(most):
+    x = np.array([[most, -most, 1], [0, 3, -most - 1]])
+    data = top_k._narrow(x)
+    assert len(data) == 6 * (2 if most < 1 << 15 else 4 if most < 1 << 31 else 8)
+    assert (top_k._matrix(data, 2, 3) == x).all() and top_k._matrix(b"", 2, 0).shape == (2, 0)
+
+
 def test_top_k_query(spark, tmp_path):
     x = vectors(120, 6)
     rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]

@@ -12,14 +12,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import Stored, column, ship
+from veilspan.llm.common import Stored, column, ship, shuffles_dropped
 from veilspan.operators.skew import hot_keys, spread_join
 
 SLICES = 2  # parts of the dimensions; each keeps lists of its own partial scores
 QUERY_BLOCK = 256
-BLOCK = 1024
+BLOCK = 8192  # candidates of a block, whose lists are as long as those of a smaller one
+BLOCK_BYTES = 16 << 20  # or fewer, of this size
 BLOCKS_TOGETHER = 8  # candidate blocks that meet the queries in one group
-ROWS_A_BATCH = 64  # rows with whole blocks that a Python worker holds at a time
+GROUPS = 64  # groups at least, where there are as many blocks
+# Bytes that lists and partial scores take on their way at a time, or those of all blocks where these are more.
+ROUND = 512 << 20
+SENT_BYTES = 24  # of a score on its way, with what it is joined to
+FIRST_SHARE = 0.125  # of all partial scores that a first round may send
+ROUNDS = 1 << 20  # parts of all queries that rounds are made of
+ROWS_A_BATCH = 8  # rows with whole blocks that a Python worker holds at a time
 EXACT = float(1 << 53)  # integers up to here are exact in double precision
 
 
@@ -39,8 +46,20 @@ def _bounds(dim: int) -> list[int]:
     return [dim * i // SLICES for i in range(SLICES + 1)]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers in as few bytes each as hold them all."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    kind = next(k for k in (np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return np.ascontiguousarray(x, dtype=kind).tobytes()
+
+
+def _wide(data: bytes, n: int) -> np.ndarray:
+    """So many integers again, as 64 bits."""
+    return np.frombuffer(data, dtype=f"<i{len(data) // n}" if n else np.int64).astype(np.int64)
+
+
 def _matrix(data: bytes, n: int, width: int) -> np.ndarray:
-    return np.frombuffer(data, dtype=np.int64).reshape(n, width)
+    return _wide(data, n * width).reshape(n, width)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -82,7 +101,7 @@ def blocks_of(classes: DataFrame, size: int, dim: int) -> DataFrame:
                 data[at, :len(v)] = v
             ids = [rows[c].to_numpy(np.int64).tobytes() for c in ("class_id", "first")]
             return pd.DataFrame([
-                (part + number, s, len(rows), *ids, np.ascontiguousarray(data[:, a:b]).tobytes())
+                (part + number, s, len(rows), *ids, _narrow(data[:, a:b]))
                 for s, (a, b) in enumerate(zip(bounds, bounds[1:]))],
                 columns=["block", "slice", "n", "class_ids", "firsts", "data"])
 
@@ -110,21 +129,21 @@ def _meetings(queries: DataFrame, blocks: DataFrame, groups: int) -> DataFrame:
     """Every query block beside every candidate block of the same slice.
 
     Query blocks are copied to each group of a few candidate blocks, so a group has a bounded
-    number of these and no vector travels alone.
+    number of these and no vector travels alone. The copies are never broadcast: what Spark expects of
+    their size leaves out that they are copies.
     """
     copied = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     dealt = blocks.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("group"), "slice",
                           F.col("block").alias("c"), F.col("n").alias("c_n"),
                           F.col("data").alias("c_data"))
-    return dealt.join(copied, ["group", "slice"])
+    return dealt.join(copied.hint("merge"), ["group", "slice"])
 
 
 ENTRIES = "q long, c long, slice int, qi binary, ci binary, score binary"
 
 
 def _entries(row, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> tuple:
-    return (row.q, row.c, row.slice, i.astype(np.int32).tobytes(), j.astype(np.int32).tobytes(),
-            scores.astype(np.int64).tobytes())
+    return row.q, row.c, row.slice, i.astype(np.int16).tobytes(), _narrow(j), _narrow(scores)
 
 
 def _local_lists(batches: Iterator[pd.DataFrame], bounds: list[int], k: int) -> Iterator[pd.DataFrame]:
@@ -170,9 +189,9 @@ def _joined(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a query and a candidate, the sum of their partial scores seen, and how many."""
     codes, scores = [], []
     for e in row.entries:
-        i, j = (np.frombuffer(e[f], dtype=np.int32).astype(np.int64) for f in ("qi", "ci"))
-        codes.append(i << 32 | j)
-        scores.append(np.frombuffer(e["score"], dtype=np.int64))
+        i = np.frombuffer(e["qi"], dtype=np.int16).astype(np.int64)
+        codes.append(i << 32 | _wide(e["ci"], len(i)))
+        scores.append(_wide(e["score"], len(i)))
     code, place = np.unique(np.concatenate(codes), return_inverse=True)
     total, seen = np.zeros(len(code), dtype=np.int64), np.zeros(len(code), dtype=np.int64)
     np.add.at(total, place, np.concatenate(scores))
@@ -239,61 +258,96 @@ def _cutoffs(totals: DataFrame, sizes: DataFrame, k: int, out: str) -> DataFrame
             F.try_element_at(F.col("_known"), i), lowest)).alias(out))
 
 
+def _round(store: Stored, asked: DataFrame, blocks: DataFrame, groups: int, bounds: list[int], k: int
+           ) -> tuple[DataFrame, int]:
+    """The three phases for some query blocks: their k best, stored, and the number of partial scores sent."""
+    q_slices = asked.select("slice", F.col("block").alias("q"), F.col("n").alias("q_n"),
+                            F.col("data").alias("q_data"))
+    sizes = q_slices.filter("slice = 0").select("q", "q_n")
+    q_whole, c_whole = _whole(asked, "q"), _whole(blocks, "c")
+    grouped = F.collect_list(F.struct("slice", "qi", "ci", "score")).alias("entries")
+    c_names = c_whole.select("c", "c_ids", "c_firsts")
+
+    def run(df: DataFrame, function, schema: str, **given) -> DataFrame:
+        return store.put(df.mapInPandas(partial(function, **given), schema))
+
+    lists = run(_meetings(q_slices, blocks, groups), _local_lists, ENTRIES, bounds=bounds, k=k)
+    listed = run(lists.groupBy("q", "c").agg(grouped).join(q_whole, "q").join(c_whole, "c"),
+                 _resolved, TOTALS, bounds=bounds, k=k, prune=False)
+    store.drop(lists)
+    cutoffs = store.put(_cutoffs(listed, sizes, k, "cutoffs"))
+    sent = run(_meetings(q_slices.join(cutoffs, "q"), blocks, groups), _above_cutoff, ENTRIES,
+               bounds=bounds)
+    n_sent = (sent.agg(F.sum(F.octet_length("qi"))).first()[0] or 0) // np.dtype(np.int16).itemsize
+    pairs = sent.groupBy("q", "c").agg(grouped)
+    whole = run(pairs.join(c_names, "c"), _seen_whole, TOTALS, k=k)
+    # The same pair may be known from both phases.
+    better = store.put(_cutoffs(listed.unionByName(whole).distinct(), sizes, k, "better"))
+    store.drop(listed)
+    store.drop(whole)
+    totals = run(pairs.join(cutoffs, "q").join(better, "q").join(q_whole, "q").join(c_whole, "c"),
+                 _resolved, TOTALS, bounds=bounds, k=k, prune=True)
+    store.drop(sent)
+    store.drop(cutoffs)
+    store.drop(better)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                ids = np.frombuffer(row.class_ids, dtype=np.int64)
+                yield pd.DataFrame({"q": row.q, "qi": np.arange(len(ids), dtype=np.int32),
+                                    "query": ids})
+
+    names = asked.filter("slice = 0").select(F.col("block").alias("q"), "class_ids").mapInPandas(
+        named, "q long, qi int, query long")
+    by_score = Window.partitionBy("q", "qi").orderBy(F.desc("score"), "first", "class_id")
+    best = totals.withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") <= k)
+    answers = store.put(best.join(names, ["q", "qi"]).select("query", "class_id", "score"))
+    store.drop(totals)
+    return answers, n_sent
+
+
 def top_classes(store: Stored, classes: DataFrame, k: int) -> DataFrame:
     """The k best other or own vectors of each query vector: query, class_id, score.
 
     ``classes`` is a stored table of distinct vectors: class_id, vector (array of long, shorter
     ones count as ending in zeros), first (id that decides ties) and is_query. Every
-    phase works on blocks; what is sent between them are lists and single scores.
+    phase works on blocks; what is sent between them are lists and single scores. How many scores there
+    are depends on the vectors, so query blocks are taken some at a time, as many as those before them allow.
     """
-    spark = store.spark
     dim = classes.agg(F.max(F.size("vector"))).first()[0] or 0
     bounds = _bounds(dim)
-    with _small_batches(spark):
-        blocks = store.put(blocks_of(classes, BLOCK, dim))
-        asked = store.put(blocks_of(classes.filter("is_query"), QUERY_BLOCK, dim))
-        groups = max(1, -(-blocks.filter("slice = 0").count() // BLOCKS_TOGETHER))
-        q_slices = asked.select("slice", F.col("block").alias("q"), F.col("n").alias("q_n"),
-                                F.col("data").alias("q_data"))
-        sizes = q_slices.filter("slice = 0").select("q", "q_n")
-        q_whole, c_whole = _whole(asked, "q"), _whole(blocks, "c")
-        grouped = F.collect_list(F.struct("slice", "qi", "ci", "score")).alias("entries")
-        c_names = c_whole.select("c", "c_ids", "c_firsts")
-
-        def run(df: DataFrame, function, schema: str, **given) -> DataFrame:
-            return store.put(df.mapInPandas(partial(function, **given), schema))
-
-        lists = run(_meetings(q_slices, blocks, groups), _local_lists, ENTRIES, bounds=bounds, k=k)
-        listed = run(lists.groupBy("q", "c").agg(grouped).join(q_whole, "q").join(c_whole, "c"),
-                     _resolved, TOTALS, bounds=bounds, k=k, prune=False)
-        store.drop(lists)
-        cutoffs = store.put(_cutoffs(listed, sizes, k, "cutoffs"))
-        sent = run(_meetings(q_slices.join(cutoffs, "q"), blocks, groups), _above_cutoff, ENTRIES,
-                   bounds=bounds)
-        pairs = sent.groupBy("q", "c").agg(grouped)
-        whole = run(pairs.join(c_names, "c"), _seen_whole, TOTALS, k=k)
-        # The same pair may be known from both phases.
-        better = store.put(_cutoffs(listed.unionByName(whole).distinct(), sizes, k, "better"))
-        store.drop(listed)
-        store.drop(whole)
-        totals = run(pairs.join(cutoffs, "q").join(better, "q").join(q_whole, "q").join(c_whole, "c"),
-                     _resolved, TOTALS, bounds=bounds, k=k, prune=True)
-        store.drop(sent)
-        store.drop(cutoffs)
-        store.drop(better)
-
-        def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    ids = np.frombuffer(row.class_ids, dtype=np.int64)
-                    yield pd.DataFrame({"q": row.q, "qi": np.arange(len(ids), dtype=np.int32),
-                                        "query": ids})
-
-        names = store.put(asked.filter("slice = 0").select(F.col("block").alias("q"), "class_ids")
-                          .mapInPandas(named, "q long, qi int, query long"))
-    by_score = Window.partitionBy("q", "qi").orderBy(F.desc("score"), "first", "class_id")
-    best = totals.withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") <= k)
-    return best.join(names, ["q", "qi"]).select("query", "class_id", "score")
+    blocks = store.put(blocks_of(classes, max(1, min(BLOCK, BLOCK_BYTES // (8 * max(1, dim)))), dim))
+    asked = store.put(blocks_of(classes.filter("is_query"), QUERY_BLOCK, dim))
+    counts = (F.coalesce(F.sum(F.when(F.col("slice") == 0, F.col("n"))), F.lit(0)),
+              F.count(F.when(F.col("slice") == 0, 1)), F.coalesce(F.sum(F.octet_length("data")), F.lit(0)))
+    n, n_blocks, size = blocks.agg(*counts).first()
+    n_asked, n_asked_blocks, _ = asked.agg(*counts).first()
+    groups = max(1, -(-n_blocks // BLOCKS_TOGETHER), min(n_blocks, GROUPS))
+    at_once = max(ROUND, size) / SENT_BYTES
+    listed = n_blocks * SLICES * k
+
+    def share(each: float) -> int:
+        """Of ROUNDS, as many as have room if a query sends so many scores; a query block at least."""
+        return int(min(ROUNDS, max(ROUNDS / max(1, n_asked_blocks), ROUNDS * at_once / max(1, n_asked * each))))
+
+    parts, low, width = [], 0, share(n * SLICES * FIRST_SHARE + listed)
+    with _small_batches(store.spark):
+        while low < ROUNDS:
+            if ROUNDS - low <= 1.25 * width:
+                width = ROUNDS - low
+            part = asked.filter(F.pmod(F.xxhash64("block"), F.lit(ROUNDS)).between(low, low + width - 1))
+            low += width
+            n_part = part.agg(counts[0]).first()[0]
+            if not n_part and (parts or low < ROUNDS):
+                width *= 2
+                continue
+            answers, n_sent = _round(store, part, blocks, groups, bounds, k)
+            parts.append(answers)
+            if n_part:
+                # Half as many again, as others may send more.
+                width = min(share(1.5 * n_sent / n_part + listed), 64 * width)
+    return store.together(parts)
 
 
 def top_k(df: DataFrame, is_query: Column, id_col: str = "id", vector_col: str = "vector",
@@ -317,21 +371,22 @@ def top_k(df: DataFrame, is_query: Column, id_col: str = "id", vector_col: str =
     ship(spark)
     store = Stored(spark, "topk")
     vector = column(vector_col).cast("array<long>")
-    rows = store.put(df.select(column(id_col).cast("long").alias("id"), vector.alias("vector"),
-                               F.coalesce(is_query, F.lit(False)).alias("asks")).filter(
-        F.col("id").isNotNull() & F.coalesce(F.forall("vector", lambda v: v.isNotNull()), F.lit(False)))
-        .withColumn("key", F.sha2(F.col("vector").cast("string"), 256)))
-    # The row number cuts a class before it is shuffled: a hot one sends k+1 rows a task.
-    by_id = Window.partitionBy("key").orderBy("id")
-    smallest = (rows.select("key", "id").withColumn("_r", F.row_number().over(by_id))
-                .filter(F.col("_r") <= k + 1).groupBy("key")
-                .agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    vectors = rows.groupBy("key").agg(F.any_value("vector").alias("vector"),
-                                      F.bool_or("asks").alias("is_query"))
-    classes = store.put(vectors.join(smallest, "key").select(
-        F.monotonically_increasing_id().alias("class_id"), "key", "vector", "is_query", "ids",
-        F.get("ids", F.lit(0)).alias("first")))
-    found = store.put(top_classes(store, classes, k + 1))
+    with shuffles_dropped(spark):
+        rows = store.put(df.select(column(id_col).cast("long").alias("id"), vector.alias("vector"),
+                                   F.coalesce(is_query, F.lit(False)).alias("asks")).filter(
+            F.col("id").isNotNull() & F.coalesce(F.forall("vector", lambda v: v.isNotNull()), F.lit(False)))
+            .withColumn("key", F.sha2(F.col("vector").cast("string"), 256)))
+        # The row number cuts a class before it is shuffled: a hot one sends k+1 rows a task.
+        by_id = Window.partitionBy("key").orderBy("id")
+        smallest = (rows.select("key", "id").withColumn("_r", F.row_number().over(by_id))
+                    .filter(F.col("_r") <= k + 1).groupBy("key")
+                    .agg(F.array_sort(F.collect_list("id")).alias("ids")))
+        vectors = rows.groupBy("key").agg(F.any_value("vector").alias("vector"),
+                                          F.bool_or("asks").alias("is_query"))
+        classes = store.put(vectors.join(smallest, "key").select(
+            F.monotonically_increasing_id().alias("class_id"), "key", "vector", "is_query", "ids",
+            F.get("ids", F.lit(0)).alias("first")))
+        found = top_classes(store, classes, k + 1)
     entry = F.struct((-F.col("score")).alias("s"), F.col("id"), (F.col("query") == F.col("class_id")).alias("own"))
     # At most k+1 classes of at most k+1 ids each.
     lists = (found.join(classes.select("class_id", "ids"), "class_id")
