@@ -69,6 +69,20 @@ def test_texts_and_spans_that_seem_small_are_not_broadcast(spark, docs, tmp_path
     assert {r.doc_id: r.restored for r in back.collect()} == {r.doc_id: r.text for r in texts.collect()}
 
 
+def test_forms_that_seem_small_are_not_broadcast_to_their_redacted_texts(spark, tmp_path):
+    folder = customers(spark, tmp_path, 60)
+    found = restoration.ordinal_round_trip(spark, folder)
+    assert "Broadcast" not in executed(found)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert len(rows) == found.count() == 54 and None not in rows
+    texts = {r.doc_id: r.text for r in common.forms(spark, folder).collect()}
+    back = restore.restore(redaction.ordinal_redacted(spark, folder), redaction.ordinal(spark, folder),
+                           text_col="sanitized")
+    restored = {r.doc_id: r.restored for r in back.collect() if r.doc_id is not None}
+    assert {k: r.is_equal for k, r in rows.items()} == {k: restored[k] == texts[k] for k in rows}
+    assert all(r.n_mappings > 5 for r in rows.values())
+
+
 def test_both_upserts_use_spans_found_once(spark, tmp_path, monkeypatch):
     resolved, calls = common.resolved, []
     monkeypatch.setattr(common, "resolved", lambda df: calls.append(df) or resolved(df))
